@@ -27,18 +27,20 @@ def clean_amount(text: Column) -> Column:
 
 
 def parse_clean_amount(clean: Column) -> Column:
-    """Absolute value of a cleaned amount; 0.0 where it cannot be read."""
-    dots = F.length(clean) - F.length(F.translate(clean, ".", ""))
-    commas = F.length(clean) - F.length(F.translate(clean, ",", ""))
-    dot_last = F.instr(clean, ".") > F.instr(clean, ",")
+    """Absolute value of a cleaned amount; 0.0 where it cannot be read.
+
+    The marks alone, in order, tell how to read it. Any sequence not listed is
+    left as it is: with at most one dot it is a number, otherwise it fails to
+    cast, as does a text with more than two marks.
+    """
+    marks = F.translate(clean, "0123456789", "")
     number = (
-        F.when((commas == 1) & (dots == 0), F.translate(clean, ",", "."))
-        .when((commas > 0) & (dots > 0) & dot_last, F.translate(clean, ",", ""))
-        .when((commas > 0) & (dots > 0), F.translate(clean, ",.", "."))
+        F.when(marks == ",", F.translate(clean, ",", "."))
+        .when(marks == ",.", F.translate(clean, ",", ""))
+        .when(marks == ".,", F.translate(clean, ",.", "."))
         .otherwise(clean)
     )
-    value = F.when((clean != "") & (dots + commas <= 2), F.abs(number.try_cast("double")))
-    return F.coalesce(value, F.lit(0.0))
+    return F.coalesce(F.abs(number.try_cast("double")), F.lit(0.0))
 
 
 def parse_amount(text: Column) -> Column:

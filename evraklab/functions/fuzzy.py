@@ -139,7 +139,7 @@ def may_reach(left: Column, right: Column, score: int) -> Column:
     least = (score + 0.5) / (200.0 - (score + 0.5))
 
     def enough(short: Column, long: Column) -> Column:
-        present = F.length(short) - F.length(F.translate(short, long, F.lit("")))
+        present = F.length(short) - F.length(F.call_function("translate", short, long, F.lit("")))
         return present >= F.length(short) * F.lit(least) - F.lit(1e-9)
 
     shorter_left = F.length(left) <= F.length(right)

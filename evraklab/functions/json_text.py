@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evraklab.functions.amounts import parse_amount
-from evraklab.functions.lang import float_text, let, strip
+from evraklab.functions.lang import float_text, strip
 
 FENCED = r"(?s)```json\s*(.*?)\s*```"
 REPLY_PATH = "$.candidates[0].content.parts[0].text"
@@ -30,65 +30,65 @@ def cut_json(text: Column) -> Column:
     )
 
 
+NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+FRACTIONS = NUMBERS[1:]
+
+
 def kind(value: Column) -> Column:
-    """Type of a VARIANT: MISSING, NULL, STRING, BOOLEAN, INT, FLOAT, OBJECT or ARRAY."""
-    return let(
-        F.schema_of_variant(value),
-        lambda s: F.when(value.isNull(), "MISSING")
-        .when(s == "VOID", "NULL")
-        .when(s.isin("STRING", "BOOLEAN"), s)
-        .when(s == "BIGINT", "INT")
-        .when(F.startswith(s, F.lit("OBJECT")), "OBJECT")
-        .when(F.startswith(s, F.lit("ARRAY")), "ARRAY")
-        .otherwise("FLOAT"),
+    """Type word of a VARIANT: STRING, BOOLEAN, BIGINT, DECIMAL, DOUBLE, OBJECT, ARRAY,
+    VOID for a JSON null; MISSING for no value at all."""
+    word = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.coalesce(word, F.lit("MISSING"))
+
+
+def typed(value: Column) -> Column:
+    """struct(kind, raw): a VARIANT's type word and its cast to string."""
+    return F.struct(
+        kind(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("raw")
     )
 
 
-def scalar(v: Column, path: str) -> Column:
-    """struct(kind, text, truthy) of the value at ``path``.
+def text_of(t: Column) -> Column:
+    """Text of a ``typed`` value as lines are compared with it: ``250.0``, ``True``."""
+    return (
+        F.when(t["kind"].isin(*FRACTIONS), float_text(t["raw"].try_cast("double")))
+        .when(t["kind"] == "BOOLEAN", F.when(t["raw"] == "true", "True").otherwise("False"))
+        .otherwise(t["raw"])
+    )
 
-    ``text`` prints numbers and booleans the way the matching code expects
-    (``250.0``, ``True``); a null, an empty string, a zero and an empty
-    container are not truthy.
-    """
 
-    def describe(x: Column) -> Column:
-        return let(kind(x), lambda k: _with_text(x, k))
+def is_truthy(t: Column) -> Column:
+    """False for a missing value, null, '', zero, false and an empty container."""
+    k, raw = t["kind"], t["raw"]
+    return (
+        F.when(k.isin("MISSING", "VOID"), False)
+        .when(k.isin(*NUMBERS), F.coalesce(raw.try_cast("double") != 0, F.lit(True)))
+        .otherwise(~raw.isin("", "{}", "[]") | ((k == "STRING") & (raw != "")))
+        & ~((k == "BOOLEAN") & F.coalesce(raw == "false", F.lit(False)))
+    )
 
-    return let(F.variant_get(v, path, "variant"), describe)
 
+def describe_all(values: Column) -> Column:
+    """array of struct(kind, raw, text, truthy) of an array of VARIANTs.
 
-def _with_text(x: Column, k: Column) -> Column:
-    text = (
-        F.when(k.isin("STRING", "INT"), F.try_variant_get(x, "$", "string"))
-        .when(k == "FLOAT", float_text(F.try_variant_get(x, "$", "double")))
-        .when(k == "BOOLEAN", F.initcap(F.try_variant_get(x, "$", "string")))
-        .when(k.isin("OBJECT", "ARRAY"), F.to_json(x))
-    )
-    return let(
-        text,
+    One lambda per step serves all values, which keeps the plan small.
+    """
+    return F.transform(
+        F.transform(values, typed),
         lambda t: F.struct(
-            k.alias("kind"),
-            t.alias("text"),
-            F.coalesce(
-                ~(
-                    ((k == "STRING") & (t == ""))
-                    | (k.isin("INT", "FLOAT") & (t.try_cast("double") == 0))
-                    | ((k == "BOOLEAN") & (t == "False"))
-                    | ((k == "OBJECT") & (t == "{}"))
-                    | ((k == "ARRAY") & (t == "[]"))
-                ),
-                F.lit(False),
-            ).alias("truthy"),
+            t["kind"].alias("kind"),
+            t["raw"].alias("raw"),
+            text_of(t).alias("text"),
+            is_truthy(t).alias("truthy"),
         ),
     )
 
 
-def amount_of(field: Column) -> Column:
-    """Number of a ``scalar`` struct: numbers lose their sign, strings are parsed."""
+def amount_of(t: Column) -> Column:
+    """Number of a ``typed`` value: numbers lose their sign, strings are parsed."""
     return (
-        F.when(~field["truthy"], F.lit(0.0))
-        .when(field["kind"].isin("INT", "FLOAT"), F.abs(field["text"].try_cast("double")))
-        .when(field["kind"] == "BOOLEAN", F.lit(1.0))
-        .otherwise(parse_amount(field["text"]))
+        F.when(t["kind"].isin("MISSING", "VOID"), F.lit(0.0))
+        .when(t["kind"].isin(*NUMBERS), F.abs(t["raw"].try_cast("double")))
+        .when(t["kind"] == "BOOLEAN", F.when(t["raw"] == "true", 1.0).otherwise(0.0))
+        .otherwise(parse_amount(t["raw"]))
     )

@@ -27,21 +27,15 @@ def float_text(value: Column) -> Column:
 
     Positional notation covers 1e-4 up to 1e16, an exponent form the rest.
     """
-    size = F.abs(value)
     java = value.cast("string")
-    fixed = F.rtrim(value.cast("decimal(38,20)").cast("string"), F.lit("0"))
-    positional = F.when(F.endswith(fixed, F.lit(".")), F.concat(fixed, F.lit("0"))).otherwise(fixed)
-    exponent = F.split_part(java, F.lit("E"), F.lit(2)).try_cast("int")
-    scientific = F.concat(
-        F.regexp_replace(F.split_part(java, F.lit("E"), F.lit(1)), r"\.0$", ""),
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+    fixed = F.regexp_replace(value.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0*$", "$1")
+    scientific = F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(java, r"\.0E", "E"), r"E-(\d)$", "E-0$1"), r"E(\d)", "e+$1"
     )
     return (
-        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
-        .when((size >= 1e-4) & (size < 1e16), positional)
-        .when(F.contains(java, F.lit("E")), scientific)
-        .otherwise(java)
+        F.when(~F.contains(java, F.lit("E")), java)
+        .when(F.abs(value).between(1e-4, 9.999999999999999e15), fixed)
+        .otherwise(F.replace(scientific, F.lit("E"), F.lit("e")))
     )
 
 

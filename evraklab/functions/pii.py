@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +37,10 @@ def _mask_one(state: Column, name: str, pattern: str, prefix: str) -> Column:
     )
 
 
+def _step(name: str, pattern: str, prefix: str) -> Callable[[Column], Column]:
+    return lambda state: _mask_one(state, name, pattern, prefix)
+
+
 def mask(
     text: Column,
     patterns: Sequence[tuple[str, str]] = PII_PATTERNS,
@@ -52,7 +56,7 @@ def mask(
         F.array().cast("array<struct<placeholder:string,original:string>>").alias("entries"),
     )
     for name, pattern in patterns:
-        state = let(state, lambda s, n=name, p=pattern: _mask_one(s, n, p, prefix))
+        state = let(state, _step(name, pattern, prefix))
     return state
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evraklab.functions.lang import float_text, let
+from evraklab.functions.lang import float_text
 from evraklab.schemas import ANALYSIS_FIELDS
 
 # Weights and thresholds of the rules.
@@ -48,7 +48,8 @@ def final_status(action: Column, provisional: Column) -> Column:
     )
 
 
-def decide(
+def with_decision(
+    df: DataFrame,
     *,
     status: Column,
     amount: Column,
@@ -60,8 +61,9 @@ def decide(
     ocr_status: Column | None = None,
     auto_approve_min_trust: float = AUTO_APPROVE_MIN_TRUST,
     high_value: float = HIGH_VALUE,
-) -> Column:
-    """Recommended action with risk and reasons; the first group of rules that holds wins.
+) -> DataFrame:
+    """Add ``decision_engine``: action, risk and reasons; the first group of rules that
+    holds wins.
 
     ``trust`` is the score rounded to four decimals.
     """
@@ -128,9 +130,9 @@ def decide(
         return F.array(F.lit(text))
 
     booked = F.when(has_sender & has_receiver, "AUTO_BOOK").otherwise("AUTO_APPROVE")
-    return let(
-        F.struct(escalations.alias("up"), doubts.alias("doubt")),
-        lambda r: F.when(
+    up, doubt = F.col("_up"), F.col("_doubt")
+    decision = (
+        F.when(
             failed,
             result(
                 F.lit("REJECT"), F.lit(1.0), True,
@@ -144,9 +146,9 @@ def decide(
                 one_reason("Root transaction amount is missing or invalid"),
             ),
         )
-        .when(F.size(r["up"]) > 0, result(F.lit("ESCALATE"), F.lit(0.85), True, r["up"]))
+        .when(F.size(up) > 0, result(F.lit("ESCALATE"), F.lit(0.85), True, up))
         .when(
-            F.size(r["doubt"]) == 0,
+            F.size(doubt) == 0,
             result(
                 booked, F.round(F.lit(1.0) - trust, 4), False,
                 one_reason("High trust score and clean validation check"),
@@ -158,13 +160,18 @@ def decide(
                 F.round(F.lit(0.4) + (F.lit(1.0) - trust) * 0.4, 4),
                 True,
                 F.concat(
-                    r["doubt"],
+                    doubt,
                     one_reason(
                         "Document requires manual verification due to warnings or moderate confidence"
                     ),
                 ),
             )
-        ),
+        )
+    )
+    return (
+        df.select("*", escalations.alias("_up"), doubts.alias("_doubt"))
+        .withColumn("decision_engine", decision)
+        .drop("_up", "_doubt")
     )
 
 

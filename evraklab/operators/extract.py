@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evraklab.functions.json_text import amount_of, kind, scalar
-from evraklab.functions.lang import let
+from evraklab.functions.json_text import (
+    amount_of,
+    describe_all,
+    is_truthy,
+    kind,
+    text_of,
+    typed,
+)
 from evraklab.functions.patterns import all_ibans, first_date, reference_number
 from evraklab.schemas import ANALYSIS_FIELDS, EXTRACTION
 
@@ -41,27 +47,57 @@ def audited(
     )
 
 
-def _adjustments(value: Column) -> Column:
-    """Array of struct(ok, group, total, breakdown) out of the reply's list."""
+NO_ADJUSTMENTS = (
+    "array<struct<ok:boolean,group:struct<kind:string,text:string>,"
+    "total:struct<text:string,truthy:boolean,amount:double>,breakdown:map<string,double>>>"
+)
 
-    def one(x: Column) -> Column:
+
+def _adjustments(values: Column) -> Column:
+    """Typed view of the reply's list of adjustment VARIANTs, one lambda per step."""
+
+    def part(x: Column, name: str) -> Column:
+        return F.try_variant_get(x, f"$.{name}", "variant")
+
+    def open_up(x: Column) -> Column:
         parts = F.try_variant_get(x, "$.breakdown", "map<string,variant>")
-        amounts = F.transform_values(parts, lambda _, y: amount_of(scalar(y, "$")))
-        return let(
-            kind(F.try_variant_get(x, "$.breakdown", "variant")),
-            lambda k: F.struct(
-                ((kind(x) == "OBJECT") & k.isin("MISSING", "OBJECT")).alias("ok"),
-                scalar(x, "$.group_name").alias("group"),
-                scalar(x, "$.total_impact").alias("total"),
-                F.coalesce(
-                    F.when(k == "OBJECT", amounts), F.map_from_arrays(
-                        F.array().cast("array<string>"), F.array().cast("array<double>")
-                    )
-                ).alias("breakdown"),
-            ),
+        return F.struct(
+            kind(x).alias("kind"),
+            typed(part(x, "group_name")).alias("group"),
+            typed(part(x, "total_impact")).alias("total"),
+            kind(part(x, "breakdown")).alias("shape"),
+            F.transform_values(parts, lambda _, y: typed(y)).alias("parts"),
+        )
+
+    def read(a: Column) -> Column:
+        amounts = F.transform_values(a["parts"], lambda _, t: amount_of(t))
+        return F.struct(
+            ((a["kind"] == "OBJECT") & a["shape"].isin("MISSING", "OBJECT")).alias("ok"),
+            F.struct(
+                a["group"]["kind"].alias("kind"), text_of(a["group"]).alias("text")
+            ).alias("group"),
+            F.struct(
+                text_of(a["total"]).alias("text"),
+                is_truthy(a["total"]).alias("truthy"),
+                amount_of(a["total"]).alias("amount"),
+            ).alias("total"),
+            F.coalesce(amounts, F.create_map().cast("map<string,double>")).alias("breakdown"),
         )
 
-    return F.transform(F.try_variant_get(value, "$", "array<variant>"), one)
+    return F.transform(F.transform(values, open_up), read)
+
+
+ROOT = "$.financial_hierarchy.root_transaction"
+PATHS = {
+    **{n: f"$.document_analysis.{n}" for n in ANALYSIS_FIELDS},
+    "amount": f"{ROOT}.amount",
+    "label": f"{ROOT}.label",
+    "text_confirmation": f"{ROOT}.text_confirmation",
+    "root": ROOT,
+    "list": "$.financial_hierarchy.adjustments_and_fees",
+    "trust_score": "$.engine_report.trust_score",
+    "logic_applied": "$.engine_report.logic_applied",
+}
 
 
 def read_reply_fields(df: DataFrame) -> DataFrame:
@@ -71,43 +107,33 @@ def read_reply_fields(df: DataFrame) -> DataFrame:
     transaction, adjustment or breakdown that is not an object.
     """
     v = F.col("reply_json")
-    root, adjustments = "$.financial_hierarchy.root_transaction", (
-        "$.financial_hierarchy.adjustments_and_fees"
-    )
-    opened = df.withColumn("_adj_value", F.try_variant_get(v, adjustments, "variant"))
-    opened = opened.withColumn("_adj_kind", kind(F.col("_adj_value")))
-    opened = opened.withColumn(
-        "_adj", F.when(F.col("_adj_kind") == "ARRAY", _adjustments(F.col("_adj_value")))
+    values = F.array(*[F.variant_get(v, path, "variant") for path in PATHS.values()])
+    opened = df.withColumn("_all", describe_all(values)).withColumn(
+        "_list", F.try_variant_get(v, PATHS["list"], "array<variant>")
     )
+    at = {n: F.get("_all", F.lit(i)) for i, n in enumerate(PATHS)}
+    read = opened.withColumn(
+        "_adj", F.coalesce(_adjustments(F.col("_list")), F.array().cast(NO_ADJUSTMENTS))
+    ).withColumn("_amount", amount_of(at["amount"]))
     # A non-list is only harmless when iterating it yields nothing.
-    harmless = F.col("_adj_kind").isin("MISSING", "ARRAY") | (
-        F.col("_adj_kind").isin("OBJECT", "STRING") & ~scalar(F.col("_adj_value"), "$")["truthy"]
+    listed = at["list"]
+    harmless = listed["kind"].isin("MISSING", "ARRAY") | (
+        listed["kind"].isin("OBJECT", "STRING") & ~listed["truthy"]
     )
     malformed = (
         ~harmless
-        | ~kind(F.variant_get(v, root, "variant")).isin("MISSING", "OBJECT")
-        | F.coalesce(F.exists("_adj", lambda a: ~a["ok"]), F.lit(False))
+        | ~at["root"]["kind"].isin("MISSING", "OBJECT")
+        | F.exists("_adj", lambda a: ~a["ok"])
     )
+    given = [at[n].alias(n) for n in PATHS if n not in ("root", "list")]
     fields = F.struct(
-        *[scalar(v, f"$.document_analysis.{n}").alias(n) for n in ANALYSIS_FIELDS],
-        scalar(v, f"{root}.amount").alias("amount"),
-        scalar(v, f"{root}.label").alias("label"),
-        scalar(v, f"{root}.text_confirmation").alias("text_confirmation"),
-        F.coalesce(
-            "_adj",
-            F.array().cast(
-                "array<struct<ok:boolean,"
-                "group:struct<kind:string,text:string,truthy:boolean>,"
-                "total:struct<kind:string,text:string,truthy:boolean>,"
-                "breakdown:map<string,double>>>"
-            ),
-        ).alias("adjustments"),
-        scalar(v, "$.engine_report.trust_score")["text"].try_cast("double").alias("trust_score"),
-        scalar(v, "$.engine_report.logic_applied")["text"].alias("logic_applied"),
+        *given,
+        F.col("_amount").alias("root_amount"),
+        F.col("_adj").alias("adjustments"),
         malformed.alias("malformed"),
     )
-    return opened.withColumn("reply_fields", F.when(v.isNotNull(), fields)).drop(
-        "_adj_value", "_adj_kind", "_adj"
+    return read.select(
+        *df.columns, F.when(F.col("reply_json").isNotNull(), fields).alias("reply_fields")
     )
 
 
@@ -221,14 +247,16 @@ def with_extraction(
         return audited(fields[name]["text"], evidence=proof(F.lit(EVIDENCE_SLOTS[name])))
 
     analysis = F.struct(*[analysis_field(n).alias(n) for n in ANALYSIS_FIELDS])
-    root_amount = amount_of(fields["amount"])
+    root_amount = fields["root_amount"]
 
     def adjustment(a: Column, i: Column) -> Column:
-        total = amount_of(a["total"])
+        total = a["total"]["amount"]
         parts = F.aggregate(F.map_values(a["breakdown"]), F.lit(0.0), lambda s, x: s + x)
         retested = (i == 0) & (root_amount != 0) & ~(F.abs(parts - total) < MATCH_TOLERANCE)
         return F.struct(
-            audited(_or_default(a["group"], GROUP_DEFAULT)).alias("group_name"),
+            audited(
+                F.when(a["group"]["kind"] == "MISSING", GROUP_DEFAULT).otherwise(a["group"]["text"])
+            ).alias("group_name"),
             audited(total, evidence=proof(i + F.lit(FIRST_ADJUSTMENT))).alias("total_impact"),
             a["breakdown"].alias("breakdown"),
             F.when(retested, "MISMATCH").otherwise("MATCH").alias("math_status"),
@@ -246,7 +274,8 @@ def with_extraction(
         F.transform(fields["adjustments"], adjustment).alias("adjustments_and_fees"),
     )
     report = F.struct(
-        fields["trust_score"].alias("trust_score"), fields["logic_applied"].alias("logic_applied")
+        fields["trust_score"]["text"].try_cast("double").alias("trust_score"),
+        fields["logic_applied"]["text"].alias("logic_applied"),
     )
     built = F.struct(
         analysis.alias("document_analysis"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evraklab.functions.json_text import cut_json, kind, scalar
+from evraklab.functions.json_text import cut_json, kind
 from evraklab.functions.pii import unmask
 
 # The objects a reply must hold.
@@ -24,13 +24,14 @@ def parse_replies(df: DataFrame, reply: str = "reply", entries: str | None = Non
     if entries is not None:
         body = unmask(body, F.col(entries))
     parsed = df.withColumn("_v", F.try_parse_json(body))
+    paths = {name: f"$.{name}" for name in REQUIRED_OBJECTS}
+    kinds = parsed.select(
+        "*",
+        *[kind(F.variant_get("_v", path, "variant")).alias(f"_k_{n}") for n, path in paths.items()],
+        F.try_variant_get("_v", "$.engine_report.trust_score", "double").alias("_trust"),
+    )
     bad = F.array_compact(
-        F.array(
-            *[
-                F.when(kind(F.variant_get("_v", f"$.{name}", "variant")) != "OBJECT", F.lit(name))
-                for name in REQUIRED_OBJECTS
-            ]
-        )
+        F.array(*[F.when(F.col(f"_k_{n}") != "OBJECT", F.lit(n)) for n in REQUIRED_OBJECTS])
     )
     msg = (
         F.when(F.col(reply).isNull(), "no reply")
@@ -40,12 +41,12 @@ def parse_replies(df: DataFrame, reply: str = "reply", entries: str | None = Non
             F.concat(F.lit("not an object in reply: "), F.array_join("_bad", ", ")),
         )
     )
-    checked = parsed.withColumn("_bad", bad).withColumn("reply_msg", msg)
+    checked = kinds.withColumn("_bad", bad).withColumn("reply_msg", msg)
     ok = F.col("reply_msg").isNull()
-    trust = scalar(F.col("_v"), "$.engine_report.trust_score")["text"].try_cast("double")
-    return (
-        checked.withColumn("reply_status", F.when(ok, "SUCCESS").otherwise("ERROR"))
-        .withColumn("reply_confidence", F.when(ok, F.coalesce(trust, F.lit(0.0))))
-        .withColumn("reply_json", F.when(ok, F.col("_v")))
-        .drop("_v", "_bad")
+    return checked.select(
+        *df.columns,
+        "reply_msg",
+        F.when(ok, "SUCCESS").otherwise("ERROR").alias("reply_status"),
+        F.when(ok, F.coalesce("_trust", F.lit(0.0))).alias("reply_confidence"),
+        F.when(ok, F.col("_v")).alias("reply_json"),
     )

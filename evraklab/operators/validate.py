@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evraklab.functions.lang import float_text, let
@@ -52,10 +52,13 @@ def _party_check(name: str, value: Column) -> Column:
     )
 
 
-def validation_report(extraction: Column) -> Column:
-    """struct(status, checks); the worst check decides: FAIL, then WARNING."""
-    analysis = extraction["document_analysis"]
-    hierarchy = extraction["financial_hierarchy"]
+def with_validation(df: DataFrame, extraction: str = "extraction") -> DataFrame:
+    """Add ``validation_report``: struct(status, checks), null where there is no extraction.
+
+    The worst check decides the status: FAIL, then WARNING.
+    """
+    analysis = F.col(f"{extraction}.document_analysis")
+    hierarchy = F.col(f"{extraction}.financial_hierarchy")
     confidence = F.coalesce(
         hierarchy["root_transaction"]["amount"]["confidence"], F.lit(1.0)
     )
@@ -79,13 +82,14 @@ def validation_report(extraction: Column) -> Column:
             ),
         ),
     )
-
-    def rolled_up(checks: Column) -> Column:
-        status = (
-            F.when(F.exists(checks, lambda c: c["status"] == "FAIL"), "ERROR")
-            .when(F.exists(checks, lambda c: c["status"] == "WARNING"), "WARNING")
-            .otherwise("SUCCESS")
-        )
-        return F.struct(status.alias("status"), checks.alias("checks"))
-
-    return let(F.array_compact(F.concat(sums, others)), rolled_up).cast(VALIDATION_REPORT)
+    checked = df.withColumn("_checks", F.array_compact(F.concat(sums, others)))
+    status = (
+        F.when(F.exists("_checks", lambda c: c["status"] == "FAIL"), "ERROR")
+        .when(F.exists("_checks", lambda c: c["status"] == "WARNING"), "WARNING")
+        .otherwise("SUCCESS")
+    )
+    report = F.struct(status.alias("status"), F.col("_checks").alias("checks"))
+    return checked.withColumn(
+        "validation_report",
+        F.when(F.col(extraction).isNotNull(), report).cast(VALIDATION_REPORT),
+    ).drop("_checks")

@@ -13,12 +13,12 @@ from evraklab.operators.decide import (
     AUTO_APPROVE_MIN_TRUST,
     HIGH_VALUE,
     blank_stage_report,
-    decide,
     final_status,
     flagged_fields,
     overall_trust,
     provisional_status,
     stage_report,
+    with_decision,
 )
 from evraklab.operators.doc_text import line_chunks, texts_of_chunks
 from evraklab.operators.evidence import find_evidence
@@ -30,7 +30,7 @@ from evraklab.operators.extract import (
 )
 from evraklab.operators.metrics import document_metrics, page_metrics
 from evraklab.operators.replies import parse_replies
-from evraklab.operators.validate import validation_report
+from evraklab.operators.validate import with_validation
 
 
 class Outcome(NamedTuple):
@@ -115,8 +115,7 @@ def _with_evidence(read: DataFrame, chunks: DataFrame, fuzzy: bool) -> DataFrame
 
 
 def _decided(df: DataFrame, auto_approve_min_trust: float, high_value: float) -> DataFrame:
-    report = F.when(F.col("extraction").isNotNull(), validation_report(F.col("extraction")))
-    trusted = df.withColumn("validation_report", report).withColumn(
+    trusted = with_validation(df).withColumn(
         "trust_score", overall_trust(F.col("mean_confidence"), F.col("reply_status"))
     )
     bare = trusted.withColumn(
@@ -128,19 +127,17 @@ def _decided(df: DataFrame, auto_approve_min_trust: float, high_value: float) ->
             F.col("reply_status"), F.col("validation_report.status"), F.col("trust_score")
         ),
     )
-    decided = provisional.withColumn(
-        "decision_engine",
-        decide(
-            status=F.col("_status"),
-            amount=F.col("data.financial_hierarchy.root_transaction.amount.value"),
-            sender=F.col("data.document_analysis.sender.value"),
-            receiver=F.col("data.document_analysis.receiver.value"),
-            report_status=F.col("validation_report.status"),
-            trust=F.col("overall_trust_score"),
-            flagged=flagged_fields(F.col("data")),
-            auto_approve_min_trust=auto_approve_min_trust,
-            high_value=high_value,
-        ),
+    decided = with_decision(
+        provisional,
+        status=F.col("_status"),
+        amount=F.col("data.financial_hierarchy.root_transaction.amount.value"),
+        sender=F.col("data.document_analysis.sender.value"),
+        receiver=F.col("data.document_analysis.receiver.value"),
+        report_status=F.col("validation_report.status"),
+        trust=F.col("overall_trust_score"),
+        flagged=flagged_fields(F.col("data")),
+        auto_approve_min_trust=auto_approve_min_trust,
+        high_value=high_value,
     )
     c = F.col("classification")
     return decided.withColumn(
