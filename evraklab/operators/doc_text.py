@@ -38,8 +38,13 @@ def line_chunks(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     )
 
 
+def runs_of(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
+    """(doc_id, chunk): the runs each document has; reads no text."""
+    return lines.select("doc_id", chunk_of(F.col("line_no"), size).alias("chunk")).distinct()
+
+
 def texts_of_chunks(chunks: DataFrame, separator: str = " ") -> DataFrame:
-    """(doc_id, raw_text, n_lines, mean_confidence, chunk_ids) out of ``line_chunks``."""
+    """(doc_id, raw_text, n_lines, mean_confidence) out of ``line_chunks``."""
     part = F.struct("chunk", joined(F.col("lines"), "text", separator).alias("text"))
     per_doc = (
         chunks.select("doc_id", part.alias("part"), "n_lines", "conf_sum")
@@ -55,10 +60,9 @@ def texts_of_chunks(chunks: DataFrame, separator: str = " ") -> DataFrame:
         joined(F.col("parts"), "text", separator).alias("raw_text"),
         "n_lines",
         (F.col("conf_sum") / F.col("n_lines")).alias("mean_confidence"),
-        F.col("parts.chunk").alias("chunk_ids"),
     )
 
 
 def document_texts(lines: DataFrame, separator: str = " ") -> DataFrame:
     """One row per document with its whole text, line count and mean confidence."""
-    return texts_of_chunks(line_chunks(lines), separator).drop("chunk_ids")
+    return texts_of_chunks(line_chunks(lines), separator)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evraklab.functions.fuzzy import (
@@ -11,7 +11,7 @@ from evraklab.functions.fuzzy import (
     may_reach,
     partial_ratio,
 )
-from evraklab.operators.doc_text import line_chunks
+from evraklab.operators.doc_text import line_chunks, runs_of
 
 MIN_SCORE = 80
 
@@ -38,37 +38,44 @@ def find_evidence(
             "lines", lambda l: F.struct(l["line_no"], l["text"], F.upper(l["text"]).alias("upper"))
         ).alias("lines"),
     ).join(targets, ["doc_id", "chunk"])
-    per_target = found.select("doc_id", "lines", F.explode("targets").alias("t")).select(
-        "doc_id", "lines", F.col("t.slot").alias("slot"), F.upper("t.target").alias("target")
-    )
-    with_exact = per_target.withColumn(
-        "exact",
-        F.get(F.filter("lines", lambda l: contains_exactly(l["upper"], F.col("target"))), F.lit(0)),
-    )
+
+    def first_exact(t: Column) -> Column:
+        target = F.upper(t["target"])
+        held = F.filter("lines", lambda l: contains_exactly(l["upper"], target))
+        return F.struct(
+            t["slot"].alias("slot"), target.alias("target"), F.get(held, F.lit(0)).alias("exact")
+        )
+
+    exact = found.select("doc_id", "lines", F.transform("targets", first_exact).alias("targets"))
     best = F.max_by("text", F.struct(F.col("score"), -F.col("line_no")))
     if not fuzzy:
-        hits = with_exact.where(F.col("exact").isNotNull()).select(
+        hits = exact.select("doc_id", F.inline("targets")).where(F.col("exact").isNotNull()).select(
             "doc_id", "slot", F.lit(100.0).alias("score"), "exact.line_no", "exact.text"
         )
     else:
-        settled = F.col("exact").isNotNull() & (F.length("target") < ROUNDING_LENGTH)
-        candidates = F.when(settled, F.array("exact")).otherwise(
-            F.filter("lines", lambda l: may_reach(F.col("target"), l["upper"], min_score))
-        )
-        pairs = with_exact.select(
-            "doc_id", "slot", "target", settled.alias("settled"), F.explode(candidates).alias("line")
+
+        def candidates(t: Column) -> Column:
+            settled = t["exact"].isNotNull() & (F.length(t["target"]) < ROUNDING_LENGTH)
+            near = F.filter("lines", lambda l: may_reach(t["target"], l["upper"], min_score))
+            return F.struct(
+                t["slot"].alias("slot"),
+                t["target"].alias("target"),
+                settled.alias("settled"),
+                F.when(settled, F.array(t["exact"])).otherwise(near).alias("lines"),
+            )
+
+        pairs = exact.select("doc_id", F.inline(F.transform("targets", candidates))).select(
+            "doc_id", "slot", "target", "settled", F.inline("lines")
         )
         # Settled rows travel to Python as nulls: the UDF skips them.
+        open_ = ~F.col("settled")
         score = F.coalesce(
             F.when(F.col("settled"), F.lit(100.0)),
-            partial_ratio(
-                F.when(~F.col("settled"), F.col("target")),
-                F.when(~F.col("settled"), F.col("line.upper")),
-            ),
+            partial_ratio(F.when(open_, F.col("target")), F.when(open_, F.col("upper"))),
+        )
+        hits = pairs.select("doc_id", "slot", score.alias("score"), "line_no", "text").where(
+            F.col("score") > min_score
         )
-        hits = pairs.select(
-            "doc_id", "slot", score.alias("score"), "line.line_no", "line.text"
-        ).where(F.col("score") > min_score)
     return hits.groupBy("doc_id", "slot").agg(
         best.alias("evidence_text"), F.max("score").alias("score")
     )
@@ -79,7 +86,7 @@ def evidence_for(
 ) -> DataFrame:
     """Evidence for (doc_id, slot, value) rows; falsy values have none."""
     chunks = line_chunks(lines)
-    chunk_ids = chunks.select("doc_id", "chunk")
+    chunk_ids = runs_of(lines)
     wanted = (
         values.where(F.coalesce(F.col("value"), F.lit("")) != "")
         .groupBy("doc_id")

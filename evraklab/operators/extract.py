@@ -137,20 +137,28 @@ def read_reply_fields(df: DataFrame) -> DataFrame:
     )
 
 
-def evidence_targets(fields: Column) -> Column:
-    """Array of struct(slot, target) of the values evidence is sought for."""
+def evidence_targets(df: DataFrame) -> DataFrame:
+    """(doc_id, targets) for parsed replies: the values evidence is sought for.
 
-    def target(slot: Column, field: Column) -> Column:
-        return F.when(
-            field["truthy"], F.struct(slot.alias("slot"), field["text"].alias("target"))
-        )
-
-    single = [target(F.lit(slot), fields[name]) for name, slot in EVIDENCE_SLOTS.items()]
-    totals = F.transform(
-        fields["adjustments"], lambda a, i: target(i + F.lit(FIRST_ADJUSTMENT), a["total"])
+    ``targets`` is an array of struct(slot, target). Only those values are read
+    from ``reply_json``, so this can run beside the full reading of the reply.
+    """
+    v = F.col("reply_json")
+    single = F.array(*[F.variant_get(v, PATHS[n], "variant") for n in EVIDENCE_SLOTS])
+    listed = F.coalesce(
+        F.try_variant_get(v, PATHS["list"], "array<variant>"), F.array().cast("array<variant>")
+    )
+    totals = F.transform(listed, lambda x: F.try_variant_get(x, "$.total_impact", "variant"))
+    values = F.transform(
+        describe_all(F.concat(single, totals)),
+        lambda t, slot: F.when(
+            t["truthy"], F.struct(slot.alias("slot"), t["text"].alias("target"))
+        ),
     )
-    return F.when(
-        ~fields["malformed"], F.array_compact(F.concat(F.array(*single), totals))
+    return (
+        df.where(v.isNotNull())
+        .select("doc_id", F.array_compact(values).alias("targets"))
+        .where(F.size("targets") > 0)
     )
 
 

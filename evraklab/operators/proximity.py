@@ -14,7 +14,7 @@ from evraklab.functions.fuzzy import (
     partial_ratio,
 )
 from evraklab.functions.patterns import has_digit
-from evraklab.operators.doc_text import chunk_of
+from evraklab.operators.doc_text import chunk_of, runs_of
 
 # How far a number may lie from its label.
 LABEL_SCORE = 85
@@ -89,8 +89,7 @@ def nearest_numbers(
         _centre(F.col("bbox"), 0).alias("xc"),
         _centre(F.col("bbox"), 1).alias("yc"),
     )
-    runs = keyed.select("doc_id", "chunk").distinct()
-    anchors = labels.join(runs, "doc_id").select(
+    anchors = labels.join(runs_of(lines), "doc_id").select(
         "doc_id",
         "chunk",
         "keyword_no",

@@ -20,7 +20,7 @@ from evraklab.operators.decide import (
     stage_report,
     with_decision,
 )
-from evraklab.operators.doc_text import line_chunks, texts_of_chunks
+from evraklab.operators.doc_text import line_chunks, runs_of, texts_of_chunks
 from evraklab.operators.evidence import find_evidence
 from evraklab.operators.extract import (
     evidence_targets,
@@ -77,18 +77,28 @@ def process_documents(
     tables with one row per document.
     """
     chunks = line_chunks(lines)
-    texts = texts_of_chunks(chunks)
     reply_columns = ["doc_id", "reply"] + ([entries] if entries else [])
-    joined = texts.join(replies.select(*reply_columns), "doc_id", "left")
-    classified = with_classification(joined, "raw_text", rules, subtypes).withColumn(
-        "category", F.col("classification.domain")
+    parsed = parse_replies(replies.select(*reply_columns), "reply", entries)
+    read = read_reply_fields(parsed).select(
+        "doc_id", "reply_status", "reply_msg", "reply_confidence", "reply_fields"
     )
-    read = read_reply_fields(parse_replies(classified, "reply", entries))
+    joined = texts_of_chunks(chunks).join(read, "doc_id", "left")
     evidence_map = None
     if with_evidence:
-        read = _with_evidence(read, chunks, fuzzy_evidence)
         evidence_map = "evidence"
-    extracted = with_extraction(read, "raw_text", "category", evidence_map)
+        joined = joined.join(_evidence(lines, chunks, parsed, fuzzy_evidence), "doc_id", "left")
+    answered = joined.withColumns(
+        {
+            "reply_status": F.coalesce("reply_status", F.lit("ERROR")),
+            "reply_msg": F.when(F.col("reply_status").isNull(), "no reply").otherwise(
+                F.col("reply_msg")
+            ),
+        }
+    )
+    classified = with_classification(answered, "raw_text", rules, subtypes).withColumn(
+        "category", F.col("classification.domain")
+    )
+    extracted = with_extraction(classified, "raw_text", "category", evidence_map)
     results = _decided(extracted, auto_approve_min_trust, high_value)
     if with_metrics:
         results = results.join(document_metrics(page_metrics(lines)), "doc_id", "left")
@@ -100,18 +110,13 @@ def process_documents(
     return Outcome(results, rejects)
 
 
-def _with_evidence(read: DataFrame, chunks: DataFrame, fuzzy: bool) -> DataFrame:
-    """Add ``evidence``: slot -> line text."""
-    wanted = read.select(
-        "doc_id", "chunk_ids", evidence_targets(F.col("reply_fields")).alias("targets")
-    ).where(F.size("targets") > 0)
-    per_chunk = wanted.select("doc_id", F.explode("chunk_ids").alias("chunk"), "targets")
+def _evidence(lines: DataFrame, chunks: DataFrame, parsed: DataFrame, fuzzy: bool) -> DataFrame:
+    """(doc_id, evidence): slot -> line text, one entry per value of the document's reply."""
+    per_chunk = runs_of(lines).join(evidence_targets(parsed), "doc_id")
     hits = find_evidence(chunks, per_chunk, fuzzy=fuzzy)
-    # One entry per value of the document's own reply.
-    per_doc = hits.groupBy("doc_id").agg(
+    return hits.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "evidence_text"))).alias("evidence")
     )
-    return read.join(per_doc, "doc_id", "left")
 
 
 def _decided(df: DataFrame, auto_approve_min_trust: float, high_value: float) -> DataFrame:
