@@ -115,9 +115,14 @@ def _partial_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return out
 
 
+# Declared non-deterministic only so that a filter on the score is not pushed
+# below it, which would compute every score twice.
+_score_once = _partial_ratio.asNondeterministic()
+
+
 def partial_ratio(left: Column, right: Column) -> Column:
     """Best similarity (0-100) of the shorter string with any stretch of the longer."""
-    return _partial_ratio(left, right)
+    return _score_once(left, right)
 
 
 def contains_exactly(left: Column, right: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add computed columns that a later filter will not recompute.
+
+    A filter on a projected column is normally pushed below the projection, with
+    the column's expression copied into it. Over a chain of rules that copies
+    every step into the next and evaluates all of it twice. The output of a
+    generator stays where it is; filters on the other columns still move down.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

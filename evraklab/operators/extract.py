@@ -155,11 +155,7 @@ def evidence_targets(df: DataFrame) -> DataFrame:
             t["truthy"], F.struct(slot.alias("slot"), t["text"].alias("target"))
         ),
     )
-    return (
-        df.where(v.isNotNull())
-        .select("doc_id", F.array_compact(values).alias("targets"))
-        .where(F.size("targets") > 0)
-    )
+    return df.select("doc_id", F.array_compact(values).alias("targets"))
 
 
 def fallbacks(fields: Column, text: Column, ibans: Column) -> dict[str, tuple[Column, Column]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evraklab.functions.json_text import cut_json, kind
+from evraklab.functions.lang import with_settled
 from evraklab.functions.pii import unmask
 
 # The objects a reply must hold.
@@ -43,10 +44,13 @@ def parse_replies(df: DataFrame, reply: str = "reply", entries: str | None = Non
     )
     checked = kinds.withColumn("_bad", bad).withColumn("reply_msg", msg)
     ok = F.col("reply_msg").isNull()
-    return checked.select(
-        *df.columns,
-        "reply_msg",
-        F.when(ok, "SUCCESS").otherwise("ERROR").alias("reply_status"),
-        F.when(ok, F.coalesce("_trust", F.lit(0.0))).alias("reply_confidence"),
-        F.when(ok, F.col("_v")).alias("reply_json"),
+    result = with_settled(
+        checked,
+        {
+            "reply_msg": F.col("reply_msg"),
+            "reply_status": F.when(ok, "SUCCESS").otherwise("ERROR"),
+            "reply_confidence": F.when(ok, F.coalesce("_trust", F.lit(0.0))),
+            "reply_json": F.when(ok, F.col("_v")),
+        },
     )
+    return result.drop("_v", "_bad", "_trust", *[f"_k_{n}" for n in paths])

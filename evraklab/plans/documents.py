@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evraklab.functions.lang import with_settled
 from evraklab.operators.classify import RULES, SUBTYPES, Rule, Subtype, with_classification
 from evraklab.operators.decide import (
     AUTO_APPROVE_MIN_TRUST,
@@ -99,10 +100,9 @@ def process_documents(
         "category", F.col("classification.domain")
     )
     extracted = with_extraction(classified, "raw_text", "category", evidence_map)
-    results = _decided(extracted, auto_approve_min_trust, high_value)
+    results = _named(_decided(extracted, auto_approve_min_trust, high_value), documents)
     if with_metrics:
         results = results.join(document_metrics(page_metrics(lines)), "doc_id", "left")
-    results = _named(results, documents)
     if documents is None:
         rejects = early_rejects(lines.select("doc_id").limit(0), lines)
     else:
@@ -155,15 +155,6 @@ def _decided(df: DataFrame, auto_approve_min_trust: float, high_value: float) ->
     )
 
 
-METRICS = (
-    "total_blocks",
-    "total_chars",
-    "page_count",
-    "block_variance",
-    "confidence_variance",
-)
-
-
 def _named(df: DataFrame, documents: DataFrame | None) -> DataFrame:
     """Final columns, with the manifest's names where there is one."""
     manifest = {
@@ -178,29 +169,39 @@ def _named(df: DataFrame, documents: DataFrame | None) -> DataFrame:
         for name in known:
             manifest[name] = F.coalesce(name, manifest[name]) if name != "filename" else F.col(name)
 
-    def final(name: str) -> Column:
-        return manifest[name].alias(name)
-
     # Report and decision also travel inside the data record.
     data = F.col("data").withField("validation_report", F.col("validation_report")).withField(
         "decision_engine", F.col("decision_engine")
     )
-    return df.select(
+    kept = df.withColumnRenamed("raw_text", "full_raw_text")
+    computed = {
+        **manifest,
+        "status": F.col("status"),
+        "overall_trust_score": F.col("overall_trust_score"),
+        "trust_score": F.col("trust_score"),
+        "classification": F.col("classification"),
+        "stages": F.col("stages"),
+        "data": data,
+        "validation_report": F.col("validation_report"),
+        "decision_engine": F.col("decision_engine"),
+        "reply_status": F.col("reply_status"),
+        "reply_confidence": F.col("reply_confidence"),
+    }
+    return with_settled(kept, computed).select(
         "doc_id",
-        final("task_id"),
-        final("filename"),
-        final("key_id"),
+        "task_id",
+        "filename",
+        "key_id",
         "status",
         "overall_trust_score",
         "trust_score",
         "classification",
         "stages",
-        data.alias("data"),
-        F.col("raw_text").alias("full_raw_text"),
-        final("processing_time"),
+        "data",
+        "full_raw_text",
+        "processing_time",
         "validation_report",
         "decision_engine",
         "reply_status",
         "reply_confidence",
-        *[c for c in METRICS if c in df.columns],
     )
