@@ -12,11 +12,34 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+# Options a session can only get when it is built.
+START_CONF = {
     # Call sites per column expression cost more than building the plan itself.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
+def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
+    """Session for tests and the bench on one machine."""
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("evraklab")
+    options = {
+        **START_CONF,
+        **SESSION_CONF,
+        "spark.sql.shuffle.partitions": str(cpus),
+        "spark.driver.memory": memory,
+        **conf,
+    }
+    for key, value in options.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options the plans rely on and return the session."""
     for key, value in SESSION_CONF.items():
