@@ -147,9 +147,7 @@ def may_reach(left: Column, right: Column, score: int) -> Column:
         present = F.length(short) - F.length(F.call_function("translate", short, long, F.lit("")))
         return present >= F.length(short) * F.lit(least) - F.lit(1e-9)
 
-    shorter_left = F.length(left) <= F.length(right)
-    return (left != "") & (right != "") & F.when(shorter_left, enough(left, right)).otherwise(
+    by_length = F.when(F.length(left) <= F.length(right), enough(left, right)).otherwise(
         enough(right, left)
     )
-
-
+    return F.when((left != "") & (right != ""), by_length).otherwise((left == "") & (right == ""))

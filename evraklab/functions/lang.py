@@ -47,7 +47,7 @@ def float_text(value: Column) -> Column:
     )
     return (
         F.when(~F.contains(java, F.lit("E")), java)
-        .when(F.abs(value).between(1e-4, 9.999999999999999e15), fixed)
+        .when((F.abs(value) >= 1e-4) & (F.abs(value) < 1e16), fixed)
         .otherwise(F.replace(scientific, F.lit("E"), F.lit("e")))
     )
 
