@@ -79,7 +79,10 @@ def process_documents(
     """
     chunks = line_chunks(lines)
     reply_columns = ["doc_id", "reply"] + ([entries] if entries else [])
-    parsed = parse_replies(replies.select(*reply_columns), "reply", entries)
+    # Spread by document before the parse: the same exchange serves the evidence
+    # targets and leaves the replies where the join with the texts needs them.
+    spread = replies.select(*reply_columns).repartition("doc_id")
+    parsed = parse_replies(spread, "reply", entries)
     read = read_reply_fields(parsed).select(
         "doc_id", "reply_status", "reply_msg", "reply_confidence", "reply_fields"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,24 +13,37 @@ from evraklab.schemas import BOX
 LINE = "array<struct<text:string,confidence:double,bbox:array<array<double>>>>"
 
 
-def blocks_of_parallel_lists(df: DataFrame) -> DataFrame:
-    """Add ``blocks`` from ``dt_polys``, ``rec_texts``, ``rec_scores``.
+BOXES = f"array<{BOX.simpleString()}>"
+PARALLEL_LISTS = f"array<struct<dt_polys:{BOXES},rec_texts:array<string>,rec_scores:array<double>>>"
 
-    Lists of unequal length are padded (no box, no text, score 0); blocks with
-    blank text are dropped, the others trimmed.
-    """
+
+def _zipped(polys: Column, texts: Column, scores: Column) -> Column:
+    """Blocks of parallel lists, padded to the longest; blank texts drop out."""
     zipped = F.arrays_zip(
-        *[F.coalesce(c, F.array()).alias(c) for c in ("dt_polys", "rec_texts", "rec_scores")]
+        F.coalesce(polys, F.array().cast(BOXES)).alias("p"),
+        F.coalesce(texts, F.array().cast("array<string>")).alias("t"),
+        F.coalesce(scores, F.array().cast("array<double>")).alias("s"),
     )
     trimmed = F.transform(
         zipped,
         lambda z: F.struct(
-            strip(F.coalesce(z["rec_texts"], F.lit(""))).alias("text"),
-            F.coalesce(z["rec_scores"], F.lit(0.0)).alias("confidence"),
-            z["dt_polys"].alias("bbox"),
+            strip(F.coalesce(z["t"], F.lit(""))).alias("text"),
+            F.coalesce(z["s"], F.lit(0.0)).alias("confidence"),
+            z["p"].alias("bbox"),
         ),
     )
-    return df.withColumn("blocks", F.filter(trimmed, lambda b: b["text"] != "").cast(LINE))
+    return F.filter(trimmed, lambda b: b["text"] != "").cast(LINE)
+
+
+def blocks_of_parallel_lists(df: DataFrame) -> DataFrame:
+    """Add ``blocks`` from ``dt_polys``, ``rec_texts``, ``rec_scores``.
+
+    Lists of unequal length are padded (no box, no text, score 0); blocks with
+    blank text are dropped, the others trimmed.
+    """
+    return df.withColumn(
+        "blocks", _zipped(F.col("dt_polys"), F.col("rec_texts"), F.col("rec_scores"))
+    )
 
 
 def blocks_of_pairs(df: DataFrame, column: str = "pairs") -> DataFrame:
@@ -49,34 +62,27 @@ def blocks_of_pairs(df: DataFrame, column: str = "pairs") -> DataFrame:
 def blocks_of_json(df: DataFrame, column: str = "payload") -> DataFrame:
     """Add ``blocks`` from a payload's JSON text, whichever of the two shapes it has.
 
+    A list of nothing but objects is read with a schema; any other payload is
+    opened step by step, which is slower.
+
     The payload is a list. An object in it holds parallel lists; an array holds
     ``[box, [text, conf]]`` pairs, directly or one level down. Anything else is
     passed over, as is a payload that is no JSON list.
     """
-    # The top level may itself be the list of one page's pairs.
-    items = F.try_variant_get(F.try_parse_json(column), "$", "array<variant>")
+    only_objects = F.rlike(column, F.lit(r"^\s*\[\s*\{")) & ~F.rlike(
+        column, F.lit(r"\}\s*,\s*\[")
+    )
+    typed = F.from_json(F.when(only_objects, F.col(column)), PARALLEL_LISTS)
+    items = F.try_variant_get(
+        F.try_parse_json(F.when(~only_objects, F.col(column))), "$", "array<variant>"
+    )
 
     def of_object(x):
-        zipped = F.arrays_zip(
-            F.coalesce(F.try_variant_get(x, "$.dt_polys", BOXES), F.array().cast(BOXES)).alias("p"),
-            F.coalesce(
-                F.try_variant_get(x, "$.rec_texts", "array<string>"),
-                F.array().cast("array<string>"),
-            ).alias("t"),
-            F.coalesce(
-                F.try_variant_get(x, "$.rec_scores", "array<double>"),
-                F.array().cast("array<double>"),
-            ).alias("s"),
-        )
-        trimmed = F.transform(
-            zipped,
-            lambda z: F.struct(
-                strip(F.coalesce(z["t"], F.lit(""))).alias("text"),
-                F.coalesce(z["s"], F.lit(0.0)).alias("confidence"),
-                z["p"].alias("bbox"),
-            ),
+        return _zipped(
+            F.try_variant_get(x, "$.dt_polys", BOXES),
+            F.try_variant_get(x, "$.rec_texts", "array<string>"),
+            F.try_variant_get(x, "$.rec_scores", "array<double>"),
         )
-        return F.filter(trimmed, lambda b: b["text"] != "").cast(LINE)
 
     def is_pair(x):
         return (kind(F.try_variant_get(x, "$[1]", "variant")) == "ARRAY") & (
@@ -108,13 +114,11 @@ def blocks_of_json(df: DataFrame, column: str = "payload") -> DataFrame:
             .otherwise(F.array().cast(LINE))
         )
 
-    found = F.flatten(F.transform(items, of_item))
+    listed = F.transform(typed, lambda x: _zipped(x["dt_polys"], x["rec_texts"], x["rec_scores"]))
+    found = F.coalesce(F.flatten(listed), F.flatten(F.transform(items, of_item)))
     return df.withColumn("blocks", F.coalesce(found, F.array().cast(LINE)))
 
 
-BOXES = f"array<{BOX.simpleString()}>"
-
-
 def lines_of_blocks(df: DataFrame) -> DataFrame:
     """Line table from (doc_id, page, method, blocks), one row per page.
 

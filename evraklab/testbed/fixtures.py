@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, *more: str) -> DataFrame:
+    """A driver table is one small file, read by one task; a landing zone has many."""
+    return df.repartition("doc_id", *more)
+
+
 # -- store ---------------------------------------------------------------------------
 
 
@@ -270,7 +275,9 @@ def fx_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(key % 17 == 0, F.lit('{"document_analysis": {')).otherwise(full)
     fenced = F.concat(F.lit("```json "), body, F.lit(" ```"))
     prose = F.concat(F.lit("Here: "), body, F.lit(" done"))
-    return o.select(key.alias("doc_id"), F.when(key % 3 == 0, fenced).otherwise(prose).alias("reply"))
+    return _spread(
+        o.select(key.alias("doc_id"), F.when(key % 3 == 0, fenced).otherwise(prose).alias("reply"))
+    )
 
 
 SQL_REPLIES = """
@@ -332,7 +339,7 @@ def fx_fee_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).otherwise(F.lit("")),
         F.lit(']},"engine_report":{"trust_score":0.75}}'),
     )
-    return o.select(key.alias("doc_id"), reply.alias("reply"))
+    return _spread(o.select(key.alias("doc_id"), reply.alias("reply")))
 
 
 SQL_FEE_REPLIES = """
@@ -370,9 +377,10 @@ def fx_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit(2).alias("page"), pairs.alias("payload")),
         )
     )
-    return o.select(F.col("o_orderkey").alias("doc_id"), page.alias("p")).select(
+    pages = o.select(F.col("o_orderkey").alias("doc_id"), page.alias("p")).select(
         "doc_id", "p.page", F.lit("raw").alias("method"), "p.payload"
     )
+    return _spread(pages, "page")
 
 
 SQL_PAYLOAD_LINES = """
