@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose the
 data and the cores. Each query is materialised in full (noop sink): one warm-up,
-then the best of two runs.
+then one timed run.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ HEADLINE = (
     "decide_docs",
     "document_outcomes",
 )
-RUNS = 2
+RUNS = 1
 
 
 def main() -> None:

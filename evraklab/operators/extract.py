@@ -88,13 +88,12 @@ def _adjustments(values: Column) -> Column:
 
 
 ROOT = "$.financial_hierarchy.root_transaction"
+LIST = "$.financial_hierarchy.adjustments_and_fees"
 PATHS = {
     **{n: f"$.document_analysis.{n}" for n in ANALYSIS_FIELDS},
     "amount": f"{ROOT}.amount",
     "label": f"{ROOT}.label",
     "text_confirmation": f"{ROOT}.text_confirmation",
-    "root": ROOT,
-    "list": "$.financial_hierarchy.adjustments_and_fees",
     "trust_score": "$.engine_report.trust_score",
     "logic_applied": "$.engine_report.logic_applied",
 }
@@ -108,24 +107,28 @@ def read_reply_fields(df: DataFrame) -> DataFrame:
     """
     v = F.col("reply_json")
     values = F.array(*[F.variant_get(v, path, "variant") for path in PATHS.values()])
-    opened = df.withColumn("_all", describe_all(values)).withColumn(
-        "_list", F.try_variant_get(v, PATHS["list"], "array<variant>")
+    opened = df.select(
+        "*",
+        describe_all(values).alias("_all"),
+        F.try_variant_get(v, LIST, "array<variant>").alias("_list"),
+        kind(F.variant_get(v, LIST, "variant")).alias("_list_kind"),
+        kind(F.variant_get(v, ROOT, "variant")).alias("_root_kind"),
     )
     at = {n: F.get("_all", F.lit(i)) for i, n in enumerate(PATHS)}
     read = opened.withColumn(
         "_adj", F.coalesce(_adjustments(F.col("_list")), F.array().cast(NO_ADJUSTMENTS))
     ).withColumn("_amount", amount_of(at["amount"]))
     # A non-list is only harmless when iterating it yields nothing.
-    listed = at["list"]
-    harmless = listed["kind"].isin("MISSING", "ARRAY") | (
-        listed["kind"].isin("OBJECT", "STRING") & ~listed["truthy"]
+    harmless = F.col("_list_kind").isin("MISSING", "ARRAY") | (
+        F.col("_list_kind").isin("OBJECT", "STRING")
+        & F.try_variant_get(v, LIST, "string").isin("", "{}")
     )
     malformed = (
         ~harmless
-        | ~at["root"]["kind"].isin("MISSING", "OBJECT")
+        | ~F.col("_root_kind").isin("MISSING", "OBJECT")
         | F.exists("_adj", lambda a: ~a["ok"])
     )
-    given = [at[n].alias(n) for n in PATHS if n not in ("root", "list")]
+    given = [at[n].alias(n) for n in PATHS]
     fields = F.struct(
         *given,
         F.col("_amount").alias("root_amount"),
@@ -146,7 +149,7 @@ def evidence_targets(df: DataFrame) -> DataFrame:
     v = F.col("reply_json")
     single = F.array(*[F.variant_get(v, PATHS[n], "variant") for n in EVIDENCE_SLOTS])
     listed = F.coalesce(
-        F.try_variant_get(v, PATHS["list"], "array<variant>"), F.array().cast("array<variant>")
+        F.try_variant_get(v, LIST, "array<variant>"), F.array().cast("array<variant>")
     )
     totals = F.transform(listed, lambda x: F.try_variant_get(x, "$.total_impact", "variant"))
     values = F.transform(
