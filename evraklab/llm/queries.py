@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evraklab.llm import quality, secrets
+from evraklab.llm import quality, secrets, simhash, substring_dedup, toxicity
 from evraklab.llm.core import table
 
 
@@ -17,6 +17,23 @@ def _joined(spans, wanted=None):
     return F.array_join(parts, ",")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.removed(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    return cut.select(
+        "doc_id", "n_words", gone.cast("bigint").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
@@ -33,6 +50,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_secrets, op9_quality)
+    f.__name__: f for f in (op3_simhash, op4_toxicity, op6_substrings, op8_secrets, op9_quality)
 }
 ORACLES: dict[str, str] = {}
