@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evraklab.llm import quality, secrets, simhash, substring_dedup, toxicity
+from evraklab.llm import bpe, quality, secrets, simhash, substring_dedup, toxicity
 from evraklab.llm.core import table
 
 
@@ -34,6 +35,19 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(
+    spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    codec = bpe.Codec(spark, bpe.load_ranks(vocabulary), public_tokenizers.PATTERN)
+    return codec.encode(docs).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(codec.decoded(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
@@ -50,6 +64,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op4_toxicity, op6_substrings, op8_secrets, op9_quality)
+    f.__name__: f for f in (op3_simhash, op4_toxicity, op6_substrings, op7_bpe, op8_secrets, op9_quality)
 }
 ORACLES: dict[str, str] = {}

@@ -31,7 +31,7 @@ from evraklab.llm.core import splitmix
 WINDOW = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 STEP = np.uint64(0xD6E8FEB86659FD93)
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 NULL_ID = np.iinfo(np.int64).max
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
