@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evraklab.llm.core import map_batches, ragged, staged
+from evraklab.llm.core import Codes, frequent_level, map_batches, ragged, staged
 
 # Fixed value: the white space of the word pattern.
 WHITE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -212,17 +212,11 @@ class Codec:
         texts = docs.select(F.col(text_col).cast("string").alias("text"))
         counted = texts.mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
         often = (F.col("n") > 1) & (F.length("chunk") <= LONG)
-        counted = staged(counted.filter(often).withColumn("k", F.floor(F.log2("n")).cast("int")))
-        kept = total = 0
-        level = 63
-        for row in counted.groupBy("k").count().orderBy(F.desc("k")).collect():
-            total += row["count"]
-            if total > size:
-                break
-            kept, level = total, row["k"]
-        if not kept:
+        counted = staged(counted.filter(often))
+        level = frequent_level(counted, size)
+        if level is None:
             return [], np.zeros(0, np.int32), np.zeros(1, np.int64)
-        rows = counted.filter(F.col("k") >= level).select("chunk", self.encoded(F.array("chunk"))[0].alias("ids"))
+        rows = counted.filter(F.col("n") >= 1 << level).select("chunk", self.encoded(F.array("chunk"))[0].alias("ids"))
         rows = rows.toArrow()
         ids = rows.column("ids").combine_chunks()
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -237,7 +231,7 @@ class Codec:
         ranks, pattern = self.spark.sparkContext.broadcast(self.ranks), self.pattern
 
         def look_up(batches):
-            codes = _Codes((w, i) for i, w in enumerate(known.value))
+            codes = Codes((w, i) for i, w in enumerate(known.value))
             for batch in batches:
                 numbers, tails, longs = [], [], []
                 for text in batch.column(1).to_pylist():
@@ -306,12 +300,3 @@ class Codec:
         )
         return F.encode(bound[0], "ISO-8859-1")
 
-
-class _Codes(dict):
-    """Code of a chunk: its place in the dictionary, or -1, -2, ... for rare ones of a text."""
-
-    def begin(self) -> None:
-        self.rare: dict[str, int] = {}
-
-    def __missing__(self, chunk: str) -> int:
-        return self.rare.setdefault(chunk, -1 - len(self.rare))

@@ -93,6 +93,28 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def frequent_level(counted: DataFrame, size: int) -> int | None:
+    """The least k for which at most ``size`` rows of ``counted`` have ``n >= 2**k``; None if none has."""
+    levels = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count()
+    total, level = 0, None
+    for row in levels.orderBy(F.desc("k")).collect():  # at most 64 rows
+        total += row["count"]
+        if total > size:
+            break
+        level = row["k"]
+    return level
+
+
+class Codes(dict):
+    """Codes of words: a known word's place, or -1, -2, ... for the others of a text."""
+
+    def begin(self) -> None:
+        self.rare: dict = {}
+
+    def __missing__(self, word) -> int:
+        return self.rare.setdefault(word, -1 - len(self.rare))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, root), root the least node.
 

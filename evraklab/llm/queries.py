@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evraklab.llm import bpe, quality, secrets, simhash, substring_dedup, toxicity
+from evraklab.llm import bpe, lm, mixing, quality, secrets, simhash, substring_dedup, toxicity
 from evraklab.llm.core import table
 
 
@@ -18,6 +18,10 @@ def _joined(spans, wanted=None):
     return F.array_join(parts, ",")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the documents hold, mixed to 0.95 of the greatest entropy."""
+    docs = table(spark, sf_dir, "documents")
+    total = mixing.tokens(docs).agg(F.sum("tokens")).first()[0] or 0
+    return mixing.mix(docs, budget=float(total)).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op4_toxicity, op6_substrings, op7_bpe, op8_secrets, op9_quality)
+    f.__name__: f for f in (op1_lm, op3_simhash, op4_toxicity, op6_substrings, op7_bpe, op8_secrets, op9_quality, op10_mixing)
 }
 ORACLES: dict[str, str] = {}
