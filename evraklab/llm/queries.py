@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evraklab.llm import bpe, lm, mixing, quality, secrets, simhash, substring_dedup, toxicity
+from evraklab.llm import bpe, html_text, lm, mixing, quality, secrets, simhash, substring_dedup, toxicity
 from evraklab.llm.core import table
 
 
@@ -22,6 +22,10 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm, op3_simhash, op4_toxicity, op6_substrings, op7_bpe, op8_secrets, op9_quality, op10_mixing)
+    f.__name__: f for f in (op1_lm, op2_html, op3_simhash, op4_toxicity, op6_substrings, op7_bpe, op8_secrets, op9_quality, op10_mixing)
 }
 ORACLES: dict[str, str] = {}
