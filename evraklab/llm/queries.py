@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evraklab.llm import bpe, html_text, lm, mixing, quality, secrets, simhash, substring_dedup, toxicity
+from evraklab.llm import bpe, html_text, lm, mixing, pq, quality, secrets, simhash, substring_dedup, toxicity
 from evraklab.llm.core import table
 
 
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.removed(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0), lambda n, r: n + r["end"] - r["start"])
@@ -79,6 +83,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm, op2_html, op3_simhash, op4_toxicity, op6_substrings, op7_bpe, op8_secrets, op9_quality, op10_mixing)
+    f.__name__: f for f in (op1_lm, op2_html, op3_simhash, op4_toxicity, op5_embeddings, op6_substrings, op7_bpe, op8_secrets, op9_quality, op10_mixing)
 }
 ORACLES: dict[str, str] = {}
