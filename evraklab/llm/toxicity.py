@@ -165,13 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     return train([bytes(r[1] or b"") for r in rows], [r[2] for r in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+def _scorer(model: Model):
+    """Scores of a column of texts; words are scored once and remembered, within bounds."""
     cache: dict[bytes, float] = {}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = []
-        for text in utf8(batch.column(2)):
+    def scores(texts: pa.Array) -> np.ndarray:
+        out = []
+        for text in utf8(texts):
             words = distinct(text)
             new = [w for w in words if w not in cache]
             if new:
@@ -179,10 +179,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     cache.clear()
                     new = words
                 cache.update(zip(new, model.word_scores(new).tolist()))
-            scores.append(model.score(np.array([cache[w] for w in words])))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"]
-        )
+            out.append(model.score(np.array([cache[w] for w in words])))
+        return np.array(out)
+
+    return scores
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted."""
+    scores = _scorer(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(0), batch.column(1), pa.array(scores(batch.column(2)), pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score"])
 
     slim = docs.select(
         "doc_id",
@@ -192,3 +201,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = slim.schema["doc_id"].dataType.simpleString()
     scored = map_batches(slim, run, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is predicted toxic; all columns as they were."""
+    scores, position = _scorer(model), docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(scores(batch.column(position)) < 0.5))
+
+    return map_batches(docs, run, docs.schema)
