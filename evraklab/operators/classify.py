@@ -52,7 +52,6 @@ SUBTYPES = (
     Subtype("BANKING", "DEKONT", UNKNOWN, "BANK_RECEIPT"),
 )
 SIGNALS_FOR_FULL_CONFIDENCE = 5.0
-MAX_RULE_ROWS = 2000
 
 
 def rules_table(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -67,19 +66,55 @@ def rules_table(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame
     )
 
 
-def rules_from_table(table: DataFrame) -> tuple[Rule, ...]:
-    """Read user rules; they become literals of the plan, so their number is checked."""
-    rows = table.take(MAX_RULE_ROWS + 1)
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"more than {MAX_RULE_ROWS} classification signals")
-    found: dict[tuple[int, str, str], list[tuple[int, str]]] = {}
-    for r in rows:
-        found.setdefault((r["priority"], r["domain"], r["family"]), []).append(
-            (r["position"], r["signal"])
-        )
-    return tuple(
-        Rule(domain, family, tuple(s for _, s in sorted(signals)))
-        for (_, domain, family), signals in sorted(found.items())
+def classify_by_table(
+    texts: DataFrame,
+    table: DataFrame,
+    text: str = "raw_text",
+    subtypes: Sequence[Subtype] = SUBTYPES,
+) -> DataFrame:
+    """Classify (doc_id, text) by a table of any number of rules, as ``rules_table`` lays out.
+
+    A signal can only stand in a text that holds its first k characters, k being the
+    length of the shortest signal. The distinct k-grams of the texts meet the signals'
+    on that, and the pairs are verified on the text. Null and empty signals never
+    match. Rows: doc_id and the fields of a classification.
+    """
+    signals = table.where(F.length("signal") > 0).select(
+        "domain", "family", "priority", "position", "signal"
+    )
+    k = signals.agg(F.min(F.length("signal"))).first()[0] or 1
+    upper = texts.select("doc_id", F.upper(F.coalesce(text, F.lit(""))).alias("upper"))
+    starts = F.sequence(F.lit(1), F.length("upper") - (k - 1))
+    grams = upper.where(F.length("upper") >= k).select(
+        "doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("upper", i, k)))).alias("gram")
+    )
+    near = grams.join(signals.withColumn("gram", F.substring("signal", 1, k)), "gram").drop("gram")
+    found = near.join(upper, "doc_id").where(F.contains("upper", "signal"))
+    per_rule = found.groupBy("doc_id", "priority", "domain", "family").agg(
+        F.array_sort(F.collect_list(F.struct("position", "signal"))).alias("hits")
+    )
+    # Strictly more signals win, so the earliest rule takes a tie.
+    order = F.struct(F.size("hits"), -F.col("priority"))
+    best = per_rule.groupBy("doc_id").agg(F.max_by(F.struct("domain", "family", "hits"), order).alias("b"))
+    joined = upper.join(best, "doc_id", "left")
+
+    def by_word(column: str) -> Column:
+        out = F.when(F.lit(False), F.lit(UNKNOWN))
+        for s in subtypes:
+            hit = (F.col("b.domain") == s.domain) & F.contains("upper", F.lit(s.word))
+            out = out.when(hit, F.lit(getattr(s, column)))
+        return out.otherwise(F.lit(UNKNOWN))
+
+    seen = F.coalesce(F.col("b.hits.signal"), F.array().cast("array<string>"))
+    share = F.round(F.size(seen) / F.lit(SIGNALS_FOR_FULL_CONFIDENCE), 2)
+    return joined.select(
+        "doc_id",
+        F.coalesce("b.domain", F.lit(UNKNOWN)).alias("domain"),
+        F.coalesce("b.family", F.lit(UNKNOWN)).alias("document_family"),
+        by_word("document_type").alias("document_type"),
+        by_word("transaction_type").alias("transaction_type"),
+        F.least(share, F.lit(1.0)).alias("confidence"),
+        seen.alias("classification_signals"),
     )
 
 

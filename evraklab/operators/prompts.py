@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evraklab.functions.pii import PII_PATTERNS, mask
-from evraklab.operators.classify import RULES, UNKNOWN
 from evraklab.session import cut_lineage
 
 # The prompt's text, in order of appearance, and the built-in example.
@@ -175,15 +174,13 @@ def build_prompts(
     *,
     mask_pii: bool = False,
     patterns: Sequence[tuple[str, str]] = PII_PATTERNS,
-    categories: Sequence[str] = (*(r.domain for r in RULES), UNKNOWN),
 ) -> DataFrame:
     """(doc_id, category, prompt, entries) for (doc_id, category, text[, tables]) rows.
 
     ``entries`` holds the placeholders of the text, for the reply. Tables are
     masked apart, with placeholders of their own that no reply restores.
     """
-    known = example_rows(verified).where(F.col("category").isin(*categories))
-    sets = cut_lineage(example_sets(known))
+    sets = cut_lineage(example_sets(example_rows(verified)))
     if "tables" not in docs.columns:
         docs = docs.withColumn("tables", F.lit(None).cast("string"))
     joined = _attach_examples(docs.select("doc_id", "category", "text", "tables"), sets)

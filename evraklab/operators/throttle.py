@@ -62,6 +62,10 @@ def throttle_flags(
     tasks as it has pieces.
     """
     expiry = int(expiry_seconds * 1_000_000)
+    # An event without key or time cannot be judged: it comes back undecided.
+    judged = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    undecided = events.where(~judged).withColumn("denied", F.lit(None).cast("boolean"))
+    events = events.where(judged)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     keyed = events.withColumn("_us", micros).withColumn(
         "_bucket", F.floor(F.col("_us") / F.lit(bucket_seconds * 1_000_000)).cast("long")
@@ -100,4 +104,4 @@ def throttle_flags(
                 denied[a:b], count, last = fold(us[a:b].tolist(), count, last, limit, expiry)
             yield pdf[columns].assign(denied=denied)
 
-    return routed.mapInPandas(flag, schema)
+    return routed.mapInPandas(flag, schema).unionByName(undecided)

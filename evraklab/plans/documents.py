@@ -53,6 +53,13 @@ def early_rejects(documents: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """One row per document, the greatest by its columns from left to right."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    packed = rows.select("doc_id", F.struct(*rest).alias("_row"))
+    return packed.groupBy("doc_id").agg(F.max("_row").alias("_row")).select("doc_id", "_row.*")
+
+
 def process_documents(
     lines: DataFrame,
     replies: DataFrame,
@@ -69,19 +76,21 @@ def process_documents(
 ) -> Outcome:
     """Classify, extract, validate and decide every document of ``lines``.
 
-    ``replies`` is (doc_id, reply[, entries]), at most one per document.
-    ``documents`` optionally supplies (doc_id, task_id, filename, key_id,
+    ``replies`` is (doc_id, reply[, entries]); of several for a document one is taken,
+    the greatest. So is one manifest row. ``documents`` optionally supplies (doc_id, task_id, filename, key_id,
     processing_time); without it the document's id is its task.
 
     The lines are shuffled once, by (doc_id, chunk). That exchange feeds the
     document texts and the evidence search alike; all later joins are between
     tables with one row per document.
     """
+    if documents is not None:
+        documents = one_of_each(documents)
     chunks = line_chunks(lines)
     reply_columns = ["doc_id", "reply"] + ([entries] if entries else [])
-    # Spread by document before the parse: the same exchange serves the evidence
-    # targets and leaves the replies where the join with the texts needs them.
-    spread = replies.select(*reply_columns).repartition("doc_id")
+    # Taking one per document spreads them by document before the parse: the same
+    # exchange serves the evidence targets and the join with the texts.
+    spread = one_of_each(replies.select(*reply_columns))
     parsed = parse_replies(spread, "reply", entries)
     read = read_reply_fields(parsed).select(
         "doc_id", "reply_status", "reply_msg", "reply_confidence", "reply_fields"
@@ -163,7 +172,7 @@ def _named(df: DataFrame, documents: DataFrame | None) -> DataFrame:
     manifest = {
         "task_id": F.col("doc_id").cast("string"),
         "filename": F.lit(None).cast("string"),
-        "key_id": F.lit(None).cast("int"),
+        "key_id": F.lit(None).cast("bigint"),
         "processing_time": F.lit(0.0),
     }
     if documents is not None:

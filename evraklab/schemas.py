@@ -26,7 +26,7 @@ OCR_DOCUMENT = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("task_id", T.StringType()),
         T.StructField("filename", T.StringType()),
-        T.StructField("key_id", T.IntegerType()),
+        T.StructField("key_id", T.LongType()),
         T.StructField("received_at", T.TimestampType()),
         T.StructField("lines", T.ArrayType(OCR_LINE)),
         T.StructField("reply", T.StringType()),
@@ -138,7 +138,7 @@ EXTRACTIONS = T.StructType(
         T.StructField("validation_report", T.StringType()),
         T.StructField("processing_time", T.DoubleType()),
         T.StructField("error_type", T.StringType()),
-        T.StructField("api_key_id", T.IntegerType()),
+        T.StructField("api_key_id", T.LongType()),
         T.StructField("raw_text", T.StringType()),
         T.StructField("approved_by", T.StringType()),
         T.StructField("approved_at", T.TimestampType()),

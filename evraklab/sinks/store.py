@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
-from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +14,10 @@ from pyspark.sql.utils import AnalysisException
 from evraklab.operators.analytics import newest
 from evraklab.schemas import EXTRACTIONS, STORE_DEFAULTS
 from evraklab.session import cut_lineage
-
 # Marks of the audit trail.
 APPROVED = "APPROVED"
 OVERRIDE_FIELDS = '["manual_override"]'
 NO_FIELDS = "[]"
-APPROVAL_WINDOW = 100
 DATE_COLUMN = "created_date"
 
 
@@ -68,16 +66,49 @@ def union_evolved(
     return filled(old, new).unionByName(filled(new, old))
 
 
+def _generations(spark: SparkSession, path: str) -> list[list[str]]:
+    """The store's files, grouped by the columns they were written with.
+
+    Files of one write share its id in their names, so one footer is read per write.
+    """
+    writes: dict[str, list[str]] = {}
+    for file in spark.read.parquet(path).inputFiles():
+        name = file.rsplit("/", 1)[-1]
+        found = re.match(r"part-\d+-([0-9a-f-]{36})", name)
+        writes.setdefault(found.group(1) if found else file, []).append(file)
+    groups: dict[str, list[str]] = {}
+    for files in writes.values():
+        shape = spark.read.option("basePath", path).parquet(files[0]).schema
+        groups.setdefault(shape.json(), []).extend(files)
+    return list(groups.values())
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The table at ``path`` in its current shape; files of any age are read together."""
-    return evolve(spark.read.option("mergeSchema", "true").parquet(path))
+    """The table at ``path`` in its current shape.
+
+    Whether a column is missing is a matter of the file, not of the row: files that
+    lack a column give its default, while a stored null stays null.
+    """
+    out = None
+    for files in _generations(spark, path):
+        rows = evolve(spark.read.option("basePath", path).parquet(*files))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        return evolve(spark.read.parquet(path))
+    return out
+
+
+# Spark's conditions for a path without a table.
+NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() in NO_TABLE:
+            return False
+        raise
     return True
 
 
@@ -85,7 +116,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def to_store_rows(results: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Store rows out of pipeline results: nested values as JSON, a null report as ``{}``."""
+    """Store rows out of pipeline results: nested values as JSON, a null report as ``{}``.
+
+    Null fields are written out: missing and null mean different things.
+    """
+    options = {"ignoreNullFields": "false"}
     result = F.struct(
         "status",
         "overall_trust_score",
@@ -102,14 +137,14 @@ def to_store_rows(results: DataFrame, as_of: Column | None = None) -> DataFrame:
         "filename",
         F.col("classification.domain").alias("document_type"),
         "trust_score",
-        F.to_json(result).alias("extracted_json"),
+        F.to_json(result, options).alias("extracted_json"),
         "status",
         F.lit(0).alias("is_verified"),
         F.lit(None).cast("string").alias("corrected_json"),
-        F.coalesce(F.to_json("validation_report"), F.lit("{}")).alias("validation_report"),
+        F.coalesce(F.to_json("validation_report", options), F.lit("{}")).alias("validation_report"),
         "processing_time",
         F.lit(None).cast("string").alias("error_type"),
-        F.col("key_id").cast("int").alias("api_key_id"),
+        F.col("key_id").cast("bigint").alias("api_key_id"),
         F.col("full_raw_text").alias("raw_text"),
         F.lit(None).cast("string").alias("approved_by"),
         F.lit(None).cast("timestamp").alias("approved_at"),
@@ -118,19 +153,26 @@ def to_store_rows(results: DataFrame, as_of: Column | None = None) -> DataFrame:
     )
 
 
+def one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """The least row of each key, comparing columns from left to right; a null key is a key."""
+    order = F.struct(*rows.columns)
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_row")).select("_row.*")
+
+
 def not_stored(rows: DataFrame, stored: DataFrame, key: str = "task_id") -> DataFrame:
     """One row per new key that ``stored`` does not have; reads only its key column."""
-    return rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+    return one_per_key(rows, key).join(stored.select(key), key, "left_anti").select(*rows.columns)
 
 
 def append_results(rows: DataFrame, path: str) -> None:
     """Append rows whose task_id is new, partitioned by day. Repeating a call adds nothing."""
     spark = rows.sparkSession
+    finish_rewrite(spark, path)
     dated = rows.withColumn(DATE_COLUMN, F.to_date("created_at"))
     if _exists(spark, path):
         fresh = not_stored(dated, spark.read.parquet(path))
     else:
-        fresh = dated.dropDuplicates(["task_id"])
+        fresh = one_per_key(dated, "task_id")
     fresh.write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
 
 
@@ -186,27 +228,22 @@ def correct(extractions: DataFrame, requests: DataFrame) -> Matched:
     )
 
 
-def approvals(
-    extractions: DataFrame, requests: DataFrame, window: int = APPROVAL_WINDOW
-) -> Matched:
+def approvals(extractions: DataFrame, requests: DataFrame, window: int | None = None) -> Matched:
     """Approvals as corrections: (task_id, approved_by, corrected_at) requests.
 
-    Only the newest ``window`` rows can be approved; their extracted JSON becomes
-    the corrected one. Requests for any other row come back as unmatched.
+    The extracted JSON of a row becomes the corrected one. With ``window`` only the newest
+    so many rows can be approved. Requests for any other row come back as unmatched.
     """
-    # At most ``window`` rows of keys by construction, so broadcasting is safe.
-    keys = newest(extractions.select("task_id", "created_at", *_optional(extractions, "id")), window)
-    eligible = requests.join(F.broadcast(keys.select("task_id")), "task_id", "left_semi")
     current = extractions.select("task_id", F.col("extracted_json").alias("corrected_json"))
-    rows = eligible.join(current, "task_id").withColumn("corrected_fields", F.lit(NO_FIELDS))
-    unmatched = requests.join(F.broadcast(keys.select("task_id")), "task_id", "left_anti")
-    return Matched(rows, unmatched)
+    if window is not None:
+        keys = newest(extractions.select("task_id", "created_at", *_optional(extractions, "id")), window)
+        current = current.join(keys.select("task_id"), "task_id", "left_semi")
+    rows = requests.join(current, "task_id").withColumn("corrected_fields", F.lit(NO_FIELDS))
+    return Matched(rows, requests.join(current.select("task_id"), "task_id", "left_anti"))
 
 
-def approve(
-    extractions: DataFrame, requests: DataFrame, window: int = APPROVAL_WINDOW
-) -> Matched:
-    """Approve tasks among the newest rows with the data they already have."""
+def approve(extractions: DataFrame, requests: DataFrame, window: int | None = None) -> Matched:
+    """Approve tasks with the data they already have."""
     granted = approvals(extractions, requests, window)
     return Matched(apply_corrections(extractions, granted.rows).rows, granted.unmatched)
 
@@ -215,27 +252,20 @@ def _optional(df: DataFrame, name: str) -> list[str]:
     return [name] if name in df.columns else []
 
 
-def rewrite_corrected(spark: SparkSession, path: str, corrections: DataFrame) -> None:
-    """Apply corrections to the stored table, rewriting only the days they touch.
+def _pending(path: str) -> str:
+    return f"{path.rstrip('/')}.pending"
 
-    The days come from a scan of two narrow columns. The new rows are kept in the
-    checkpoint folder before the days are replaced, so an interrupted replacement
-    can be repeated from there.
-    """
-    store = spark.read.parquet(path)
-    latest = latest_corrections(corrections)
-    days = [
-        r[DATE_COLUMN]
-        for r in store.select("task_id", DATE_COLUMN)
-        .join(latest.select("task_id"), "task_id", "left_semi")
-        .select(DATE_COLUMN)
-        .distinct()
-        .collect()
-    ]
-    if not days:
-        return
-    touched = store.where(F.col(DATE_COLUMN).isin(days))
-    rows = cut_lineage(apply_corrections(evolve(touched), corrections).rows)
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _replace_days(spark: SparkSession, path: str) -> None:
+    rows = spark.read.parquet(_pending(path))
+    if DATE_COLUMN in rows.columns:
+        rows = rows.withColumn(DATE_COLUMN, F.col(DATE_COLUMN).cast("date"))
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -244,6 +274,46 @@ def rewrite_corrected(spark: SparkSession, path: str, corrections: DataFrame) ->
     )
 
 
+def finish_rewrite(spark: SparkSession, path: str) -> None:
+    """Complete a correction that was interrupted, or drop it if its rows were not all written.
+
+    The corrected rows lie beside the store until their days are replaced. Replacing
+    them again changes nothing.
+    """
+    fs, pending = _file_system(spark, _pending(path))
+    if not fs.exists(pending):
+        return
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pending, "_SUCCESS")
+    if fs.exists(done):
+        _replace_days(spark, path)
+    fs.delete(pending, True)
+
+
+def rewrite_corrected(spark: SparkSession, path: str, corrections: DataFrame) -> DataFrame:
+    """Apply corrections to the stored table, rewriting only the days they touch.
+
+    Returns the corrections whose task is not stored. The days come from a scan of two
+    narrow columns; they are as many as the calendar has, at most. The new rows are
+    written beside the store first, so ``finish_rewrite`` can end an interrupted call.
+    """
+    finish_rewrite(spark, path)
+    store = read_store(spark, path)
+    latest = latest_corrections(corrections)
+    keys = store.select("task_id", DATE_COLUMN)
+    hits = keys.join(latest.select("task_id"), "task_id", "left_semi")
+    days = [r[DATE_COLUMN] for r in hits.select(DATE_COLUMN).distinct().collect()]
+    # Settled before the files change.
+    unmatched = latest.join(keys.select("task_id"), "task_id", "left_anti")
+    unmatched = cut_lineage(unmatched)
+    if days:
+        touched = F.col(DATE_COLUMN).isin([d for d in days if d is not None])
+        if None in days:
+            touched = touched | F.col(DATE_COLUMN).isNull()
+        apply_corrections(store.where(touched), corrections).rows.write.parquet(_pending(path))
+        finish_rewrite(spark, path)
+    return unmatched
+
+
 # -- insert if absent -----------------------------------------------------------------
 
 

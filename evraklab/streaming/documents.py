@@ -26,12 +26,18 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
 
 def process_landed(documents: DataFrame, **options) -> DataFrame:
-    """Store rows of a batch of landed documents; blank ones are left out."""
-    replies = documents.select("doc_id", "reply")
-    manifest = documents.select("doc_id", "task_id", "filename", "key_id")
-    results = process_documents(lines_of(documents), replies, manifest, **options).results
-    received = documents.select("task_id", "received_at")
-    dated = results.join(received, "task_id")
+    """Store rows of a batch of landed documents; blank ones are left out.
+
+    A document delivered twice is taken once, before its lines are spread: the latest
+    by ``received_at``. A document without a task id goes by its own id.
+    """
+    order = F.struct("received_at", F.xxhash64(*documents.columns))
+    packed = documents.groupBy("doc_id").agg(F.max_by(F.struct(*documents.columns), order).alias("_d"))
+    once = packed.select("_d.*")
+    replies = once.select("doc_id", "reply")
+    manifest = once.select("doc_id", "task_id", "filename", "key_id")
+    results = process_documents(lines_of(once), replies, manifest, **options).results
+    dated = results.join(once.select("doc_id", "received_at"), "doc_id")
     return to_store_rows(dated, F.coalesce("received_at", F.current_timestamp()))
 
 

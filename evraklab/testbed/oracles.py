@@ -246,6 +246,10 @@ SELECT doc_id, ({IBAN_HITS.format(n=28)})[1] AS first_iban,
 SELECT doc_id, raw_text, (SELECT count(*) FROM ol WHERE ol.doc_id = dt.doc_id) AS n_lines,
   round(mean_confidence, 6) AS mean_confidence FROM dt""",
     "classify_docs": CLASSES + """
+SELECT doc_id, category AS domain, document_family, document_type, transaction_type,
+  least(round(len(signals) / 5, 2), 1.0::double) AS confidence,
+  array_to_string(signals, '|') AS classification_signals FROM cf""",
+    "classify_by_rule_table": CLASSES + """
 SELECT doc_id, category AS domain, document_family, document_type, transaction_type,
   least(round(len(signals) / 5, 2), 1.0::double) AS confidence,
   array_to_string(signals, '|') AS classification_signals FROM cf""",
@@ -261,7 +265,7 @@ SELECT doc_id, '[PHONE_' || (row_number() OVER (PARTITION BY doc_id ORDER BY pos
   original FROM firsts""",
     "mask_iban": OL + r"""
 SELECT doc_id, regexp_replace(text, '\bTR\d{2}\s?(?:\d{4}\s?){5}\d{2}\b', '[IBAN_0]') AS masked
-FROM ol WHERE text LIKE 'IBAN%'""",
+FROM ol""",
     "unmask_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "normalise_ocr": _with(SQL_PAYLOAD_LINES) + "SELECT doc_id, line_no, page, text, confidence, x0 FROM pl",
     "table_regions": _with(TABLES_SQL)
@@ -301,15 +305,17 @@ FROM ok""",
 jn AS (
   SELECT cf.doc_id, raw_text, category, transaction_id, {TXID} AS found_id, {DATE_TEXT} AS found_date,
     ({IBAN_HITS.format(n=32)})[1] AS iban
-  FROM cf JOIN rp USING (doc_id) WHERE NOT broken AND NOT no_report)
-SELECT doc_id, category AS type, 'TRY' AS currency,
-  coalesce(transaction_id, found_id) AS transaction_id, found_date AS transaction_date,
-  CAST(NULL AS varchar) AS sender_iban, iban AS receiver_iban,
-  CASE WHEN transaction_id IS NULL AND found_id IS NOT NULL THEN 'deterministic_fallback' ELSE 'llm' END AS transaction_id_source,
-  CASE WHEN found_date IS NOT NULL THEN 'deterministic_fallback' ELSE 'llm' END AS transaction_date_source,
-  'llm' AS sender_iban_source,
-  CASE WHEN iban IS NOT NULL THEN 'deterministic_fallback' ELSE 'llm' END AS receiver_iban_source
-FROM jn""",
+  FROM cf JOIN rp USING (doc_id) WHERE NOT broken AND NOT no_report),
+fb AS (
+  SELECT doc_id, category AS type, 'TRY' AS currency,
+    coalesce(transaction_id, found_id) AS transaction_id, found_date AS transaction_date,
+    CAST(NULL AS varchar) AS sender_iban, iban AS receiver_iban,
+    CASE WHEN transaction_id IS NULL AND found_id IS NOT NULL THEN 'deterministic_fallback' ELSE 'llm' END AS transaction_id_source,
+    CASE WHEN found_date IS NOT NULL THEN 'deterministic_fallback' ELSE 'llm' END AS transaction_date_source,
+    'llm' AS sender_iban_source,
+    CASE WHEN iban IS NOT NULL THEN 'deterministic_fallback' ELSE 'llm' END AS receiver_iban_source
+  FROM jn)
+SELECT * FROM (SELECT doc_id FROM cf) LEFT JOIN fb USING (doc_id)""",
     "math_check_items": """
 WITH p AS (
   SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 2) AS fee,
@@ -344,8 +350,8 @@ SELECT doc_id, category AS domain, t4 AS trust, status, action, risk_score::doub
   total_blocks, page_count, CASE WHEN NOT reply_ok THEN 'SkeletonFallback' END AS logic_applied
 FROM dc JOIN mt USING (doc_id)""",
     "early_rejected": """
-SELECT event_id AS doc_id, 'FAILED' AS status, 0.0::double AS overall_trust_score, 'FAILED' AS ocr_status
-FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)""",
+SELECT event_id * 2 AS doc_id, 'FAILED' AS status, 0.0::double AS overall_trust_score, 'FAILED' AS ocr_status
+FROM events WHERE event_id * 2 NOT IN (SELECT o_orderkey FROM orders)""",
     "evidence_exact": OL + """,
 tg AS (
   SELECT o_orderkey AS doc_id, s AS slot,
@@ -374,6 +380,8 @@ SELECT task_id, corrected_json, approved_by FROM cl WHERE task_id NOT IN (SELECT
     "approve_latest": _with(SQL_EXTRACTIONS, APPROVALS) + UPDATED.format(fields="[]", source="ap"),
     "approve_not_found": _with(SQL_EXTRACTIONS, APPROVALS)
     + "SELECT task_id FROM rq WHERE task_id NOT IN (SELECT task_id FROM nw)",
+    "approve_any": _with(SQL_EXTRACTIONS, APPROVALS.replace(" ORDER BY created_at DESC, id DESC, task_id DESC LIMIT 100", ""))
+    + UPDATED.format(fields="[]", source="ap"),
     "append_new_results": EX + "SELECT task_id, document_type, trust_score FROM ex WHERE id % 3 <> 0",
     "insert_if_absent": """
 SELECT DISTINCT 'U' || (c_custkey % 1000) AS name FROM customer

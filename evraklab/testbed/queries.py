@@ -14,7 +14,7 @@ from evraklab.functions.lang import float_text
 from evraklab.functions.patterns import all_ibans, first_date, first_iban, reference_number
 from evraklab.functions.pii import PII_PATTERNS, mask, unmask
 from evraklab.operators import analytics, metrics, proximity
-from evraklab.operators.classify import classify
+from evraklab.operators.classify import classify, classify_by_table, rules_table
 from evraklab.operators.doc_text import document_texts
 from evraklab.operators.evidence import evidence_for
 from evraklab.operators.extract import math_status
@@ -186,6 +186,13 @@ def classify_docs(spark, sf_dir):
     return rows.withColumn("classification_signals", F.array_join("classification_signals", "|"))
 
 
+@query
+def classify_by_rule_table(spark, sf_dir):
+    texts = document_texts(fx.fx_ocr_lines(spark, sf_dir))
+    rows = classify_by_table(texts, rules_table(spark))
+    return rows.withColumn("classification_signals", F.array_join("classification_signals", "|"))
+
+
 # -- personal data ------------------------------------------------------------------------
 
 
@@ -210,7 +217,7 @@ def mask_entries(spark, sf_dir):
 
 @query
 def mask_iban(spark, sf_dir):
-    lines = fx.fx_ocr_lines(spark, sf_dir).where(F.col("text").startswith("IBAN"))
+    lines = fx.fx_ocr_lines(spark, sf_dir)
     masked = lines.select("doc_id", mask(F.col("text"), [PII_PATTERNS[1]]).alias("m"))
     return masked.select("doc_id", F.col("m.text").alias("masked"))
 
@@ -312,10 +319,11 @@ def fill_fallbacks(spark, sf_dir):
     )
     a = F.col("data.document_analysis")
     names = ("transaction_id", "transaction_date", "sender_iban", "receiver_iban")
-    columns = [a[n]["value"].alias(n) for n in names]
-    sources = [a[n]["source"].alias(f"{n}_source") for n in names]
-    return rows.where(F.col("reply_status") == "SUCCESS").select(
-        "doc_id", a["type"]["value"].alias("type"), a["currency"]["value"].alias("currency"),
+    read = lambda column: F.when(F.col("reply_status") == "SUCCESS", column)
+    columns = [read(a[n]["value"]).alias(n) for n in names]
+    sources = [read(a[n]["source"]).alias(f"{n}_source") for n in names]
+    return rows.select(
+        "doc_id", read(a["type"]["value"]).alias("type"), read(a["currency"]["value"]).alias("currency"),
         *columns, *sources,
     )
 
@@ -388,12 +396,10 @@ def document_outcomes(spark, sf_dir):
 
 @query
 def early_rejected(spark, sf_dir):
-    """Line items whose order never came: the manifest is the items' order keys and more."""
+    """A manifest of twice the event numbers, of which those without an order have no line."""
     lines = fx.fx_ocr_lines(spark, sf_dir)
-    manifest = (
-        fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"))
-    )
-    rows = early_rejects(manifest, lines.where(F.col("text").startswith("HAVALE")))
+    manifest = fx.table(spark, sf_dir, "events").select((F.col("event_id") * 2).alias("doc_id"))
+    rows = early_rejects(manifest, lines)
     return rows.select(
         "doc_id",
         "status",
@@ -480,6 +486,10 @@ def unmatched_corrections(spark, sf_dir):
     return done.unmatched.select("task_id", "corrected_json", "approved_by")
 
 
+# The newest rows that a user may approve in two of the queries.
+APPROVAL_WINDOW = 100
+
+
 def _approval_requests(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events")
     return e.where(F.col("event_id") % 3 == 0).select(
@@ -491,16 +501,22 @@ def _approval_requests(spark, sf_dir):
 
 @query
 def approve_latest(spark, sf_dir):
-    done = store.approve(fx.fx_extractions(spark, sf_dir), _approval_requests(spark, sf_dir))
+    done = store.approve(fx.fx_extractions(spark, sf_dir), _approval_requests(spark, sf_dir), APPROVAL_WINDOW)
     return _update_columns(done.rows)
 
 
 @query
 def approve_not_found(spark, sf_dir):
-    done = store.approve(fx.fx_extractions(spark, sf_dir), _approval_requests(spark, sf_dir))
+    done = store.approve(fx.fx_extractions(spark, sf_dir), _approval_requests(spark, sf_dir), APPROVAL_WINDOW)
     return done.unmatched.select("task_id")
 
 
+@query
+def approve_any(spark, sf_dir):
+    done = store.approve(fx.fx_extractions(spark, sf_dir), _approval_requests(spark, sf_dir))
+    return _update_columns(done.rows)
+
+
 @query
 def append_new_results(spark, sf_dir):
     """Rows an append would add: each new task once, known tasks not at all."""

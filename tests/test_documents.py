@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from evraklab.operators.classify import RULES, Rule, classify, rules_from_table, rules_table
+from evraklab.operators.classify import Rule, classify, classify_by_table, rules_table, with_classification
 from evraklab.plans.documents import process_documents
 from evraklab.sinks.export import export_invoices, export_rows, write_csv, write_invoices
 from test_fuzzy import lines_df
@@ -50,7 +50,13 @@ def test_classification(spark):
 
 
 def test_rules_of_a_table(spark):
-    assert rules_from_table(rules_table(spark)) == RULES
+    texts = ["DEKONT HAVALE bsmv", "fatura kdv", "nothing", "", None, "eft fatura tax", "İBAN tutar"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string")
+    expected = with_classification(df).select("doc_id", "classification.*")
+    assert rows(classify_by_table(df, rules_table(spark)), "doc_id") == rows(expected, "doc_id")
+    many = [Rule(f"D{i}", "F", (f"SIGNAL{i}X",)) for i in range(5000)]
+    got = rows(classify_by_table(df.limit(0).union(spark.createDataFrame([(1, "a signal4711x b")], df.schema)), rules_table(spark, many)))
+    assert got[0][1] == "D4711"
     own = (Rule("LEGAL", "CONTRACT", ("SÖZLEŞME",)),)
     got = classify(lines_df(spark, {1: ["sözleşme"]}), own, ()).first()
     assert got["domain"] == "LEGAL" and got["document_family"] == "CONTRACT"

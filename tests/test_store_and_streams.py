@@ -56,6 +56,58 @@ def test_append_is_idempotent_and_corrections_touch_their_days(spark, tmp_path):
     assert after["t1"]["approved_at"] == at + timedelta(hours=1)
 
 
+def test_store_of_two_ages(spark, tmp_path):
+    """Defaults go by file; a correction leaves all other values of its day alone."""
+    path = str(tmp_path / "store")
+    old = store_rows(spark, 3).drop("raw_text", "status", "is_verified").withColumn("created_date", F.lit("2024-01-05"))
+    old.write.partitionBy("created_date").parquet(path)
+    newer = store_rows(spark, 6).where("task_id >= 't3'").withColumn("status", F.when(F.col("task_id") != "t4", "FAILED"))
+    store.append_results(store.evolve(newer), path)
+    before = {r["task_id"]: r for r in store.read_store(spark, path).collect()}
+    assert [before[f"t{i}"]["status"] for i in range(6)] == ["SUCCESS"] * 3 + ["FAILED", None, "FAILED"]
+    assert [before[f"t{i}"]["is_verified"] for i in range(6)] == [0] * 6
+    at = datetime(2024, 2, 1)
+    corrections = spark.createDataFrame(
+        [("t3", '{"a":1}', "u", "[]", at), ("t1", '{"a":2}', "u", "[]", at), ("zz", "{}", "u", "[]", at)],
+        "task_id string, corrected_json string, approved_by string, corrected_fields string, corrected_at timestamp",
+    )
+    unmatched = store.rewrite_corrected(spark, path, corrections)
+    assert [r["task_id"] for r in unmatched.collect()] == ["zz"]
+    after = {r["task_id"]: r for r in store.read_store(spark, path).collect()}
+    changed = {"corrected_json", "is_verified", "approved_by", "approved_at", "corrected_fields", "status"}
+    for task, row in before.items():
+        for name in row.asDict():
+            if task in ("t1", "t3") and name in changed:
+                continue
+            assert after[task][name] == row[name], (task, name)
+    assert after["t1"]["status"] == after["t3"]["status"] == "APPROVED"
+
+
+def test_interrupted_correction_is_finished(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.append_results(store.evolve(store_rows(spark, 4)), path)
+    rows_ = store.read_store(spark, path).withColumn("status", F.lit("APPROVED"))
+    rows_.write.parquet(path + ".pending")  # all written, no day replaced yet
+    store.finish_rewrite(spark, path)
+    assert {r["status"] for r in store.read_store(spark, path).collect()} == {"APPROVED"}
+    assert not (tmp_path / "store.pending").exists()
+    (tmp_path / "store.pending").mkdir()  # nothing finished: dropped
+    store.finish_rewrite(spark, path)
+    assert store.read_store(spark, path).count() == 4
+
+
+def test_least_row_of_a_key_and_minted_keys(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3), (None, 4)], "task_id string, x int")
+    known = df.where("task_id = 'b'")
+    assert rows(store.not_stored(df, known), "x") == [("a", 1), (None, 4)]
+    users = spark.createDataFrame([], "id long, name string")
+    requests = spark.createDataFrame([(1, "u", None)], "request_id long, user_name string, label string")
+    _, keys = store.create_api_keys(users, requests)
+    minted = keys.first()["id"]
+    row = store.evolve(spark.createDataFrame([("t", minted)], "task_id string, api_key_id long")).first()
+    assert row["api_key_id"] == minted
+
+
 def test_empty_store_statistics(spark):
     empty = store.evolve(store_rows(spark, 0))
     stats = analytics.dashboard_stats(empty).first()
@@ -135,6 +187,29 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     assert got == fold_by_definition(events, 5, 60)
 
 
+def test_throttle_keeps_every_event(spark, tmp_path):
+    """Events without key or time come back undecided, late ones flagged."""
+    t0 = datetime(2024, 1, 1)
+    schema = "key string, ts timestamp, event_id long"
+    events = [("a", t0, 1), (None, t0, 2), ("a", None, 3), (None, None, 4)]
+    got = throttle_flags(spark.createDataFrame(events, schema), "key", "ts", "event_id").collect()
+    assert {r["event_id"]: r["denied"] for r in got} == {1: False, 2: None, 3: None, 4: None}
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        throttle_stream(source, "key", "ts", "event_id").writeStream.format("parquet").option(
+            "checkpointLocation", str(tmp_path / "cp")
+        ).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+
+    run()
+    late = [("a", t0 - timedelta(days=2), 5), ("a", t0 + timedelta(seconds=1), 6)]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = {r["event_id"]: (r["denied"], r["late"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (False, False), 2: (None, None), 3: (None, None), 4: (None, None), 5: (False, True), 6: (False, False)}
+
+
 def test_stage_stream(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     events = [(1, "OCR", t0), (1, "FILE_PREP", t0), (2, "FINISHED", t0), (2, "OCR", t0 - timedelta(seconds=5))]
