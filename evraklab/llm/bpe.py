@@ -33,13 +33,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evraklab.llm.core import Codes, frequent_level, map_batches, ragged, staged
+from evraklab.llm.core import Codes, map_batches, most_frequent, ragged, staged
 
 # Fixed value: the white space of the word pattern.
 WHITE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 RARE_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-HEAD = 1 << 19
+# A comma or stop behind something else than a letter or number belongs to a longer match.
+JOINED_STOP = re.compile(r"[,.](?<![^\W_][,.])")
+HEAD = 3 << 18
 LONG = 256
 FLUSH = 300_000
 SLOTS = 131_071  # buckets of the rank map
@@ -53,9 +55,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def chunks(text: str) -> list[str]:
-    """Cut a text into white-space runs and runs of other characters with one leading blank."""
+    """Cut a text into white-space runs and runs of other characters with one leading blank.
+
+    Where commas and stops only follow words, those that end a run are apart, so that a
+    word is the same chunk with and without them.
+    """
     plain = not any(p in text for p in ("\0", "\t", "\r", "\x0b", "\x0c", "  ", " \n", "\n ", "\n\n"))
     if plain and (text.isascii() or not RARE_WHITE.search(text)):
+        if not JOINED_STOP.search(text):
+            text = text.replace(", ", "\0, ").replace(". ", "\0. ").replace(".\n", "\0.\n")
         return [c for c in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if c]
     return CHUNK.findall(text)
 
@@ -157,7 +165,7 @@ def _fold(word: Column, bytes_: Column, buckets: Column) -> Column:
         return F.when(old["least"] < NO_RANK, merge(old)).otherwise(old)
 
     letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-    ids = F.transform(F.filter(letters, lambda c: c != ""), lambda c: bytes_[F.ascii(c)])
+    ids = F.transform(letters, lambda c: bytes_[F.ascii(c)])
     steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
     folded = _bind(ids, lambda i: F.aggregate(steps, start(i), step, lambda s: s["ids"]))
     return folded.cast("array<int>")
@@ -187,10 +195,9 @@ class Codec:
         return bound[0]
 
     def head(self, docs: DataFrame, text_col: str, size: int = HEAD) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The most frequent chunks of all texts, their flat ids and where each begins.
+        """The most frequent chunks of all texts, ``size`` at most, their flat ids and where each begins.
 
-        All chunks are counted, map-side first; those of at least 2**k occurrences are
-        taken, for the least k that keeps them within ``size``.
+        All chunks are counted, map-side first.
         """
 
         def count(batches):
@@ -213,10 +220,7 @@ class Codec:
         counted = texts.mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
         often = (F.col("n") > 1) & (F.length("chunk") <= LONG)
         counted = staged(counted.filter(often))
-        level = frequent_level(counted, size)
-        if level is None:
-            return [], np.zeros(0, np.int32), np.zeros(1, np.int64)
-        rows = counted.filter(F.col("n") >= 1 << level).select("chunk", self.encoded(F.array("chunk"))[0].alias("ids"))
+        rows = most_frequent(counted, size).select("chunk", self.encoded(F.array("chunk"))[0].alias("ids"))
         rows = rows.toArrow()
         ids = rows.column("ids").combine_chunks()
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)

@@ -93,16 +93,19 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def frequent_level(counted: DataFrame, size: int) -> int | None:
-    """The least k for which at most ``size`` rows of ``counted`` have ``n >= 2**k``; None if none has."""
-    levels = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count()
-    total, level = 0, None
-    for row in levels.orderBy(F.desc("k")).collect():  # at most 64 rows
+def most_frequent(counted: DataFrame, size: int) -> DataFrame:
+    """The rows of ``counted`` with the greatest ``n``, as many levels of it as ``size`` holds.
+
+    Four levels double the count, so nothing is sorted and ties stay together.
+    """
+    level = F.floor(4 * F.log2("n")).cast("int")
+    total, least = 0, None
+    for row in counted.groupBy(level.alias("k")).count().orderBy(F.desc("k")).collect():  # at most 256 rows
         total += row["count"]
         if total > size:
             break
-        level = row["k"]
-    return level
+        least = row["k"]
+    return counted.limit(0) if least is None else counted.filter(level >= least)
 
 
 class Codes(dict):

@@ -333,6 +333,7 @@ def test_bpe(codec, stored, empty):
     texts = [
         None, "", "hello world", "  two  blanks \n\n x", "don't we'll 's ''s", "a\tb c d　", "Ünï 漢字 😀😀 x😀y",
         "\0null \0", "x" * 1000 + " y", "\n", " ", "a \n", "12 ½ ² Ⅷ a²b", "ab" * 400, "###$$$ %%% &&&\r\n\r\nfoo", LONG[:3000],
+        "a , b. c.\nd", ", x. y", "x), y_. z", "12. 3,4 é, \u0301, z.",
     ]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     expected = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
