@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from evraklab.llm import bpe, html_text, lm, mixing, pq, quality, secrets, simhash, substring_dedup, toxicity
 from evraklab.llm.core import table
+from evraklab.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _joined(spans, wanted=None):
@@ -85,4 +88,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm, op2_html, op3_simhash, op4_toxicity, op5_embeddings, op6_substrings, op7_bpe, op8_secrets, op9_quality, op10_mixing)
 }
-ORACLES: dict[str, str] = {}
