@@ -14,7 +14,8 @@ levels deep, until what is left undecided is a 2**-24th of the source. Sums over
 are all that is shuffled; no source is gathered or sorted.
 
 Tokens are words. A null source is a source of its own, null and empty texts have no
-tokens and are drawn with their block, and rows of the same id fall into the same block.
+tokens and are drawn with their block, a source of nothing but such texts is drawn once,
+and rows of the same id fall into the same block.
 The result has one row for each drawn copy; sources whose budget is below their first
 document's block give none. An empty table gives an empty result.
 """
@@ -145,7 +146,11 @@ def mix(
         hashed = F.xxhash64(F.lit(seed), epoch.cast("int"), F.col("key"), F.col("doc_id").cast("string"))
         return F.shiftrightunsigned(hashed, 64 - DIGIT * LEVELS)
 
-    marked = read.join(weighted, "key").withColumn("place", digits(F.col("whole")))
+    # A source without a token costs nothing and is taken once.
+    marked = read.join(weighted, "key", "left").withColumns(
+        {"weight": F.coalesce("weight", F.lit(0.0)), "whole": F.coalesce("whole", F.lit(1))}
+    )
+    marked = marked.withColumn("place", digits(F.col("whole")))
     # Open the block in which each source's budget ends, level by level.
     cut = weighted.select("key", F.lit(0).cast("bigint").alias("prefix"), "rest")
     for level in range(1, LEVELS + 1):

@@ -428,6 +428,8 @@ def test_mixing(stored, edges, empty):
     limited = mixing.realise(docs, max_epochs=1.5)
     assert sum(1 for _ in limited.collect()) <= 600 + 1.5 * 400 + 5
 
+    void = stored([*rows[:40], (5000, "", "", "void", 0), (5001, None, "", "void", 0)])
+    assert {r["doc_id"] for r in mixing.realise(void).collect()} == {*range(40), 5000, 5001}
     assert mixing.realise(edges).columns == edges.columns
     assert {r["doc_id"] for r in mixing.realise(edges).collect()} == {r[0] for r in EDGES}
     assert mixing.mix(empty).count() == 0 and mixing.realise(empty).count() == 0
