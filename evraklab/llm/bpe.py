@@ -194,7 +194,7 @@ class Codec:
         )
         return bound[0]
 
-    def head(self, docs: DataFrame, text_col: str, size: int = HEAD) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def head(self, docs: DataFrame, text_col: str, size: int = HEAD) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The most frequent chunks of all texts, ``size`` at most, their flat ids and where each begins.
 
         All chunks are counted, map-side first.
@@ -225,7 +225,7 @@ class Codec:
         ids = rows.column("ids").combine_chunks()
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
         sizes = np.diff(ids.offsets.to_numpy())
-        return rows.column("chunk").to_pylist(), flat, np.concatenate([[0], np.cumsum(sizes)])
+        return rows.column("chunk").combine_chunks(), flat, np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
         """One row per document: its id and ``ids``, the token ids of the whole text."""
@@ -235,7 +235,7 @@ class Codec:
         ranks, pattern = self.spark.sparkContext.broadcast(self.ranks), self.pattern
 
         def look_up(batches):
-            codes = Codes((w, i) for i, w in enumerate(known.value))
+            codes = Codes((w, i) for i, w in enumerate(known.value.to_pylist()))
             for batch in batches:
                 numbers, tails, longs = [], [], []
                 for text in batch.column(1).to_pylist():

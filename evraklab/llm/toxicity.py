@@ -41,6 +41,7 @@ ROUNDS = 60
 RATE = 0.05
 SHRINK = 1e-3
 CACHE = 400_000
+PIECE = 1 << 14  # words whose n-grams are handled at a time, to keep arrays small
 
 
 def distinct(text: bytes) -> list[bytes]:
@@ -50,6 +51,11 @@ def distinct(text: bytes) -> list[bytes]:
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the n-grams of all words, and how many each word has (one at least)."""
+    parts = [_subwords(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     buffer = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -68,7 +74,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(owner[: len(value)][inside])
     grams, owners = np.concatenate(out), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return grams[order], np.bincount(owners, minlength=len(words))
+    return grams[order], np.bincount(owners, minlength=len(words)).astype(np.int32)
 
 
 @dataclass
@@ -101,10 +107,12 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     code: dict[bytes, int] = {}
-    streams = [[code.setdefault(w, len(code)) for w in distinct(t)] for t in texts]
+    streams = [np.array([code.setdefault(w, len(code)) for w in distinct(t)], np.int32) for t in texts]
     grams, counts = subwords(list(code))
-    gram_starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    stream = np.array([w for s in streams for w in s], np.int32)
+    gram_starts = np.concatenate([[0], np.cumsum(counts)])
+    pieces = [(i, min(i + PIECE, len(counts))) for i in range(0, len(counts), PIECE)]
+    stream = np.concatenate(streams)
+    del code
     # Blocks of all texts; texts without a word have none.
     sizes, owner = [], []
     for i, s in enumerate(streams):
@@ -125,7 +133,14 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, out, bias)]
     for step in range(1, ROUNDS + 1):
         toward = out[:, 1] - out[:, 0]
-        word = np.add.reduceat((table @ toward)[grams], gram_starts) / counts
+        gram_scores = table @ toward
+        word = np.concatenate(
+            [
+                np.add.reduceat(gram_scores[grams[gram_starts[i] : gram_starts[j]]], gram_starts[i:j] - gram_starts[i])
+                for i, j in pieces
+            ]
+        )
+        word /= counts
         block = np.add.reduceat(word[stream], block_starts) / spread
         best = np.array(
             [s + block[s:e].argmax() for s, e in zip(text_starts, np.append(text_starts[1:], len(block)))]
@@ -136,7 +151,10 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         per_word = np.repeat(SCALE * slope / spread[best], sizes[best])
         at = np.repeat(block_starts[best], sizes[best]) + np.concatenate([np.arange(k) for k in sizes[best]])
         on_words = np.bincount(stream[at], per_word, len(counts))
-        on_grams = np.bincount(grams, np.repeat(on_words / counts, counts), BUCKETS)
+        on_grams = np.zeros(BUCKETS)
+        for i, j in pieces:
+            pull = np.repeat(on_words[i:j] / counts[i:j], counts[i:j])
+            on_grams += np.bincount(grams[gram_starts[i] : gram_starts[j]], pull, BUCKETS)
         pull = table.T @ on_grams
         grads = (
             on_grams[:, None] * toward + SHRINK * table,
