@@ -465,6 +465,20 @@ def test_html_hosts(stored):
     assert html_text.extract(none).count() == 0
 
 
+def test_html_repeats_in_articles(stored):
+    """A notice inside an article goes where its host repeats it, and no more than the notice."""
+    notice = "subscribe today and read all our stories without any advert for a month"
+    texts = [prose(1000 + i, 40, 5000) for i in range(12)]
+    rows = [(i, f"http://n.example/{i}", f"<article><p>{t}</p><p>{notice}</p></article>") for i, t in enumerate(texts)]
+    before, after = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(10))
+    rows += [(20, "http://n.example/x", f"<body><div>{before} {notice} {after}</div>")]
+    pages = stored(rows, "page_id bigint, url string, html string")
+    for chunk in (2000, 3):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages, chunk).collect()}
+        assert [got[i] for i in range(12)] == texts
+        assert got[20] == f"{before} {after}"
+
+
 def test_window_ranks():
     tokens = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 5, 6, 7, 8, 1], np.uint64)
     ranks = html_text.window_ranks(tokens)
