@@ -479,6 +479,22 @@ def test_html_repeats_in_articles(stored):
         assert got[20] == f"{before} {after}"
 
 
+def test_html_copies(stored):
+    """Pages that a host has twice or nearly twice keep their text."""
+    body = prose(55, 200, 5000)
+    words = body.split()
+    words[100] = "changed"
+    near = " ".join(words)
+    rows = [(1, "http://c.example/a", f"<div>{body}</div>"), (2, "http://c.example/a?print", f"<div>{body}</div>")]
+    rows += [(3, "http://c.example/a?2", f"<div>{near}</div>")]
+    rows += [(10 + i, f"http://c.example/{i}", f"<div>{prose(70 + i, 50, 5000)}</div>") for i in range(6)]
+    pages = stored(rows, "page_id bigint, url string, html string")
+    for chunk in (2000, 2):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages, chunk).collect()}
+        assert got[1] == got[2] == body and got[3] == near
+        assert all(got[10 + i] == prose(70 + i, 50, 5000) for i in range(6))
+
+
 def test_window_ranks():
     tokens = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 5, 6, 7, 8, 1], np.uint64)
     ranks = html_text.window_ranks(tokens)
