@@ -49,8 +49,8 @@ class Plan:
     budget: float
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, source, tokens) by position in the stored table."""
+def tokens(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Rows (row, doc_id, source, tokens); ``row`` is a column that numbers the rows, if there is one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = pa.array([len(t.split()) for t in utf8(batch.column(3))], pa.int64())
@@ -58,8 +58,8 @@ def tokens(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), n], names)
 
     slim = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"),
-        F.col("text").cast("string").alias("text"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id",
+        F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
     )
     kind = slim.schema["doc_id"].dataType.simpleString()
     return map_batches(slim, run, f"row bigint, doc_id {kind}, source string, tokens bigint")
@@ -119,13 +119,14 @@ def plan(sources: DataFrame, budget: float | None, entropy: float = ENTROPY, max
 
 
 def mix(
-    docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, seed: int = 1
+    docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, seed: int = 1,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per drawn copy: row, doc_id, source, tokens, weight, epoch, block.
 
     ``budget`` is in tokens; without one it is the least that keeps every document.
     """
-    read = staged(tokens(docs).withColumn("key", _key(F.col("source"))))
+    read = staged(tokens(docs, row).withColumn("key", _key(F.col("source"))))
     sources = staged(read.groupBy("key").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"))
     if sources.isEmpty():
         return read.select("row", "doc_id", "source", "tokens", F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"), F.lit(0).alias("block"))
@@ -176,11 +177,12 @@ def mix(
 def realise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as drawn: each row as often as its copies, all columns as they were.
 
-    ``docs`` must be a stored table: its rows are told apart by their position.
+    Rows are numbered once, in a stored copy: positions of another scan may differ.
     """
-    copies = mix(docs, **options).groupBy("row").agg(F.count("*").cast("int").alias("copies"))
     row, times = fresh(docs, "row_"), fresh(docs, "times_")
-    drawn = docs.withColumn(row, F.monotonically_increasing_id()).join(
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    copies = mix(numbered, row=row, **options).groupBy("row").agg(F.count("*").cast("int").alias("copies"))
+    drawn = numbered.join(
         copies.select(F.col("row").alias(row), F.col("copies").alias(times)), row
     )
     repeated = drawn.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))

@@ -280,6 +280,31 @@ def test_simhash(stored, edges, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_rows_keep_their_numbers(spark, stored, monkeypatch):
+    """Files packed otherwise between two scans change no row that is kept or drawn."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def repacking(f):
+        def run(*args, **options):
+            spark.conf.set(key, "300")
+            return f(*args, **options)
+
+        return run
+
+    rows = [(i, prose(i, 30), "", "a" if i % 4 else "b", 0) for i in range(200)] + [(900, "", "", "c", 0)]
+    docs = stored(rows + [(300 + i, *rows[i][1:]) for i in range(60)], parts=7)
+    monkeypatch.setattr(simhash, "components", repacking(simhash.components))
+    monkeypatch.setattr(mixing, "plan", repacking(mixing.plan))
+    try:
+        assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [r[0] for r in rows]
+        spark.conf.set(key, before)
+        drawn = collections.Counter(r["doc_id"] for r in mixing.realise(docs).collect())
+        assert len(drawn) == 261 and drawn[900] == 1
+    finally:
+        spark.conf.set(key, before)
+
+
 # -- substrings
 
 
