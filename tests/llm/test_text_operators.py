@@ -280,6 +280,24 @@ def test_simhash(stored, edges, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_by_similarity(stored):
+    """Texts of similarity 0.8 or more are near copies, however many bits differ; others stay."""
+    words = lambda i: [f"x{i}y{k}" for k in range(200)]
+    rows, far = [], 0
+    for i in range(30):
+        near, other = words(i), words(i)
+        for k in (40, 90, 140):
+            near[k] = "changed"
+        for k in range(10, 190, 20):
+            other[k] = "altered"
+        texts = [" ".join(w) for w in (words(i), near, other)]
+        assert simhash.jaccard(*(t.encode() for t in texts[:2])) > 0.8 > simhash.jaccard(*(t.encode() for t in texts[::2]))
+        far += (brute_fingerprint(texts[0]) ^ brute_fingerprint(texts[1])).bit_count() > 4
+        rows += [(3 * i + k, t, "", "", 0) for k, t in enumerate(texts)]
+    assert far > 10
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(stored(rows)).collect()) == [i for i in range(90) if i % 3 != 1]
+
+
 def test_rows_keep_their_numbers(spark, stored, monkeypatch):
     """Files packed otherwise between two scans change no row that is kept or drawn."""
     key = "spark.sql.files.maxPartitionBytes"
