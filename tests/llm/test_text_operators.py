@@ -120,6 +120,19 @@ def test_guess_cost():
     assert secrets.guess_cost("Xk9#vQ2!mZ7$") > secrets.MIN_GUESSES
 
 
+def test_secrets_whole_values():
+    """A value is judged and masked to its end: past a base span, and past 200 characters."""
+    rng = random.Random(4)
+    jwt = "eyJ" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-.") for _ in range(700))
+    for value, kinds in (("Sup3rSecret12!x9#Qz", ["assign", "guess"]), ("Zq!7~0123456789abcdef~pK#2", ["guess", "hex"])):
+        text = f"password={value} end"
+        found = secrets.spans_of(text)
+        assert [k for k, _, _ in found] == kinds and ("guess", 9, 9 + len(value)) in found
+    text = f"authorization: bearer {jwt} end"
+    assert secrets.spans_of(text)[-1][1:] == (22, 22 + len(jwt))
+    assert secrets.spans_of("pwd: " + "z" * 5000) == [] and secrets.spans_of("pwd: " + "xyz" * 500) == []
+
+
 # -- quality
 
 
