@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with production parameters."""
+"""The thirteen operators as queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evraklab.llm import bpe, html_text, lm, mixing, pq, quality, secrets, simhash, substring_dedup, toxicity
+from evraklab.llm import (
+    bpe,
+    conversations,
+    html_text,
+    lm,
+    mixing,
+    pq,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from evraklab.llm.core import table
 from evraklab.llm.oracles import ORACLES
 
@@ -85,6 +99,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, budget=float(total)).drop("row")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.report(conversations.edits(turns))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    return spelling.group(spelling.count(spelling.garble(runs)))
+
+
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm, op2_html, op3_simhash, op4_toxicity, op5_embeddings, op6_substrings, op7_bpe, op8_secrets, op9_quality, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_lm,
+        op2_html,
+        op3_simhash,
+        op4_toxicity,
+        op5_embeddings,
+        op6_substrings,
+        op7_bpe,
+        op8_secrets,
+        op9_quality,
+        op10_mixing,
+        op11_conversations,
+        op12_spelling,
+        op13_suffixes,
+    )
 }
