@@ -80,8 +80,8 @@ hashed AS (SELECT w, n, {CRC.format("bytes")} AS h FROM runs, crc),
 words AS (
   SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, CAST(sum(n) AS bigint) AS n
   FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
-at AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
-hole AS (SELECT word, n, i, word[:i - 1] || '*' || word[i + 1:] AS k, word[:i - 1] || word[i + 1:] AS short FROM at),
+cell AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+hole AS (SELECT word, n, i, word[:i - 1] || '*' || word[i + 1:] AS k, word[:i - 1] || word[i + 1:] AS short FROM cell),
 near AS (
   SELECT a.word, b.word AS other FROM hole a JOIN hole b USING (k) WHERE a.word <> b.word
   UNION SELECT a.word, b.word FROM hole a JOIN words b ON a.short = b.word
@@ -95,10 +95,10 @@ formed AS (
     CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
   FROM words LEFT JOIN ranked ON words.word = ranked.word AND k = 1),
 chain AS (
-  WITH RECURSIVE up(word, at, step) AS (
+  WITH RECURSIVE up(word, top, step) AS (
     SELECT word, word, 0 FROM formed
-    UNION ALL SELECT up.word, form, step + 1 FROM up JOIN formed ON at = formed.word WHERE form IS NOT NULL)
-  SELECT word, arg_max(at, step) AS root FROM up GROUP BY word)
+    UNION ALL SELECT up.word, form, step + 1 FROM up JOIN formed ON top = formed.word WHERE form IS NOT NULL)
+  SELECT word, arg_max(top, step) AS root FROM up GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)"""
 
 # The grammar as a machine of four places (nothing, after s, after u, after a) instead of
