@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evraklab.functions.json_text import kind
-from evraklab.functions.lang import strip
+from evraklab.functions.lang import strip, with_settled
 from evraklab.schemas import BOX
 
 LINE = "array<struct<text:string,confidence:double,bbox:array<array<double>>>>"
 
 
 BOXES = f"array<{BOX.simpleString()}>"
-PARALLEL_LISTS = f"array<struct<dt_polys:{BOXES},rec_texts:array<string>,rec_scores:array<double>>>"
 
 
 def _zipped(polys: Column, texts: Column, scores: Column) -> Column:
@@ -59,64 +57,98 @@ def blocks_of_pairs(df: DataFrame, column: str = "pairs") -> DataFrame:
     )
 
 
-def blocks_of_json(df: DataFrame, column: str = "payload") -> DataFrame:
-    """Add ``blocks`` from a payload's JSON text, whichever of the two shapes it has.
+# A noncharacter put before JSON strings that begin like a container.
+MARK = "\ufdd0"
+OBJECT = "struct<dt_polys:array<string>,rec_texts:array<string>,rec_scores:array<string>>"
+
 
-    A list of nothing but objects is read with a schema; any other payload is
-    opened step by step, which is slower.
+def _marked(payload: Column) -> Column:
+    """Compact JSON text of a payload, in which only containers begin with a bracket.
 
-    The payload is a list. An object in it holds parallel lists; an array holds
-    ``[box, [text, conf]]`` pairs, directly or one level down. Anything else is
-    passed over, as is a payload that is no JSON list.
+    ``from_json`` gives containers and strings alike as text; strings that begin with a
+    bracket or a brace get ``MARK``, so the first character tells the two apart.
     """
-    only_objects = F.rlike(column, F.lit(r"^\s*\[\s*\{")) & ~F.rlike(
-        column, F.lit(r"\}\s*,\s*\[")
-    )
-    typed = F.from_json(F.when(only_objects, F.col(column)), PARALLEL_LISTS)
-    items = F.try_variant_get(
-        F.try_parse_json(F.when(~only_objects, F.col(column))), "$", "array<variant>"
-    )
+    compact = F.from_json(F.concat(F.lit('{"a":'), payload, F.lit("}")), "struct<a:string>")["a"]
+    return F.regexp_replace(compact, r'(?<!\\)"(?=[\[{])', f'"{MARK}')
 
-    def of_object(x):
-        return _zipped(
-            F.try_variant_get(x, "$.dt_polys", BOXES),
-            F.try_variant_get(x, "$.rec_texts", "array<string>"),
-            F.try_variant_get(x, "$.rec_scores", "array<double>"),
-        )
 
-    def is_pair(x):
-        return (kind(F.try_variant_get(x, "$[1]", "variant")) == "ARRAY") & (
-            kind(F.try_variant_get(x, "$[1][0]", "variant")) == "STRING"
-        )
+def _plain(text: Column) -> Column:
+    return F.when(F.startswith(text, F.lit(MARK)), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+
+
+def _score(text: Column) -> Column:
+    return text.try_cast("double")
+
+
+def _is_pair(members: Column) -> Column:
+    """``[box, [text, ...]]``, told from two points of a box by the text."""
+    return (F.size(members) == 2) & F.startswith(F.get(members, F.lit(1)), F.lit('["'))
+
 
-    def of_array(x):
-        nested = F.try_variant_get(x, "$[0]", "variant")
-        level = (
-            F.when(is_pair(x), F.array(x))
-            .when(is_pair(nested), F.try_variant_get(x, "$", "array<variant>"))
-            .otherwise(F.try_variant_get(nested, "$", "array<variant>"))
+def blocks_of_json(df: DataFrame, column: str = "payload") -> DataFrame:
+    """Add ``blocks`` from a payload's JSON text, whichever of its shapes the items have.
+
+    The payload is a list. An object in it holds parallel lists, padded to the longest;
+    its texts are trimmed and blank ones dropped. An array holds ``[box, [text, conf]]``
+    pairs of exactly two members: itself, its members, or the members of its first member;
+    nothing of them is dropped. Each item is read by its own shape and all others are
+    passed over, as is a payload that is no JSON list. Scores may be numbers or text; what
+    is no number counts 0 in parallel lists and null in pairs.
+    """
+    strings = "array<string>"
+    list_of = lambda text: F.from_json(F.when(F.startswith(text, F.lit("[")), text), strings)
+    items = F.transform(
+        F.from_json(_marked(F.col(column)), strings),
+        lambda x: F.struct(
+            F.from_json(F.when(F.startswith(x, F.lit("{")), x), OBJECT).alias("lists"),
+            list_of(x).alias("members"),
+        ),
+    )
+    items = F.transform(
+        items,
+        lambda x: F.struct(
+            x["lists"].alias("lists"),
+            x["members"].alias("members"),
+            list_of(F.get(x["members"], F.lit(0))).alias("first"),
+        ),
+    )
+
+    def lines(x: Column) -> Column:
+        nested = F.startswith(F.get(x["members"], F.lit(0)), F.lit("[["))
+        level = F.when(nested & ~_is_pair(x["first"]), x["first"]).otherwise(x["members"])
+        found = F.when(_is_pair(x["members"]), F.array(x["members"])).otherwise(F.transform(level, list_of))
+        pairs = F.filter(
+            found, lambda y: (F.size(y) == 2) & F.startswith(F.get(y, F.lit(1)), F.lit("["))
         )
-        pairs = F.filter(F.coalesce(level, F.array().cast("array<variant>")), is_pair)
         return F.transform(
-            pairs,
-            lambda p: F.struct(
-                F.try_variant_get(p, "$[1][0]", "string").alias("text"),
-                F.try_variant_get(p, "$[1][1]", "double").alias("confidence"),
-                F.try_variant_get(p, "$[0]", "array<array<double>>").alias("bbox"),
+            F.transform(
+                pairs,
+                lambda y: F.struct(
+                    F.from_json(F.get(y, F.lit(1)), strings).alias("read"),
+                    F.from_json(F.get(y, F.lit(0)), BOX.simpleString()).alias("bbox"),
+                ),
+            ),
+            lambda y: F.struct(
+                _plain(F.get(y["read"], F.lit(0))).alias("text"),
+                _score(F.get(y["read"], F.lit(1))).alias("confidence"),
+                y["bbox"].alias("bbox"),
             ),
         ).cast(LINE)
 
-    def of_item(x):
-        k = kind(x)
-        return (
-            F.when(k == "OBJECT", of_object(x))
-            .when(k == "ARRAY", of_array(x))
-            .otherwise(F.array().cast(LINE))
+    def parallel(o: Column) -> Column:
+        return _zipped(
+            F.transform(o["dt_polys"], lambda p: F.from_json(p, BOX.simpleString())),
+            F.transform(o["rec_texts"], _plain),
+            F.transform(o["rec_scores"], _score),
         )
 
-    listed = F.transform(typed, lambda x: _zipped(x["dt_polys"], x["rec_texts"], x["rec_scores"]))
-    found = F.coalesce(F.flatten(listed), F.flatten(F.transform(items, of_item)))
-    return df.withColumn("blocks", F.coalesce(found, F.array().cast(LINE)))
+    # Settled: exploding ``blocks`` would else test its size, and so parse, before any exchange.
+    none = F.array().cast(LINE)
+    blocks = F.transform(
+        items,
+        lambda x: F.when(x["lists"].isNotNull(), parallel(x["lists"])).otherwise(F.coalesce(lines(x), none)),
+    )
+    return with_settled(df, {"blocks": F.coalesce(F.flatten(blocks), none)})
 
 
 def lines_of_blocks(df: DataFrame) -> DataFrame:

@@ -360,7 +360,12 @@ fr AS (
 
 
 def fx_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw recogniser JSON, two pages per order: parallel lists on page 1, pairs on page 2."""
+    """Raw recogniser JSON, three pages per order.
+
+    Parallel lists on page 1, pairs on page 2, and on page 3 a list of mixed items: scalars,
+    parallel lists with scores as text, pairs with a score as text, and a pair with a third
+    member, which is none.
+    """
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey").cast("string")
     lists = F.concat(
@@ -371,10 +376,16 @@ def fx_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("[[[[[1,2],[3,2],[3,4],[1,4]],[\" page two "), k,
         F.lit('",0.7]],[[[1,6],[3,6],[3,8],[1,8]],["son",0.5]]]]'),
     )
+    mixed = F.concat(
+        F.lit('[5,"[x",{"dt_polys":[[[2,1]],"?"],"rec_texts":["m '), k,
+        F.lit('","[n] "],"rec_scores":["0.25"," 0.5 ",1]},[[[[7,8]],["{p} '), k,
+        F.lit('","0.75"]],[[[1,2]],["three",0.5],7],null,"s"]]'),
+    )
     page = F.explode(
         F.array(
             F.struct(F.lit(1).alias("page"), lists.alias("payload")),
             F.struct(F.lit(2).alias("page"), pairs.alias("payload")),
+            F.struct(F.lit(3).alias("page"), mixed.alias("payload")),
         )
     )
     pages = o.select(F.col("o_orderkey").alias("doc_id"), page.alias("p")).select(
@@ -385,12 +396,13 @@ def fx_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_PAYLOAD_LINES = """
 pl AS (
-  SELECT o_orderkey AS doc_id, i AS line_no, CASE WHEN i <= 2 THEN 1 ELSE 2 END AS page,
+  SELECT o_orderkey AS doc_id, i AS line_no, [1, 1, 2, 2, 3, 3, 3][i] AS page,
     CASE i WHEN 1 THEN 'Dekont No: ' || o_orderkey WHEN 2 THEN 'Toplam'
-      WHEN 3 THEN ' page two ' || o_orderkey ELSE 'son' END AS text,
-    CASE i WHEN 1 THEN 0.9::double WHEN 2 THEN 0.0::double WHEN 3 THEN 0.7::double ELSE 0.5::double END AS confidence,
-    CASE WHEN i = 1 THEN 1.0::double WHEN i IN (3, 4) THEN 1.0::double END AS x0
-  FROM orders, (SELECT unnest([1, 2, 3, 4]) AS i))"""
+      WHEN 3 THEN ' page two ' || o_orderkey WHEN 4 THEN 'son'
+      WHEN 5 THEN 'm ' || o_orderkey WHEN 6 THEN '[n]' ELSE '{p} ' || o_orderkey END AS text,
+    [0.9, 0, 0.7, 0.5, 0.25, 0.5, 0.75][i]::double AS confidence,
+    [1, NULL, 1, 1, 2, NULL, 7][i]::double AS x0
+  FROM orders, (SELECT unnest(range(1, 8)) AS i))"""
 
 
 def fx_passes(spark: SparkSession, sf_dir: str) -> DataFrame:

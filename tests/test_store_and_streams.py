@@ -145,6 +145,25 @@ def test_payload_shapes(spark):
     assert [t for _, t in got] == [[], [], [], [], ["one"], ["one", "two"], ["z"]]
 
 
+def test_payload_items_are_read_by_their_own_shape(spark):
+    cases = [
+        ('[{"rec_texts": ["a", "b", "c"], "rec_scores": ["0.9", " 1 ", "x"]}]', [("a", 0.9), ("b", 1.0), ("c", 0.0)]),
+        ('[7, null, "[s", true, {"rec_texts": ["a"]}, {}]', [("a", 0.0)]),
+        ('[[[[1,2]], ["two", 0.5], 3]]', []),
+        ('[[[[[1,2]], ["two", 0.5], 3], [[[1,2]], ["no", "0.5"]]]]', []),
+        ('[[[[[[1,2]], ["two", 0.5], 3], [[[1,2]], ["kept", "0.5"]], [[1,2]]]]]', [("kept", 0.5)]),
+        ('[ {"rec_texts": [" [x] ", "{", "q\\"[z"]} , [[null, ["p", 1]]] ]', [("[x]", 0.0), ("{", 0.0), ('q"[z', 0.0), ("p", 1.0)]),
+        ('[[[[[1,2],[3,4]], ["[n]", 0.5]], [null, ["  ", 0.1]]]]', [("[n]", 0.5), ("  ", 0.1)]),
+        ('[{"dt_polys": [[[1,2]], "bad"], "rec_texts": ["a", "b"]}] x', []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, payload string")
+    got = [[(b["text"], b["confidence"]) for b in r.blocks] for r in blocks_of_json(df).orderBy("i").collect()]
+    assert got == [c[1] for c in cases]
+    box = blocks_of_json(spark.createDataFrame([('[{"dt_polys": [[[1,2]], "bad"], "rec_texts": ["a", "b"]}]',)], "payload string"))
+    assert [b["bbox"] for b in box.first().blocks] == [[[1.0, 2.0]], None]
+
+
 def fold_by_definition(events, limit, gap):
     state, out = {}, {}
     for key, t, event in sorted(events, key=lambda e: (e[0], e[1], e[2])):
