@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +126,42 @@ def partial_ratio(left: Column, right: Column) -> Column:
     return _score_once(left, right)
 
 
+BEST = T.ArrayType(
+    T.StructType([T.StructField("score", T.DoubleType()), T.StructField("at", T.IntegerType())])
+)
+
+
+@F.arrow_udf(BEST)
+def _best_of(targets: pa.Array, texts: pa.Array) -> pa.Array:
+    per_row = targets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    lists = texts.flatten()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    wanted = targets.flatten().take(pa.array(owner)).to_pylist()
+    scores = partial_scores(wanted, lists.flatten().to_pylist())
+    order = np.lexsort((np.arange(len(owner)), -scores, owner))
+    found, first = np.unique(owner[order], return_index=True)
+    best = order[first]
+    score, at, none = np.zeros(len(sizes)), np.zeros(len(sizes), np.int32), np.ones(len(sizes), bool)
+    score[found], none[found] = scores[best], False
+    at[found] = best - (np.cumsum(sizes) - sizes)[found]
+    values = pa.StructArray.from_arrays([pa.array(score, mask=none), pa.array(at, mask=none)], ["score", "at"])
+    offsets = np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+_best_once = _best_of.asNondeterministic()
+
+
+def best_of(targets: Column, texts: Column) -> Column:
+    """For each of ``targets`` the best partial ratio in its list of ``texts``, and where.
+
+    array<struct(score, at)>; the earliest of equals, nulls for an empty list. Rows with
+    null ``targets`` must have null ``texts`` and yield an empty array.
+    """
+    return _best_once(targets, texts)
+
+
 def contains_exactly(left: Column, right: Column) -> Column:
     """True where one string holds the other, which alone scores a plain 100."""
     return (

@@ -63,6 +63,53 @@ def texts_of_chunks(chunks: DataFrame, separator: str = " ") -> DataFrame:
     )
 
 
+def document_states(lines: DataFrame, separator: str = " ") -> DataFrame:
+    """One row per document with all that is told from its lines, read and moved once.
+
+    (doc_id, raw_text, n_lines, mean_confidence, lines, pages): ``lines`` is the ordered
+    array of struct(line_no, text, confidence), ``pages`` one struct(page, blocks, chars, conf_sum,
+    conf_n) for each run of a page, ordered by page. A run is what one page has of
+    ``CHUNK_LINES`` line numbers; its counts merge with those of the page's other runs.
+    """
+    runs = (
+        lines.select(
+            "doc_id",
+            chunk_of(F.col("line_no")).alias("chunk"),
+            "page",
+            F.struct("line_no", F.coalesce("text", F.lit("")).alias("text"), "confidence").alias("line"),
+            F.length("text").alias("chars"),
+            "confidence",
+        )
+        .groupBy("doc_id", "chunk", "page")
+        .agg(
+            F.array_sort(F.collect_list("line")).alias("lines"),
+            F.count("*").alias("blocks"),
+            F.sum("chars").alias("chars"),
+            F.sum("confidence").alias("conf_sum"),
+            F.count("confidence").alias("conf_n"),
+        )
+    )
+    counts = F.struct("page", "blocks", "chars", "conf_sum", "conf_n")
+    merged = runs.groupBy("doc_id").agg(
+        F.collect_list("lines").alias("lines"),
+        F.array_sort(F.collect_list(counts)).alias("pages"),
+        F.sum("blocks").alias("n_lines"),
+        F.sum("conf_n").alias("known"),
+    )
+    # Runs of two pages can interleave, so order is restored over the whole document. The
+    # confidences are summed in it, so that the mean does not depend on the runs.
+    ordered = merged.withColumn("lines", F.array_sort(F.flatten("lines")))
+    total = F.aggregate("lines", F.lit(0.0), lambda a, l: a + F.coalesce(l["confidence"], F.lit(0.0)))
+    return ordered.select(
+        "doc_id",
+        joined(F.col("lines"), "text", separator).alias("raw_text"),
+        "n_lines",
+        F.when(F.col("known") > 0, total / F.col("n_lines")).alias("mean_confidence"),
+        "lines",
+        "pages",
+    )
+
+
 def document_texts(lines: DataFrame, separator: str = " ") -> DataFrame:
     """One row per document with its whole text, line count and mean confidence."""
     return texts_of_chunks(line_chunks(lines), separator)

@@ -140,25 +140,20 @@ def read_reply_fields(df: DataFrame) -> DataFrame:
     )
 
 
-def evidence_targets(df: DataFrame) -> DataFrame:
-    """(doc_id, targets) for parsed replies: the values evidence is sought for.
-
-    ``targets`` is an array of struct(slot, target). Only those values are read
-    from ``reply_json``, so this can run beside the full reading of the reply.
-    """
-    v = F.col("reply_json")
-    single = F.array(*[F.variant_get(v, PATHS[n], "variant") for n in EVIDENCE_SLOTS])
-    listed = F.coalesce(
-        F.try_variant_get(v, LIST, "array<variant>"), F.array().cast("array<variant>")
-    )
-    totals = F.transform(listed, lambda x: F.try_variant_get(x, "$.total_impact", "variant"))
-    values = F.transform(
-        describe_all(F.concat(single, totals)),
-        lambda t, slot: F.when(
-            t["truthy"], F.struct(slot.alias("slot"), t["text"].alias("target"))
+def evidence_targets(fields: Column) -> Column:
+    """The values of ``reply_fields`` evidence is sought for: array of struct(slot, target)."""
+    single = [
+        F.when(fields[n]["truthy"], F.struct(F.lit(slot).alias("slot"), fields[n]["text"].alias("target")))
+        for n, slot in EVIDENCE_SLOTS.items()
+    ]
+    listed = F.transform(
+        fields["adjustments"],
+        lambda a, i: F.when(
+            a["total"]["truthy"],
+            F.struct((i + F.lit(FIRST_ADJUSTMENT)).alias("slot"), a["total"]["text"].alias("target")),
         ),
     )
-    return df.select("doc_id", F.array_compact(values).alias("targets"))
+    return F.array_compact(F.concat(F.array(*single), listed))
 
 
 def fallbacks(fields: Column, text: Column, ibans: Column) -> dict[str, tuple[Column, Column]]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evraklab.functions.lang import let
+
 
 def page_metrics(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Blocks, characters and mean confidence per (doc_id, page).
@@ -48,6 +50,72 @@ def document_metrics(per_page: DataFrame) -> DataFrame:
     )
 
 
+def _moments(m: Column, value: Column) -> Column:
+    """Count, mean and sum of squared deviations with one more value; a null adds nothing."""
+    n = m["n"] + 1
+    step = value - m["mean"]
+    mean = m["mean"] + step / n
+    more = F.struct(n.alias("n"), mean.alias("mean"), (m["m2"] + step * (value - mean)).alias("m2"))
+    return F.when(value.isNull(), m).otherwise(more)
+
+
+def metrics_of_pages(pages: Column) -> Column:
+    """``document_metrics`` as a struct, from the ``pages`` of ``doc_text.document_states``.
+
+    The runs of a page follow each other; a page is complete where the next one begins.
+    """
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    start = F.struct(
+        zero.alias("blocks"),
+        zero.alias("conf"),
+        F.lit(0).cast("bigint").alias("page_blocks"),
+        F.lit(0.0).alias("conf_sum"),
+        F.lit(0).cast("bigint").alias("conf_n"),
+        F.lit(None).cast("bigint").alias("page"),
+        F.lit(True).alias("first"),
+    )
+
+    def closed(s: Column) -> tuple[Column, Column]:
+        mean = F.when(s["conf_n"] > 0, s["conf_sum"] / s["conf_n"])
+        blocks = _moments(s["blocks"], s["page_blocks"].cast("double"))
+        return F.when(s["first"], s["blocks"]).otherwise(blocks), _moments(s["conf"], mean)
+
+    def add(s: Column, run: Column) -> Column:
+        same = s["page"].eqNullSafe(run["page"]) & ~s["first"]
+        blocks, conf = closed(s)
+        sums = {"page_blocks": run["blocks"], "conf_sum": F.coalesce(run["conf_sum"], F.lit(0.0)), "conf_n": run["conf_n"]}
+        return F.struct(
+            F.when(same, s["blocks"]).otherwise(blocks).alias("blocks"),
+            F.when(same, s["conf"]).otherwise(conf).alias("conf"),
+            *(F.when(same, s[name] + x).otherwise(x).alias(name) for name, x in sums.items()),
+            run["page"].cast("bigint").alias("page"),
+            F.lit(False).alias("first"),
+        )
+
+    def finish(s: Column) -> Column:
+        blocks, conf = closed(s)
+        return F.struct(blocks.alias("blocks"), conf.alias("conf"))
+
+    def total(name: str) -> Column:
+        known = F.filter(F.transform(pages, lambda r: r[name]), lambda x: x.isNotNull())
+        summed = F.aggregate(known, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.when(F.size(known) > 0, summed).alias(f"total_{name}")
+
+    def spread(moments: Column) -> Column:
+        return F.when(moments["n"] > 0, moments["m2"] / moments["n"]).otherwise(F.lit(0.0))
+
+    return let(
+        F.aggregate(pages, start, add, finish),
+        lambda s: F.struct(
+            total("blocks"),
+            total("chars"),
+            s["blocks"]["n"].alias("page_count"),
+            spread(s["blocks"]).alias("block_variance"),
+            spread(s["conf"]).alias("confidence_variance"),
+        ),
+    )
+
+
 def pass_metrics(blocks: DataFrame) -> DataFrame:
     """Blocks and mean confidence per (doc_id, page, pass_no); 4 decimals."""
     return blocks.groupBy("doc_id", "page", "pass_no", "pass_name").agg(

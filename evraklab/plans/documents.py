@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evraklab.functions.lang import with_settled
@@ -21,19 +21,22 @@ from evraklab.operators.decide import (
     stage_report,
     with_decision,
 )
-from evraklab.operators.doc_text import line_chunks, runs_of, texts_of_chunks
-from evraklab.operators.evidence import find_evidence
+from evraklab.operators.doc_text import document_states
+from evraklab.operators.evidence import with_best_lines
 from evraklab.operators.extract import (
     evidence_targets,
     read_reply_fields,
     skeleton,
     with_extraction,
 )
-from evraklab.operators.metrics import document_metrics, page_metrics
+from evraklab.operators.metrics import metrics_of_pages
 from evraklab.operators.replies import parse_replies
 from evraklab.operators.validate import with_validation
 
 
+METRICS = ("total_blocks", "total_chars", "page_count", "block_variance", "confidence_variance")
+
+
 class Outcome(NamedTuple):
     """Decided documents, and those without a single recognised line."""
 
@@ -80,26 +83,38 @@ def process_documents(
     the greatest. So is one manifest row. ``documents`` optionally supplies (doc_id, task_id, filename, key_id,
     processing_time); without it the document's id is its task.
 
-    The lines are shuffled once, by (doc_id, chunk). That exchange feeds the
-    document texts and the evidence search alike; all later joins are between
-    tables with one row per document.
+    The lines are read once. They are gathered by (doc_id, run, page), and the runs with
+    their counts by document, where texts, evidence and metrics are all told from the same
+    row; all joins are between tables with one row per document. A reply is parsed once.
     """
     if documents is not None:
         documents = one_of_each(documents)
-    chunks = line_chunks(lines)
     reply_columns = ["doc_id", "reply"] + ([entries] if entries else [])
-    # Taking one per document spreads them by document before the parse: the same
-    # exchange serves the evidence targets and the join with the texts.
+    # Taking one per document spreads them by document before the parse.
     spread = one_of_each(replies.select(*reply_columns))
     parsed = parse_replies(spread, "reply", entries)
-    read = read_reply_fields(parsed).select(
-        "doc_id", "reply_status", "reply_msg", "reply_confidence", "reply_fields"
+    read = with_settled(
+        read_reply_fields(parsed).select(
+            "doc_id", "reply_status", "reply_msg", "reply_confidence", "reply_fields"
+        ),
+        {"reply_fields": F.col("reply_fields")},
     )
-    joined = texts_of_chunks(chunks).join(read, "doc_id", "left")
+    states = document_states(lines)
+    metrics = {}
+    if with_metrics:
+        states = states.withColumn("metrics", metrics_of_pages(F.col("pages")))
+        metrics = {name: F.col("metrics")[name] for name in METRICS}
+    joined = states.drop("pages").join(read, "doc_id", "left")
     evidence_map = None
     if with_evidence:
         evidence_map = "evidence"
-        joined = joined.join(_evidence(lines, chunks, parsed, fuzzy_evidence), "doc_id", "left")
+        sought = joined.withColumn("targets", evidence_targets(F.col("reply_fields")))
+        entries_of = F.transform("hits", lambda h: F.struct(h["slot"], h["text"]))
+        joined = with_best_lines(sought, fuzzy=fuzzy_evidence).withColumn(
+            "evidence", F.map_from_entries(entries_of)
+        )
+    else:
+        joined = joined.drop("lines")
     answered = joined.withColumns(
         {
             "reply_status": F.coalesce("reply_status", F.lit("ERROR")),
@@ -112,9 +127,7 @@ def process_documents(
         "category", F.col("classification.domain")
     )
     extracted = with_extraction(classified, "raw_text", "category", evidence_map)
-    results = _named(_decided(extracted, auto_approve_min_trust, high_value), documents)
-    if with_metrics:
-        results = results.join(document_metrics(page_metrics(lines)), "doc_id", "left")
+    results = _named(_decided(extracted, auto_approve_min_trust, high_value), documents, metrics)
     if documents is None:
         rejects = early_rejects(lines.select("doc_id").limit(0), lines)
     else:
@@ -122,15 +135,6 @@ def process_documents(
     return Outcome(results, rejects)
 
 
-def _evidence(lines: DataFrame, chunks: DataFrame, parsed: DataFrame, fuzzy: bool) -> DataFrame:
-    """(doc_id, evidence): slot -> line text, one entry per value of the document's reply."""
-    per_chunk = runs_of(lines).join(evidence_targets(parsed), "doc_id")
-    hits = find_evidence(chunks, per_chunk, fuzzy=fuzzy)
-    return hits.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "evidence_text"))).alias("evidence")
-    )
-
-
 def _decided(df: DataFrame, auto_approve_min_trust: float, high_value: float) -> DataFrame:
     trusted = with_validation(df).withColumn(
         "trust_score", overall_trust(F.col("mean_confidence"), F.col("reply_status"))
@@ -167,7 +171,7 @@ def _decided(df: DataFrame, auto_approve_min_trust: float, high_value: float) ->
     )
 
 
-def _named(df: DataFrame, documents: DataFrame | None) -> DataFrame:
+def _named(df: DataFrame, documents: DataFrame | None, metrics: dict[str, Column]) -> DataFrame:
     """Final columns, with the manifest's names where there is one."""
     manifest = {
         "task_id": F.col("doc_id").cast("string"),
@@ -198,6 +202,7 @@ def _named(df: DataFrame, documents: DataFrame | None) -> DataFrame:
         "decision_engine": F.col("decision_engine"),
         "reply_status": F.col("reply_status"),
         "reply_confidence": F.col("reply_confidence"),
+        **metrics,
     }
     return with_settled(kept, computed).select(
         "doc_id",
@@ -216,4 +221,5 @@ def _named(df: DataFrame, documents: DataFrame | None) -> DataFrame:
         "decision_engine",
         "reply_status",
         "reply_confidence",
+        *metrics,
     )

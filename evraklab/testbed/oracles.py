@@ -360,6 +360,40 @@ tg AS (
 SELECT doc_id, slot, arg_min(text, line_no) AS evidence_text, 100.0::double AS score
 FROM tg JOIN ol USING (doc_id)
 WHERE contains(upper(text), target) OR contains(target, upper(text)) GROUP BY 1, 2""",
+    # A partial ratio folds, for every window of the longer string (also those hanging over
+    # its ends), the bits of the shorter one's positions that a common subsequence leaves.
+    "evidence_fuzzy": OL + """,
+tg AS (
+  SELECT o_orderkey AS doc_id, s AS slot, upper(CASE s
+    WHEN 0 THEN CASE WHEN contains(CAST(o_totalprice AS varchar), '.') THEN CAST(o_totalprice AS varchar) ELSE o_totalprice || '.0' END
+    WHEN 1 THEN 'Havale Dekonfu' ELSE 'SATIS FATURA' END) AS target
+  FROM orders, (SELECT unnest([0, 1, 2]) AS s)),
+pr AS (SELECT DISTINCT target, upper(text) AS line FROM tg JOIN ol USING (doc_id)),
+rl AS (
+  SELECT target, line, CASE WHEN length(target) <= length(line) THEN target ELSE line END AS s,
+    CASE WHEN length(target) <= length(line) THEN line ELSE target END AS l FROM pr
+  UNION
+  SELECT target, line, line, target FROM pr WHERE length(target) = length(line)),
+mk AS (
+  SELECT target, line, length(s) AS m, length(l) AS n, contains(l, s) AS inside,
+    [list_sum([CASE WHEN s[k] = l[i] THEN 1::hugeint << (k - 1) ELSE 0::hugeint END FOR k IN range(1, length(s) + 1)])::hugeint
+     FOR i IN range(1, length(l) + 1)] AS masks
+  FROM rl),
+wd AS (SELECT *, unnest(range(2 - m, n + 1)) AS start FROM mk WHERE NOT inside),
+sc AS (
+  SELECT target, line, m, least(start + m - 1, n) - greatest(start, 1) + 1 AS seen,
+    list_reduce(masks[greatest(start, 1):least(start + m - 1, n)],
+      lambda v, h: ((v + (v & h)) | (v & (((1::hugeint << m) - 1) - h))) & ((1::hugeint << m) - 1), (1::hugeint << m) - 1) AS left_over
+  FROM wd),
+best AS (
+  SELECT target, line, max(200.0 * (m - bit_count(left_over)) / (m + seen)) AS score FROM sc GROUP BY ALL
+  UNION ALL SELECT DISTINCT target, line, 100.0 FROM mk WHERE inside),
+hit AS (
+  SELECT doc_id, slot, line_no, text, CAST(round_even(max(score), 0) AS double) AS score
+  FROM tg JOIN ol USING (doc_id) JOIN best ON best.target = tg.target AND best.line = upper(text)
+  GROUP BY ALL)
+SELECT doc_id, slot, arg_max(text, {'s': score, 'l': -line_no}) AS evidence_text, max(score) AS score
+FROM hit WHERE score > 80 GROUP BY doc_id, slot""",
     "proximity_nearest": """
 WITH cd AS (
   SELECT l_orderkey AS doc_id, CAST(l_partkey AS varchar) AS text, l_partkey % 500 + 60 AS x0, l_suppkey % 100 AS y0,

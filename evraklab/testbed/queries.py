@@ -437,7 +437,7 @@ def evidence_exact(spark, sf_dir):
 
 @query
 def evidence_fuzzy(spark, sf_dir):
-    """Senders, amounts and misread words against every line; similarity has no SQL twin."""
+    """Senders, amounts and misread words against every line, by partial ratio."""
     o = fx.table(spark, sf_dir, "orders")
     values = o.select(
         F.col("o_orderkey").alias("doc_id"),
