@@ -92,3 +92,67 @@ def amount_of(t: Column) -> Column:
         .when(t["kind"] == "BOOLEAN", F.when(t["raw"] == "true", 1.0).otherwise(0.0))
         .otherwise(parse_amount(t["raw"]))
     )
+
+
+# A JSON text cut into strings, other scalars, punctuation and white space.
+TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s\[\]{},:"]+|[\[\]{},:]|\s+|"'
+FLOAT = r"^-?(?:0|[1-9]\d*)(?:\.\d+(?:[eE][+-]?\d+)?|[eE][+-]?\d+)$"
+# A noncharacter: marks a string that stands for a fraction, which VARIANT would normalise.
+FRACTION = "\ufdd1"
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def _escaped(token: Column) -> Column:
+    """A string token in ASCII, without the characters that mean something in markup."""
+
+    def character(c: Column) -> Column:
+        code = F.ascii(c)
+        unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+        above = code - 0x10000
+        high, low = F.shiftright(above, 10) + 0xD800, above.bitwiseAND(0x3FF) + 0xDC00
+        return (
+            F.when(c.isin("<", ">", "&", "'") | ((code > 0x7E) & (code < 0x10000)), unit(code))
+            .when(code >= 0x10000, F.concat(unit(high), unit(low)))
+            .otherwise(c)
+        )
+
+    spelled = F.array_join(F.transform(F.split(token, ""), character), "")
+    # The parser's own escapes of control characters have upper-case digits.
+    lowered = F.when(F.contains(spelled, F.lit("\\u00")), _lower_controls(spelled)).otherwise(spelled)
+    return F.when(F.rlike(token, F.lit(r"[^ -~]|[<>&']|\\u")), lowered).otherwise(token)
+
+
+def _lower_controls(text: Column) -> Column:
+    for digit in "ABCDEF":
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    return text
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text decoded and written anew; null where it is no JSON or repeats a key.
+
+    Keys sorted at every depth, ``, `` and ``: `` between items, fractions in their
+    shortest form, ASCII only, and ``< > & '`` as escapes.
+    """
+    marked = F.array_join(
+        F.transform(
+            _tokens(text),
+            lambda t: F.when(F.rlike(t, F.lit(FLOAT)), F.concat(F.lit(f'"{FRACTION}'), t, F.lit('"'))).otherwise(t),
+        ),
+        "",
+    )
+
+    def written(t: Column) -> Column:
+        number = float_text(F.regexp_replace(t, f'["{FRACTION}]', "").cast("double"))
+        return (
+            F.when(t == ",", ", ")
+            .when(t == ":", ": ")
+            .when(F.startswith(t, F.lit(f'"{FRACTION}')), number)
+            .when(F.startswith(t, F.lit('"')), _escaped(t))
+            .otherwise(t)
+        )
+
+    return F.array_join(F.transform(_tokens(F.to_json(F.try_parse_json(marked))), written), "")

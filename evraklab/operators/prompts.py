@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evraklab.functions.json_text import canonical_json
 from evraklab.functions.pii import PII_PATTERNS, mask
 from evraklab.session import cut_lineage
 
@@ -78,8 +79,8 @@ def static_examples(spark: SparkSession) -> DataFrame:
 def example_rows(verified: DataFrame) -> DataFrame:
     """Static, then verified examples as (category, ordinal, input, output); duplicates stay.
 
-    ``verified`` comes from ``analytics.verified_examples``. One example that is
-    no JSON voids all verified examples of its category.
+    ``verified`` comes from ``analytics.verified_examples``; its outputs are decoded and
+    written in canonical form. One that is no JSON voids all verified examples of its category.
     """
     own = verified.select(
         F.col("document_type").alias("category"),
@@ -87,9 +88,8 @@ def example_rows(verified: DataFrame) -> DataFrame:
         F.when(F.coalesce("raw_text", F.lit("")) != "", F.col("raw_text"))
         .otherwise(F.lit(SAMPLE_INPUT))
         .alias("input"),
-        F.col("corrected_json").alias("output"),
-        F.try_parse_json("corrected_json").isNull().alias("bad"),
-    )
+        canonical_json(F.col("corrected_json")).alias("output"),
+    ).withColumn("bad", F.col("output").isNull())
     voided = own.where("bad").select("category").distinct()
     own = own.join(voided, "category", "left_anti")
     static = static_examples(verified.sparkSession)

@@ -147,3 +147,21 @@ EXTRACTIONS = T.StructType(
     ]
 )
 STORE_DEFAULTS = {"status": "SUCCESS", "is_verified": 0}
+# Schema versions of the store: these columns came with version 2, all others with 1.
+STORE_VERSION = 2
+SINCE_VERSION = {
+    name: 2
+    for name in (
+        "task_id status is_verified corrected_json validation_report processing_time error_type"
+        " api_key_id raw_text approved_by approved_at corrected_fields"
+    ).split()
+}
+CORRECTIONS = T.StructType(
+    [
+        T.StructField("task_id", T.StringType()),
+        T.StructField("corrected_json", T.StringType()),
+        T.StructField("approved_by", T.StringType()),
+        T.StructField("corrected_fields", T.StringType()),
+        T.StructField("corrected_at", T.TimestampType()),
+    ]
+)

@@ -1,8 +1,15 @@
-"""The results table: append, correct, evolve, insert if absent."""
+"""The results table: append, correct, evolve, insert if absent.
+
+A stored table is two folders that only ever grow. ``results`` has the rows as they were
+decided, each with the schema version it was written in, in partitions by a hash of the
+task. ``corrections`` has every correction. Reading gives columns a row's version did not
+know their defaults, and lays the newest correction of each task over its row. Each call
+writes a folder of its own, so writers do not meet and nothing stored is ever rewritten.
+"""
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Mapping
 from typing import NamedTuple
 
@@ -12,13 +19,17 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from evraklab.operators.analytics import newest
-from evraklab.schemas import EXTRACTIONS, STORE_DEFAULTS
+from evraklab.schemas import CORRECTIONS, EXTRACTIONS, SINCE_VERSION, STORE_DEFAULTS, STORE_VERSION
 from evraklab.session import cut_lineage
+
 # Marks of the audit trail.
 APPROVED = "APPROVED"
 OVERRIDE_FIELDS = '["manual_override"]'
 NO_FIELDS = "[]"
-DATE_COLUMN = "created_date"
+VERSION = "store_version"
+PREFIX = "prefix"
+#: Partitions of the stored results; a batch reads the keys of those it has tasks in.
+PREFIXES = 256
 
 
 class Matched(NamedTuple):
@@ -66,55 +77,68 @@ def union_evolved(
     return filled(old, new).unionByName(filled(new, old))
 
 
-def _generations(spark: SparkSession, path: str) -> list[list[str]]:
-    """The store's files, grouped by the columns they were written with.
+def with_version_defaults(rows: DataFrame) -> DataFrame:
+    """Columns that a row's ``store_version`` did not know take their default.
 
-    Files of one write share its id in their names, so one footer is read per write.
+    A null that was stored in a known column stays null; without a version a row has
+    the current one.
     """
-    writes: dict[str, list[str]] = {}
-    for file in spark.read.parquet(path).inputFiles():
-        name = file.rsplit("/", 1)[-1]
-        found = re.match(r"part-\d+-([0-9a-f-]{36})", name)
-        writes.setdefault(found.group(1) if found else file, []).append(file)
-    groups: dict[str, list[str]] = {}
-    for files in writes.values():
-        shape = spark.read.option("basePath", path).parquet(files[0]).schema
-        groups.setdefault(shape.json(), []).extend(files)
-    return list(groups.values())
+    version = F.coalesce(VERSION, F.lit(STORE_VERSION))
+    filled = {
+        name: F.when(version < SINCE_VERSION.get(name, 1), F.lit(default)).otherwise(F.col(name))
+        for name, default in STORE_DEFAULTS.items()
+    }
+    return rows.withColumns(filled).select(*EXTRACTIONS.fieldNames())
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The table at ``path`` in its current shape.
+def current(rows: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The table as it stands: rows of any version under the newest correction of each task."""
+    return apply_corrections(with_version_defaults(rows), corrections).rows
 
-    Whether a column is missing is a matter of the file, not of the row: files that
-    lack a column give its default, while a stored null stays null.
-    """
-    out = None
-    for files in _generations(spark, path):
-        rows = evolve(spark.read.option("basePath", path).parquet(*files))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    if out is None:
-        return evolve(spark.read.parquet(path))
-    return out
 
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows under ``path``, none if nothing was written yet. The schema is given, so no file is opened for it."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-# Spark's conditions for a path without a table.
-NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
+def stored_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results as written, with their version and partition."""
+    more = [T.StructField(VERSION, T.IntegerType()), T.StructField(PREFIX, T.IntegerType())]
+    return _stored(spark, f"{path}/results", T.StructType([*EXTRACTIONS.fields, *more]))
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-    except AnalysisException as error:
-        if error.getCondition() in NO_TABLE:
-            return False
-        raise
-    return True
+
+def stored_corrections(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, f"{path}/corrections", CORRECTIONS)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path`` as it stands."""
+    return current(stored_results(spark, path), stored_corrections(spark, path))
+
+
+def unmatched_corrections(spark: SparkSession, path: str) -> DataFrame:
+    """The newest correction of each task that has no stored row, or none yet."""
+    latest = latest_corrections(stored_corrections(spark, path))
+    return latest.join(stored_results(spark, path).select("task_id"), "task_id", "left_anti")
+
+
+def _own_folder(path: str) -> str:
+    return f"{path}/batch={uuid.uuid4().hex}"
 
 
 # -- append ------------------------------------------------------------------------
 
 
+def row_id(task_id: Column) -> Column:
+    """A positive number out of the task's id: 60 bits of its md5, the same on every run."""
+    return F.conv(F.substring(F.md5(task_id), 1, 15), 16, 10).cast("bigint")
+
+
 def to_store_rows(results: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Store rows out of pipeline results: nested values as JSON, a null report as ``{}``.
 
@@ -132,7 +156,7 @@ def to_store_rows(results: DataFrame, as_of: Column | None = None) -> DataFrame:
         "decision_engine",
     )
     return results.select(
-        F.lit(None).cast("long").alias("id"),
+        row_id(F.col("task_id")).alias("id"),
         "task_id",
         "filename",
         F.col("classification.domain").alias("document_type"),
@@ -164,16 +188,30 @@ def not_stored(rows: DataFrame, stored: DataFrame, key: str = "task_id") -> Data
     return one_per_key(rows, key).join(stored.select(key), key, "left_anti").select(*rows.columns)
 
 
-def append_results(rows: DataFrame, path: str) -> None:
-    """Append rows whose task_id is new, partitioned by day. Repeating a call adds nothing."""
+def prefix_of(task_id: Column) -> Column:
+    return F.pmod(F.xxhash64(task_id), F.lit(PREFIXES)).cast("int")
+
+
+def stored_keys(spark: SparkSession, path: str, prefixes: list[int]) -> DataFrame:
+    """(task_id) of the stored results in the given partitions."""
+    rows = stored_results(spark, path)
+    return rows.where(F.col(PREFIX).isin(prefixes)).select("task_id")
+
+
+def append_results(rows: DataFrame, path: str, version: int = STORE_VERSION) -> None:
+    """Append rows whose task_id is new. Repeating a call adds nothing.
+
+    Of the stored table only the keys in the partitions of the batch's own tasks are read;
+    the batch is settled first, so it is computed once.
+    """
     spark = rows.sparkSession
-    finish_rewrite(spark, path)
-    dated = rows.withColumn(DATE_COLUMN, F.to_date("created_at"))
-    if _exists(spark, path):
-        fresh = not_stored(dated, spark.read.parquet(path))
-    else:
-        fresh = one_per_key(dated, "task_id")
-    fresh.write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
+    known = [F.col(f.name).cast(f.dataType).alias(f.name) for f in EXTRACTIONS if f.name in rows.columns]
+    dealt = rows.select(*known, F.lit(version).alias(VERSION), prefix_of(F.col("task_id")).alias(PREFIX))
+    batch = cut_lineage(dealt)
+    prefixes = [r[0] for r in batch.select(PREFIX).distinct().collect()]  # at most PREFIXES
+    fresh = not_stored(batch, stored_keys(spark, path, prefixes))
+    spread = fresh.repartition(PREFIX).sortWithinPartitions(PREFIX, "created_at")
+    spread.write.partitionBy(PREFIX).parquet(_own_folder(f"{path}/results"))
 
 
 # -- corrections --------------------------------------------------------------------
@@ -252,66 +290,13 @@ def _optional(df: DataFrame, name: str) -> list[str]:
     return [name] if name in df.columns else []
 
 
-def _pending(path: str) -> str:
-    return f"{path.rstrip('/')}.pending"
-
-
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
+def append_corrections(corrections: DataFrame, path: str) -> None:
+    """Store corrections beside the results, which stay as they are.
 
-def _replace_days(spark: SparkSession, path: str) -> None:
-    rows = spark.read.parquet(_pending(path))
-    if DATE_COLUMN in rows.columns:
-        rows = rows.withColumn(DATE_COLUMN, F.col(DATE_COLUMN).cast("date"))
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DATE_COLUMN)
-        .parquet(path)
-    )
-
-
-def finish_rewrite(spark: SparkSession, path: str) -> None:
-    """Complete a correction that was interrupted, or drop it if its rows were not all written.
-
-    The corrected rows lie beside the store until their days are replaced. Replacing
-    them again changes nothing.
+    Repeating a call changes nothing, as the newest correction of a task counts once.
     """
-    fs, pending = _file_system(spark, _pending(path))
-    if not fs.exists(pending):
-        return
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pending, "_SUCCESS")
-    if fs.exists(done):
-        _replace_days(spark, path)
-    fs.delete(pending, True)
-
-
-def rewrite_corrected(spark: SparkSession, path: str, corrections: DataFrame) -> DataFrame:
-    """Apply corrections to the stored table, rewriting only the days they touch.
-
-    Returns the corrections whose task is not stored. The days come from a scan of two
-    narrow columns; they are as many as the calendar has, at most. The new rows are
-    written beside the store first, so ``finish_rewrite`` can end an interrupted call.
-    """
-    finish_rewrite(spark, path)
-    store = read_store(spark, path)
-    latest = latest_corrections(corrections)
-    keys = store.select("task_id", DATE_COLUMN)
-    hits = keys.join(latest.select("task_id"), "task_id", "left_semi")
-    days = [r[DATE_COLUMN] for r in hits.select(DATE_COLUMN).distinct().collect()]
-    # Settled before the files change.
-    unmatched = latest.join(keys.select("task_id"), "task_id", "left_anti")
-    unmatched = cut_lineage(unmatched)
-    if days:
-        touched = F.col(DATE_COLUMN).isin([d for d in days if d is not None])
-        if None in days:
-            touched = touched | F.col(DATE_COLUMN).isNull()
-        apply_corrections(store.where(touched), corrections).rows.write.parquet(_pending(path))
-        finish_rewrite(spark, path)
-    return unmatched
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in CORRECTIONS]
+    corrections.select(*columns).write.parquet(_own_folder(f"{path}/corrections"))
 
 
 # -- insert if absent -----------------------------------------------------------------

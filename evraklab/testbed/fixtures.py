@@ -405,6 +405,20 @@ pl AS (
   FROM orders, (SELECT unnest(range(1, 8)) AS i))"""
 
 
+def fx_stored_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected outputs as stored: keys in any order, spaces, special characters, floats; some broken."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    stored = F.concat(
+        F.lit('{ "sender":"Ö<b> \'q\' & \\"'), text, F.lit('\\" 😀\\n", "amount" :'),
+        F.when(k % 3 == 0, F.concat(text, F.lit(".50"))).when(k % 3 == 1, F.concat(text, F.lit(".0"))).otherwise(text),
+        F.lit(',"list":[1e2, {"z":null,"Z":[true,{}]} ,[]],"a:b,c":"x'),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.lit('"}')),
+    )
+    return o.select(k.alias("doc_id"), stored.alias("stored"))
+
+
 def fx_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three recognition passes per order and page; some find nothing."""
     o = table(spark, sf_dir, "orders")

@@ -411,6 +411,21 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, line_no, side
     + UPDATED.format(fields='["manual_override"]', source="cl"),
     "unmatched_corrections": _with(SQL_EXTRACTIONS, SQL_CORRECTIONS) + """
 SELECT task_id, corrected_json, approved_by FROM cl WHERE task_id NOT IN (SELECT task_id FROM ex)""",
+    "stored_corrected": _with(SQL_EXTRACTIONS, SQL_CORRECTIONS) + """,
+exv AS (
+  SELECT task_id, CASE WHEN id % 3 = 0 THEN 'SUCCESS' WHEN id % 10 <> 1 THEN status END AS status,
+    CASE WHEN id % 3 = 0 THEN 0 ELSE is_verified END AS is_verified,
+    CASE WHEN id % 3 <> 0 THEN corrected_json END AS corrected_json FROM ex)"""
+    + UPDATED.format(fields='["a"]', source="cl").replace("FROM ex e", "FROM exv e"),
+    "store_rows": _with(SQL_OCR_LINES, SIGNALS_SQL, SQL_FEE_REPLIES, FEE_DECISION)
+    + ", rd AS (SELECT *, true AS reply_ok, CAST(NULL AS varchar) AS receiver FROM rs),"
+    + _decision("rd") + """
+SELECT CAST('0x' || substr(md5(CAST(doc_id AS varchar)), 1, 15) AS bigint) AS id, CAST(doc_id AS varchar) AS task_id,
+  CAST(NULL AS varchar) AS filename, category AS document_type, t4 AS trust_score, status, 0 AS is_verified,
+  CAST(NULL AS varchar) AS corrected_json, 0.0::double AS processing_time, CAST(NULL AS varchar) AS error_type,
+  CAST(NULL AS bigint) AS api_key_id, md5(raw_text) AS raw_text, CAST(NULL AS varchar) AS approved_by,
+  CAST(NULL AS varchar) AS approved_at, CAST(NULL AS varchar) AS corrected_fields, '2024-01-31 00:00:00' AS created_at,
+  report_status, status AS result_status, sender, true AS keeps_nulls FROM dc""",
     "approve_latest": _with(SQL_EXTRACTIONS, APPROVALS) + UPDATED.format(fields="[]", source="ap"),
     "approve_not_found": _with(SQL_EXTRACTIONS, APPROVALS)
     + "SELECT task_id FROM rq WHERE task_id NOT IN (SELECT task_id FROM nw)",
@@ -464,6 +479,12 @@ pr AS (
     || repeat(chr(10), 2) || {_text(GOALS_TEXT)} AS prompt
   FROM cf JOIN tx USING (doc_id) LEFT JOIN tb USING (doc_id) LEFT JOIN es ON es.category = cf.category)
 SELECT doc_id, category, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM pr""",
+    "canonical_outputs": r"""
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 <> 0 THEN
+  '{"a:b,c": "x", "amount": ' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.5' WHEN 1 THEN '.0' ELSE '' END
+  || ', "list": [100.0, {"Z": [true, {}], "z": null}, []], "sender": "\u00d6\u003cb\u003e \u0027q\u0027 \u0026 \"'
+  || o_orderkey || '\" \ud83d\ude00\n"}' END AS shown
+FROM orders""",
     "throttled_events": """
 WITH RECURSIVE o AS (
   SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i

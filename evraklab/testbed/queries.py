@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evraklab.functions.amounts import clean_amount, parse_amount
+from evraklab.functions.json_text import canonical_json
 from evraklab.functions.lang import float_text
 from evraklab.functions.patterns import all_ibans, first_date, first_iban, reference_number
 from evraklab.functions.pii import PII_PATTERNS, mask, unmask
@@ -25,6 +26,7 @@ from evraklab.operators.throttle import throttle_flags
 from evraklab.operators.validate import math_check
 from evraklab.plans.documents import early_rejects, process_documents
 from evraklab.session import configure
+from evraklab.schemas import SINCE_VERSION
 from evraklab.sinks import export, store
 from evraklab.sources import ocr, uploads
 from evraklab.testbed import fixtures as fx
@@ -559,6 +561,38 @@ def create_keys(spark, sf_dir):
     )
 
 
+@query
+def stored_corrected(spark, sf_dir):
+    """Stored rows of two schema versions, read under the newest of two rounds of corrections."""
+    rows = fx.fx_extractions(spark, sf_dir)
+    old = F.col("id") % 3 == 0
+    unknown = {name: F.when(~old, F.col(name)) for name in SINCE_VERSION if name != "task_id" and name in rows.columns}
+    written = rows.withColumns(unknown).withColumns(
+        {"status": F.when(F.col("id") % 10 != 1, F.col("status")), "store_version": F.when(old, 1).otherwise(2)}
+    )
+    corrections = fx.fx_corrections(spark, sf_dir).withColumn("corrected_fields", F.lit('["a"]'))
+    return _update_columns(store.current(store.evolve(written), corrections))
+
+
+@query
+def store_rows(spark, sf_dir):
+    """Every column of the rows that the whole plan's results are stored as."""
+    results = _processed(
+        spark, sf_dir, fx.fx_fee_replies(spark, sf_dir), with_evidence=False, with_metrics=False
+    )
+    rows = store.to_store_rows(results, F.lit(datetime(2024, 1, 31)))
+    data = "$.data.document_analysis"
+    return rows.select(
+        "id", "task_id", "filename", "document_type", F.round("trust_score", 4).alias("trust_score"), "status",
+        "is_verified", "corrected_json", "processing_time", "error_type", "api_key_id", F.md5("raw_text").alias("raw_text"),
+        "approved_by", F.col("approved_at").cast("string").alias("approved_at"), "corrected_fields", _stamp(),
+        F.get_json_object("validation_report", "$.status").alias("report_status"),
+        F.get_json_object("extracted_json", "$.status").alias("result_status"),
+        F.get_json_object("extracted_json", f"{data}.sender.value").alias("sender"),
+        F.contains("extracted_json", F.lit('"evidence_text":null')).alias("keeps_nulls"),
+    )
+
+
 @query
 def evolve_store(spark, sf_dir):
     """Rows of an older table with fewer columns, read with those of the current one."""
@@ -641,6 +675,13 @@ def prompts(spark, sf_dir):
     )
 
 
+@query
+def canonical_outputs(spark, sf_dir):
+    """JSON as people store it, written the way prompts show it."""
+    rows = fx.fx_stored_json(spark, sf_dir)
+    return rows.select("doc_id", canonical_json(F.col("stored")).alias("shown"))
+
+
 # -- event streams in batch form -----------------------------------------------------------
 
 

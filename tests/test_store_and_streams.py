@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -35,44 +36,76 @@ def store_rows(spark, n, day=1):
     )
 
 
-def test_append_is_idempotent_and_corrections_touch_their_days(spark, tmp_path):
+def corrections_of(spark, *more):
+    at = datetime(2024, 2, 1)
+    rows_ = [("t1", '{"a":1}', "u", "[]", at), ("t1", '{"a":2}', "v", "[]", at + timedelta(hours=1)), ("tx", "{}", "u", "[]", at), *more]
+    return spark.createDataFrame(
+        rows_, "task_id string, corrected_json string, approved_by string, corrected_fields string, corrected_at timestamp"
+    )
+
+
+def test_append_is_idempotent_and_corrections_rewrite_nothing(spark, tmp_path):
     path = str(tmp_path / "store")
+    assert store.read_store(spark, path).count() == 0
     first = store.evolve(store_rows(spark, 6))
     store.append_results(first.unionAll(first), path)
     store.append_results(store.evolve(store_rows(spark, 8)), path)
+    store.append_results(store.evolve(store_rows(spark, 8)), path)
     assert rows(store.read_store(spark, path).select("task_id"), "task_id") == [(f"t{i}",) for i in range(8)]
-    at = datetime(2024, 2, 1)
-    corrections = spark.createDataFrame(
-        [("t1", '{"a":1}', "u", "[]", at), ("t1", '{"a":2}', "v", "[]", at + timedelta(hours=1)), ("tx", "{}", "u", "[]", at)],
-        "task_id string, corrected_json string, approved_by string, corrected_fields string, corrected_at timestamp",
-    )
-    files = lambda: {f.name for f in (tmp_path / "store" / "created_date=2024-01-01").glob("*.parquet")}
+    files = lambda: {f for f in (tmp_path / "store" / "results").rglob("*.parquet")}
     before = files()
-    store.rewrite_corrected(spark, path, corrections)
+    store.append_corrections(corrections_of(spark), path)
+    store.append_corrections(corrections_of(spark), path)
     assert files() == before
     after = {r["task_id"]: r for r in store.read_store(spark, path).collect()}
     assert len(after) == 8 and after["t1"]["status"] == "APPROVED" and after["t1"]["corrected_json"] == '{"a":2}'
     assert after["t1"]["is_verified"] == 1 and after["t0"]["is_verified"] == 0
-    assert after["t1"]["approved_at"] == at + timedelta(hours=1)
+    assert after["t1"]["approved_at"] == datetime(2024, 2, 1, 1)
+    assert [r["task_id"] for r in store.unmatched_corrections(spark, path).collect()] == ["tx"]
+    store.append_results(store.evolve(store_rows(spark, 1).withColumn("task_id", F.lit("tx"))), path)
+    assert store.unmatched_corrections(spark, path).count() == 0  # a correction may come before its row
+    assert store.read_store(spark, path).where("task_id = 'tx'").first()["status"] == "APPROVED"
+
+
+def test_an_append_beside_corrections_loses_nothing(spark, tmp_path):
+    """Results and corrections written at the same time, by several writers."""
+    path = str(tmp_path / "store")
+    store.append_results(store.evolve(store_rows(spark, 4)), path)
+    with ThreadPoolExecutor(4) as pool:
+        done = [
+            pool.submit(store.append_results, store.evolve(store_rows(spark, 40).where(F.col("task_id").isin([f"t{i}" for i in range(10 * k, 10 * k + 10)]))), path)
+            for k in range(1, 4)
+        ] + [pool.submit(store.append_corrections, corrections_of(spark, (f"t{k}", "{}", "w", "[]", datetime(2024, 3, 1))), path) for k in (0, 12, 25)]
+        for job in done:
+            job.result()
+    after = {r["task_id"]: r["status"] for r in store.read_store(spark, path).collect()}
+    assert set(after) == {f"t{i}" for i in [*range(4), *range(10, 40)]}
+    assert {t for t, status in after.items() if status == "APPROVED"} == {"t0", "t1", "t12", "t25"}
+
+
+def test_a_batch_reads_the_keys_of_its_own_partitions(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.append_results(store.evolve(store_rows(spark, 300)), path)
+    one = store_rows(spark, 300).where("task_id = 't7'").select(store.prefix_of(F.col("task_id"))).first()[0]
+    keys = store.stored_keys(spark, path, [one])
+    assert {f.split(f"{store.PREFIX}=")[1].split("/")[0] for f in keys.inputFiles()} >= {str(one)}
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "prefix" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "ReadSchema: struct<task_id:string>" in plan
+    assert keys.where("task_id = 't7'").count() == 1 and keys.count() < 300
 
 
 def test_store_of_two_ages(spark, tmp_path):
-    """Defaults go by file; a correction leaves all other values of its day alone."""
+    """Defaults go by the version of the row; a correction leaves all other values alone."""
     path = str(tmp_path / "store")
-    old = store_rows(spark, 3).drop("raw_text", "status", "is_verified").withColumn("created_date", F.lit("2024-01-05"))
-    old.write.partitionBy("created_date").parquet(path)
+    old = store_rows(spark, 3).drop("raw_text", "status", "is_verified")
+    store.append_results(old, path, version=1)
     newer = store_rows(spark, 6).where("task_id >= 't3'").withColumn("status", F.when(F.col("task_id") != "t4", "FAILED"))
     store.append_results(store.evolve(newer), path)
     before = {r["task_id"]: r for r in store.read_store(spark, path).collect()}
     assert [before[f"t{i}"]["status"] for i in range(6)] == ["SUCCESS"] * 3 + ["FAILED", None, "FAILED"]
     assert [before[f"t{i}"]["is_verified"] for i in range(6)] == [0] * 6
-    at = datetime(2024, 2, 1)
-    corrections = spark.createDataFrame(
-        [("t3", '{"a":1}', "u", "[]", at), ("t1", '{"a":2}', "u", "[]", at), ("zz", "{}", "u", "[]", at)],
-        "task_id string, corrected_json string, approved_by string, corrected_fields string, corrected_at timestamp",
-    )
-    unmatched = store.rewrite_corrected(spark, path, corrections)
-    assert [r["task_id"] for r in unmatched.collect()] == ["zz"]
+    store.append_corrections(corrections_of(spark, ("t3", '{"a":1}', "u", "[]", datetime(2024, 2, 1))), path)
     after = {r["task_id"]: r for r in store.read_store(spark, path).collect()}
     changed = {"corrected_json", "is_verified", "approved_by", "approved_at", "corrected_fields", "status"}
     for task, row in before.items():
@@ -83,19 +116,6 @@ def test_store_of_two_ages(spark, tmp_path):
     assert after["t1"]["status"] == after["t3"]["status"] == "APPROVED"
 
 
-def test_interrupted_correction_is_finished(spark, tmp_path):
-    path = str(tmp_path / "store")
-    store.append_results(store.evolve(store_rows(spark, 4)), path)
-    rows_ = store.read_store(spark, path).withColumn("status", F.lit("APPROVED"))
-    rows_.write.parquet(path + ".pending")  # all written, no day replaced yet
-    store.finish_rewrite(spark, path)
-    assert {r["status"] for r in store.read_store(spark, path).collect()} == {"APPROVED"}
-    assert not (tmp_path / "store.pending").exists()
-    (tmp_path / "store.pending").mkdir()  # nothing finished: dropped
-    store.finish_rewrite(spark, path)
-    assert store.read_store(spark, path).count() == 4
-
-
 def test_least_row_of_a_key_and_minted_keys(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3), (None, 4)], "task_id string, x int")
     known = df.where("task_id = 'b'")

@@ -1,7 +1,10 @@
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from evraklab.functions.amounts import clean_amount, parse_amount
-from evraklab.functions.json_text import cut_json
+from evraklab.functions.json_text import canonical_json, cut_json
 from evraklab.functions.lang import float_text
 from evraklab.functions.patterns import (
     all_ibans,
@@ -104,3 +107,38 @@ def test_mask_and_unmask(spark):
     assert first["entries"][4]["original"] == " 532 123 45 67"
     assert "12345678902" not in first["text"] and IBAN_A not in first["text"]
     assert got[1]["text"] == "" and got[1]["entries"] == [] and got[2]["text"] == ""
+
+
+def test_canonical_json_is_what_a_json_writer_makes(spark):
+    """Random values of any depth, decoded and written with sorted keys and escapes."""
+    rng = random.Random(1)
+
+    def value(depth=0):
+        kind = rng.randrange(9 if depth < 3 else 6)
+        if kind == 0:
+            return rng.choice([None, True, False])
+        if kind == 1:
+            return rng.randint(-(10**12), 10**12)
+        if kind == 2:
+            return rng.choice([1.0, 0.1, -2.5, 1e20, 1e-7, 123456.789, -0.0, 1e16, 1.5e300])
+        if kind <= 5:
+            return "".join(rng.choice("ab<>&'\"\\/é😀\n\t\x01\x1f\x0b,:[]{} \x7fuA") for _ in range(rng.randint(0, 8)))
+        if kind <= 7:
+            return {"".join(rng.choice("abZé<_ ,") for _ in range(rng.randint(1, 3))): value(depth + 1) for _ in range(rng.randint(0, 4))}
+        return [value(depth + 1) for _ in range(rng.randint(0, 4))]
+
+    texts = [json.dumps(value(), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(300)]
+    texts += ['{"a":1.}', '{"a":', '"x', "[1,2", "nul", "", '{"a":01}', '"' + "y" * 200_000 + '"', "1E5", "[1.10, 1e5]"]
+
+    def expected(text):
+        try:
+            out = json.dumps(json.loads(text), sort_keys=True)
+        except ValueError:
+            return None
+        for c in "<>&'":
+            out = out.replace(c, f"\\u{ord(c):04x}")
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    got = [r[0] for r in df.select(canonical_json(F.col("t"))).collect()]
+    assert got == [expected(t) for t in texts]
