@@ -66,56 +66,103 @@ def rules_table(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame
     )
 
 
-def classify_by_table(
-    texts: DataFrame,
-    table: DataFrame,
-    text: str = "raw_text",
-    subtypes: Sequence[Subtype] = SUBTYPES,
-) -> DataFrame:
-    """Classify (doc_id, text) by a table of any number of rules, as ``rules_table`` lays out.
+#: Characters of a signal by which texts look it up.
+GRAM = 4
+#: Rule tables up to so many signals become literals of the plan; larger ones are joined.
+LITERAL_SIGNALS = 512
+
 
-    A signal can only stand in a text that holds its first k characters, k being the
-    length of the shortest signal. The distinct k-grams of the texts meet the signals'
-    on that, and the pairs are verified on the text. Null and empty signals never
-    match. Rows: doc_id and the fields of a classification.
+def small_rules(table: DataFrame, limit: int = LITERAL_SIGNALS) -> list[Rule] | None:
+    """The rules of a table of at most ``limit`` signals, in order of precedence; else None."""
+    signals = table.where(F.length("signal") > 0)
+    rows = signals.orderBy("priority", "position", "signal").limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    rules: dict[tuple, list[str]] = {}
+    for r in rows:
+        rules.setdefault((r["priority"], r["domain"], r["family"]), []).append(r["signal"])
+    return [Rule(domain, family, tuple(found)) for (_, domain, family), found in rules.items()]
+
+
+def near_signals(texts: DataFrame, table: DataFrame, text: str = "raw_text") -> DataFrame:
+    """(doc_id, near): the signals whose first ``GRAM`` characters stand in the upper-cased text.
+
+    Signals shorter than that are looked up whole. A text gives its distinct grams only, so
+    what travels to the signals does not hold the text.
     """
     signals = table.where(F.length("signal") > 0).select(
-        "domain", "family", "priority", "position", "signal"
+        F.substring("signal", 1, GRAM).alias("gram"),
+        F.struct("priority", "position", "signal", "domain", "family").alias("rule"),
     )
-    k = signals.agg(F.min(F.length("signal"))).first()[0] or 1
+    sizes = [r[0] for r in signals.select(F.length("gram").alias("k")).distinct().collect()]  # 1 to GRAM
     upper = texts.select("doc_id", F.upper(F.coalesce(text, F.lit(""))).alias("upper"))
-    starts = F.sequence(F.lit(1), F.length("upper") - (k - 1))
-    grams = upper.where(F.length("upper") >= k).select(
-        "doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("upper", i, k)))).alias("gram")
-    )
-    near = grams.join(signals.withColumn("gram", F.substring("signal", 1, k)), "gram").drop("gram")
-    found = near.join(upper, "doc_id").where(F.contains("upper", "signal"))
-    per_rule = found.groupBy("doc_id", "priority", "domain", "family").agg(
-        F.array_sort(F.collect_list(F.struct("position", "signal"))).alias("hits")
+
+    def grams(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("upper") - (k - 1))
+        cut = F.transform(starts, lambda i: F.substring("upper", i, k))
+        return F.when(F.length("upper") >= k, cut).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(k) for k in sizes]))
+    found = upper.select("doc_id", F.explode(every).alias("gram")).join(signals, "gram")
+    return found.groupBy("doc_id").agg(F.collect_set("rule").alias("near"))
+
+
+def with_classification_of(
+    df: DataFrame, text: str = "raw_text", subtypes: Sequence[Subtype] = SUBTYPES
+) -> DataFrame:
+    """Add ``classification`` from ``near`` (of ``near_signals``), and drop that."""
+    upper = df.withColumn("_upper", F.upper(F.coalesce(text, F.lit(""))))
+    rules = F.coalesce(
+        "near",
+        F.array().cast("array<struct<priority:int,position:int,signal:string,domain:string,family:string>>"),
     )
+    hits = F.array_sort(F.filter(rules, lambda r: F.contains("_upper", r["signal"])))
+    found = upper.withColumn("_hits", hits)
     # Strictly more signals win, so the earliest rule takes a tie.
-    order = F.struct(F.size("hits"), -F.col("priority"))
-    best = per_rule.groupBy("doc_id").agg(F.max_by(F.struct("domain", "family", "hits"), order).alias("b"))
-    joined = upper.join(best, "doc_id", "left")
+    counts = F.transform(
+        F.array_distinct(F.transform("_hits", lambda r: r["priority"])),
+        lambda p: F.struct(
+            F.size(F.filter("_hits", lambda r: r["priority"] == p)).alias("n"), (-p).alias("less")
+        ),
+    )
+    picked = found.withColumn("_best", -F.array_max(counts)["less"]).withColumn(
+        "_hits", F.filter("_hits", lambda r: r["priority"] == F.col("_best"))
+    )
+    first = F.get("_hits", F.lit(0))
 
     def by_word(column: str) -> Column:
         out = F.when(F.lit(False), F.lit(UNKNOWN))
         for s in subtypes:
-            hit = (F.col("b.domain") == s.domain) & F.contains("upper", F.lit(s.word))
+            hit = (first["domain"] == s.domain) & F.contains("_upper", F.lit(s.word))
             out = out.when(hit, F.lit(getattr(s, column)))
         return out.otherwise(F.lit(UNKNOWN))
 
-    seen = F.coalesce(F.col("b.hits.signal"), F.array().cast("array<string>"))
+    seen = F.coalesce(F.transform("_hits", lambda r: r["signal"]), F.array().cast("array<string>"))
     share = F.round(F.size(seen) / F.lit(SIGNALS_FOR_FULL_CONFIDENCE), 2)
-    return joined.select(
-        "doc_id",
-        F.coalesce("b.domain", F.lit(UNKNOWN)).alias("domain"),
-        F.coalesce("b.family", F.lit(UNKNOWN)).alias("document_family"),
+    result = F.struct(
+        F.coalesce(first["domain"], F.lit(UNKNOWN)).alias("domain"),
+        F.coalesce(first["family"], F.lit(UNKNOWN)).alias("document_family"),
         by_word("document_type").alias("document_type"),
         by_word("transaction_type").alias("transaction_type"),
         F.least(share, F.lit(1.0)).alias("confidence"),
         seen.alias("classification_signals"),
     )
+    return picked.withColumn("classification", result).drop("_upper", "_hits", "_best", "near")
+
+
+def classify_by_table(
+    texts: DataFrame,
+    table: DataFrame,
+    text: str = "raw_text",
+    subtypes: Sequence[Subtype] = SUBTYPES,
+) -> DataFrame:
+    """Classify (doc_id, text) by a table of any number of rules, as ``rules_table`` lays out.
+
+    Null and empty signals never match. Rows: doc_id and the fields of a classification.
+    """
+    near = near_signals(texts, table, text)
+    joined = texts.select("doc_id", text).join(near, "doc_id", "left")
+    return with_classification_of(joined, text, subtypes).select("doc_id", "classification.*")
 
 
 def with_classification(

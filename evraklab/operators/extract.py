@@ -94,9 +94,8 @@ PATHS = {
     "amount": f"{ROOT}.amount",
     "label": f"{ROOT}.label",
     "text_confirmation": f"{ROOT}.text_confirmation",
-    "trust_score": "$.engine_report.trust_score",
-    "logic_applied": "$.engine_report.logic_applied",
 }
+REPORT = "$.engine_report"
 
 
 def read_reply_fields(df: DataFrame) -> DataFrame:
@@ -133,6 +132,7 @@ def read_reply_fields(df: DataFrame) -> DataFrame:
         *given,
         F.col("_amount").alias("root_amount"),
         F.col("_adj").alias("adjustments"),
+        F.try_variant_get(v, REPORT, "variant").alias("report"),
         malformed.alias("malformed"),
     )
     return read.select(
@@ -275,14 +275,10 @@ def with_extraction(
         ).alias("root_transaction"),
         F.transform(fields["adjustments"], adjustment).alias("adjustments_and_fees"),
     )
-    report = F.struct(
-        fields["trust_score"]["text"].try_cast("double").alias("trust_score"),
-        fields["logic_applied"]["text"].alias("logic_applied"),
-    )
     built = F.struct(
         analysis.alias("document_analysis"),
         hierarchy.alias("financial_hierarchy"),
-        report.alias("engine_report"),
+        fields["report"].alias("engine_report"),
     ).cast(EXTRACTION)
     return found.withColumn("extraction", F.when(usable, built)).drop("_ibans", "_filled")
 
@@ -330,7 +326,7 @@ def skeleton(category: Column, trust: Column) -> Column:
         F.struct(root.alias("root_transaction"), none.alias("adjustments_and_fees")).alias(
             "financial_hierarchy"
         ),
-        F.struct(
-            F.round(trust, 4).alias("trust_score"), F.lit("SkeletonFallback").alias("logic_applied")
+        F.to_variant_object(
+            F.struct(F.round(trust, 4).alias("trust_score"), F.lit("SkeletonFallback").alias("logic_applied"))
         ).alias("engine_report"),
     ).cast(EXTRACTION)

@@ -9,7 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evraklab.functions.lang import with_settled
-from evraklab.operators.classify import RULES, SUBTYPES, Rule, Subtype, with_classification
+from evraklab.operators.classify import (
+    RULES,
+    SUBTYPES,
+    Rule,
+    Subtype,
+    near_signals,
+    small_rules,
+    with_classification,
+    with_classification_of,
+)
 from evraklab.operators.decide import (
     AUTO_APPROVE_MIN_TRUST,
     HIGH_VALUE,
@@ -69,7 +78,7 @@ def process_documents(
     documents: DataFrame | None = None,
     *,
     entries: str | None = None,
-    rules: Sequence[Rule] = RULES,
+    rules: Sequence[Rule] | DataFrame = RULES,
     subtypes: Sequence[Subtype] = SUBTYPES,
     with_evidence: bool = True,
     fuzzy_evidence: bool = True,
@@ -83,6 +92,10 @@ def process_documents(
     the greatest. So is one manifest row. ``documents`` optionally supplies (doc_id, task_id, filename, key_id,
     processing_time); without it the document's id is its task.
 
+    ``rules`` are given in code or as a table that ``classify.rules_table`` lays out. A small
+    table becomes part of the plan; a large one is joined on what the texts hold of it,
+    for which the texts are put together a second time.
+
     The lines are read once. They are gathered by (doc_id, run, page), and the runs with
     their counts by document, where texts, evidence and metrics are all told from the same
     row; all joins are between tables with one row per document. A reply is parsed once.
@@ -100,6 +113,13 @@ def process_documents(
         {"reply_fields": F.col("reply_fields")},
     )
     states = document_states(lines)
+    near = None
+    if isinstance(rules, DataFrame):
+        few = small_rules(rules)
+        if few is None:
+            near = near_signals(states, rules)
+        else:
+            rules = few
     metrics = {}
     if with_metrics:
         states = states.withColumn("metrics", metrics_of_pages(F.col("pages")))
@@ -123,9 +143,11 @@ def process_documents(
             ),
         }
     )
-    classified = with_classification(answered, "raw_text", rules, subtypes).withColumn(
-        "category", F.col("classification.domain")
-    )
+    if near is None:
+        classified = with_classification(answered, "raw_text", rules, subtypes)
+    else:
+        classified = with_classification_of(answered.join(near, "doc_id", "left"), "raw_text", subtypes)
+    classified = classified.withColumn("category", F.col("classification.domain"))
     extracted = with_extraction(classified, "raw_text", "category", evidence_map)
     results = _named(_decided(extracted, auto_approve_min_trust, high_value), documents, metrics)
     if documents is None:

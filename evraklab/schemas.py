@@ -93,12 +93,8 @@ HIERARCHY = T.StructType(
     ]
 )
 
-ENGINE_REPORT = T.StructType(
-    [
-        T.StructField("trust_score", T.DoubleType()),
-        T.StructField("logic_applied", T.StringType()),
-    ]
-)
+# As the model wrote it, whatever its keys.
+ENGINE_REPORT = T.VariantType()
 
 EXTRACTION = T.StructType(
     [

@@ -337,7 +337,8 @@ def fx_fee_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(',"breakdown":'), parts, F.lit("}"),
             ),
         ).otherwise(F.lit("")),
-        F.lit(']},"engine_report":{"trust_score":0.75}}'),
+        F.lit(']},"engine_report":{"trust_score":0.75,"steps":["a",{"n":'), (key % 4).cast("string"),
+        F.lit('}],"note":null}}'),
     )
     return _spread(o.select(key.alias("doc_id"), reply.alias("reply")))
 
@@ -356,6 +357,77 @@ fr AS (
   FROM orders)"""
 
 
+def fx_account_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with a second account number in every third document."""
+    lines = fx_ocr_lines(spark, sf_dir)
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    more = o.where(key % 3 == 0).select(
+        key.alias("doc_id"),
+        F.lit(6).alias("line_no"),
+        F.lit(2).alias("page"),
+        F.concat(F.lit("Hesap TR98"), F.lpad(key.cast("string"), 22, "0")).alias("text"),
+        F.lit(0.9).alias("confidence"),
+        F.lit(None).cast("array<array<double>>").alias("bbox"),
+        F.lit("raw").alias("method"),
+    )
+    return lines.unionByName(more)
+
+
+def fx_account_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with no account number, a foreign one, or the document's first one."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    own = F.concat(
+        F.lit("TR"), F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"), F.lpad(key.cast("string"), 22, "0")
+    )
+    given = (
+        F.when(key % 4 == 1, F.lit('"sender_iban":"XX1"'))
+        .when(key % 4 == 2, F.concat(F.lit('"receiver_iban":"'), own, F.lit('"')))
+        .when(key % 4 == 3, F.concat(F.lit('"sender_iban":"'), own, F.lit('"')))
+        .otherwise("")
+    )
+    reply = F.concat(F.lit('{"document_analysis":{'), given, F.lit('},"financial_hierarchy":{},"engine_report":{}}'))
+    return _spread(o.select(key.alias("doc_id"), reply.alias("reply")))
+
+
+SQL_ACCOUNTS = """
+ac0 AS (
+  SELECT o_orderkey AS doc_id, 'TR' || lpad(CAST(o_custkey % 100 AS varchar), 2, '0') || lpad(CAST(o_orderkey AS varchar), 22, '0') AS own,
+    'TR98' || lpad(CAST(o_orderkey AS varchar), 22, '0') AS other FROM orders),
+ac AS (
+  SELECT doc_id, [x FOR x IN list_distinct([CASE WHEN doc_id % 6 <> 5 THEN own END, CASE WHEN doc_id % 3 = 0 AND own <> other THEN other END])
+      IF x IS NOT NULL] AS unordered,
+    CASE WHEN doc_id % 6 <> 5 THEN own WHEN doc_id % 3 = 0 THEN other END AS one,
+    CASE WHEN doc_id % 6 <> 5 AND doc_id % 3 = 0 AND own <> other THEN other END AS two,
+    CASE doc_id % 4 WHEN 1 THEN 'XX1' WHEN 3 THEN own END AS s, CASE WHEN doc_id % 4 = 2 THEN own END AS r
+  FROM ac0)"""
+
+
+def fx_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they land; every tenth comes again an hour later under another name."""
+    line = F.struct("line_no", "page", "text", "confidence", "bbox", "method")
+    lines = fx_ocr_lines(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(line).alias("lines"))
+    key = F.col("doc_id")
+    text = key.cast("string")
+    docs = lines.join(fx_fee_replies(spark, sf_dir), "doc_id").select(
+        "doc_id",
+        F.when(key % 4 != 0, F.concat(F.lit("T"), text)).alias("task_id"),
+        F.concat(text, F.lit(".pdf")).alias("filename"),
+        (key % 50).alias("key_id"),
+        F.lit("2024-01-30 10:00:00").cast("timestamp").alias("received_at"),
+        "lines",
+        "reply",
+    )
+    again = docs.where(key % 10 == 0).withColumns(
+        {
+            "filename": F.concat(text, F.lit("-2.pdf")),
+            "received_at": F.lit("2024-01-30 11:00:00").cast("timestamp"),
+        }
+    )
+    return docs.unionByName(again)
+
+
 # -- payloads, passes, regions, uploads ---------------------------------------------------
 
 

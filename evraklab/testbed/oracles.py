@@ -8,6 +8,7 @@ from evraklab.testbed.fixtures import (
     SIGNALS_SQL,
     SQL_CORRECTIONS,
     SQL_EXTRACTIONS,
+    SQL_ACCOUNTS,
     SQL_FEE_REPLIES,
     SQL_OCR_LINES,
     SQL_PASSES,
@@ -425,7 +426,20 @@ SELECT CAST('0x' || substr(md5(CAST(doc_id AS varchar)), 1, 15) AS bigint) AS id
   CAST(NULL AS varchar) AS corrected_json, 0.0::double AS processing_time, CAST(NULL AS varchar) AS error_type,
   CAST(NULL AS bigint) AS api_key_id, md5(raw_text) AS raw_text, CAST(NULL AS varchar) AS approved_by,
   CAST(NULL AS varchar) AS approved_at, CAST(NULL AS varchar) AS corrected_fields, '2024-01-31 00:00:00' AS created_at,
-  report_status, status AS result_status, sender, true AS keeps_nulls FROM dc""",
+  report_status, status AS result_status, sender, true AS keeps_nulls,
+  '{"note":null,"steps":["a",{"n":' || (doc_id % 4) || '}],"trust_score":0.75}' AS engine_report FROM dc""",
+    "outcomes_user_rules": _with(SQL_OCR_LINES) + """,
+ru AS (
+  SELECT n_nationkey % 5 AS p, n_nationkey AS i,
+    CASE n_nationkey WHEN 3 THEN 'Y' ELSE lpad(CAST(n_nationkey + 1 AS varchar), 2, '0') || '.' END AS s
+  FROM nation WHERE n_nationkey <> 9),
+hi AS (
+  SELECT doc_id, p, count(*) AS n, string_agg(s, '|' ORDER BY i) AS signals
+  FROM dt JOIN ru ON contains(upper(raw_text), s) GROUP BY 1, 2),
+be AS (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) = 1)
+SELECT doc_id, coalesce('D' || p, 'UNKNOWN') AS domain, coalesce('F' || p, 'UNKNOWN') AS family,
+  CASE WHEN n IS NULL THEN 0 ELSE least(round(n / 5, 2), 1.0) END::double AS confidence, coalesce(signals, '') AS signals, 'T' || (doc_id % 5) AS type
+FROM dt LEFT JOIN be USING (doc_id)""",
     "approve_latest": _with(SQL_EXTRACTIONS, APPROVALS) + UPDATED.format(fields="[]", source="ap"),
     "approve_not_found": _with(SQL_EXTRACTIONS, APPROVALS)
     + "SELECT task_id FROM rq WHERE task_id NOT IN (SELECT task_id FROM nw)",
@@ -485,6 +499,58 @@ SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 <> 0 THEN
   || ', "list": [100.0, {"Z": [true, {}], "z": null}, []], "sender": "\u00d6\u003cb\u003e \u0027q\u0027 \u0026 \"'
   || o_orderkey || '\" \ud83d\ude00\n"}' END AS shown
 FROM orders""",
+    "two_accounts": _with(SQL_ACCOUNTS) + """,
+f AS (
+  SELECT doc_id, s, r,
+    CASE WHEN s IS NULL AND r IS NULL AND two IS NOT NULL THEN one WHEN s IS NULL AND r IS NOT NULL AND one <> r THEN one ELSE s END AS sender_iban,
+    CASE WHEN s IS NULL AND r IS NULL THEN coalesce(two, one) WHEN r IS NULL AND s IS NOT NULL AND one <> s THEN one ELSE r END AS receiver_iban
+  FROM ac)
+SELECT doc_id, sender_iban, receiver_iban,
+  CASE WHEN s IS NULL AND sender_iban IS NOT NULL THEN 'deterministic_fallback' ELSE 'llm' END AS sender_iban_source,
+  CASE WHEN r IS NULL AND receiver_iban IS NOT NULL THEN 'deterministic_fallback' ELSE 'llm' END AS receiver_iban_source FROM f""",
+    "party_checks": """
+WITH c AS (
+  SELECT o_orderkey AS doc_id, p, (o_orderkey + i) % 3 AS kind FROM orders, (VALUES (0, 'sender'), (1, 'receiver')) v(i, p)),
+k AS (
+  SELECT doc_id, string_agg(CASE kind WHEN 0 THEN 'iban_format_' || p || '/PASS/Valid TR IBAN found for ' || p
+      ELSE 'iban_format_' || p || '/WARNING/Possible IBAN detected for ' || p || ' but format is non-standard' END, '; '
+      ORDER BY p DESC) FILTER (kind < 2) AS parties, max(CAST(kind = 1 AS int)) AS odd FROM c GROUP BY 1)
+SELECT doc_id, CASE WHEN odd = 1 OR doc_id % 11 < 6 THEN 'WARNING' ELSE 'SUCCESS' END AS status,
+  concat_ws('; ', parties, CASE WHEN doc_id % 11 < 6 THEN
+    'low_confidence_warning/WARNING/Primary amount has low OCR confidence (0.' || (doc_id % 11) || '0)' END) AS checks,
+  CAST(doc_id % 2 = 0 AS int) + CAST(doc_id % 5 = 0 AS int) AS flagged FROM k""",
+    "masked_replies": """
+WITH a AS (
+  SELECT o_orderkey AS doc_id, '1' || lpad(CAST(o_orderkey AS varchar), 9, '0') || '2' AS person,
+    'TR12 0001 0002 0003 ' || lpad(CAST(o_orderkey % 10000 AS varchar), 4, '0') || ' 0005 06' AS account FROM orders)
+SELECT doc_id, 'x [TC_KIMLIK_0] y [IBAN_0] tel [PHONE_0], [TC_KIMLIK_0] or [PHONE_1].' AS text,
+  '[TC_KIMLIK_0]=' || person || ';[IBAN_0]=' || account || ';[PHONE_0]=0532 123 45 67;[PHONE_1]=0555 765 43 21' AS entries,
+  account || '/0555 765 43 21' AS sender FROM a""",
+    "failed_pages": OL + """,
+pm AS (SELECT doc_id, page, count(*) AS b, sum(length(text)) AS c, avg(confidence) AS m FROM ol GROUP BY 1, 2),
+al AS (SELECT o_orderkey AS doc_id, page FROM orders, (SELECT unnest([1, 2, 3]) AS page))
+SELECT doc_id, CAST(sum(coalesce(b, 0)) AS bigint) AS total_blocks, CAST(sum(coalesce(c, 0)) AS bigint) AS total_chars,
+  count(*) AS page_count, round(coalesce(var_pop(b), 0), 6) AS block_variance, round(coalesce(var_pop(m), 0), 6) AS confidence_variance
+FROM al LEFT JOIN pm USING (doc_id, page) GROUP BY 1""",
+    "reference_keywords": """
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN '3' WHEN o_orderkey % 2 = 0 THEN '5' ELSE '9' END
+  || lpad(CAST(o_orderkey AS varchar), 8, '0') AS transaction_id FROM orders""",
+    "partial_replies": _with(SQL_REPLIES) + """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND NOT broken AND NOT no_report THEN 'SUCCESS' ELSE 'ERROR' END AS reply_status,
+  CASE WHEN doc_id % 2 = 0 AND NOT broken AND NOT no_report THEN 'SUCCESS' ELSE 'FAILED' END AS stage,
+  CASE WHEN doc_id % 2 = 1 THEN 'no reply' WHEN broken THEN 'reply is not valid JSON'
+    WHEN no_report THEN 'not an object in reply: engine_report' END AS details FROM rp""",
+    "broken_examples": _with(EXAMPLES) + "SELECT * FROM eg WHERE category <> 'RETAIL' OR ordinal < 1000",
+    "verified_key": "SELECT c_custkey AS id FROM customer WHERE c_custkey IN (4, 11)",
+    "reply_bodies": r"""
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 <> 0 THEN 'a "' || o_orderkey || '"' || chr(10) || 'b' END AS reply FROM orders""",
+    "landed_rows": _with(SQL_OCR_LINES, SIGNALS_SQL, SQL_FEE_REPLIES, FEE_DECISION)
+    + ", rd AS (SELECT *, true AS reply_ok, CAST(NULL AS varchar) AS receiver FROM rs),"
+    + _decision("rd") + """
+SELECT CASE WHEN doc_id % 4 <> 0 THEN 'T' ELSE '' END || doc_id AS task_id,
+  doc_id || CASE WHEN doc_id % 10 = 0 THEN '-2.pdf' ELSE '.pdf' END AS filename, category AS document_type, status,
+  CAST(doc_id % 50 AS bigint) AS api_key_id, CASE WHEN doc_id % 10 = 0 THEN '2024-01-30 11:00:00' ELSE '2024-01-30 10:00:00' END AS created_at
+FROM dc""",
     "throttled_events": """
 WITH RECURSIVE o AS (
   SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evraklab.functions.amounts import clean_amount, parse_amount
-from evraklab.functions.json_text import canonical_json
+from evraklab.functions.json_text import canonical_json, reply_text
 from evraklab.functions.lang import float_text
 from evraklab.functions.patterns import all_ibans, first_date, first_iban, reference_number
 from evraklab.functions.pii import PII_PATTERNS, mask, unmask
 from evraklab.operators import analytics, metrics, proximity
 from evraklab.operators.classify import classify, classify_by_table, rules_table
+from evraklab.operators.decide import flagged_fields
 from evraklab.operators.doc_text import document_texts
 from evraklab.operators.evidence import evidence_for
 from evraklab.operators.extract import math_status
@@ -23,12 +24,13 @@ from evraklab.operators.jobs import latest_stage
 from evraklab.operators.prompts import build_prompts, example_rows
 from evraklab.operators.replies import parse_replies
 from evraklab.operators.throttle import throttle_flags
-from evraklab.operators.validate import math_check
+from evraklab.operators.validate import math_check, with_validation
 from evraklab.plans.documents import early_rejects, process_documents
+from evraklab.schemas import EXTRACTION, SINCE_VERSION
 from evraklab.session import configure
-from evraklab.schemas import SINCE_VERSION
 from evraklab.sinks import export, store
 from evraklab.sources import ocr, uploads
+from evraklab.streaming.documents import process_landed
 from evraklab.testbed import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +197,34 @@ def classify_by_rule_table(spark, sf_dir):
     return rows.withColumn("classification_signals", F.array_join("classification_signals", "|"))
 
 
+@query
+def outcomes_user_rules(spark, sf_dir):
+    """The whole plan with a user's rule table: days of the month in five domains, and a letter."""
+    nation = fx.table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    rules = nation.select(
+        F.concat(F.lit("D"), (key % 5).cast("string")).alias("domain"),
+        F.concat(F.lit("F"), (key % 5).cast("string")).alias("family"),
+        (key % 5).cast("int").alias("priority"),
+        key.cast("int").alias("position"),
+        F.when(key == 3, "Y").when(key == 9, "").otherwise(
+            F.concat(F.lpad((key + 1).cast("string"), 2, "0"), F.lit("."))
+        ).alias("signal"),
+    )
+    rows = _processed(
+        spark, sf_dir, fx.fx_fee_replies(spark, sf_dir), rules=rules, with_evidence=False, with_metrics=False
+    )
+    c = F.col("classification")
+    return rows.select(
+        "doc_id",
+        c["domain"].alias("domain"),
+        c["document_family"].alias("family"),
+        c["confidence"].alias("confidence"),
+        F.array_join(c["classification_signals"], "|").alias("signals"),
+        F.col("data.document_analysis.type.value").alias("type"),
+    )
+
+
 # -- personal data ------------------------------------------------------------------------
 
 
@@ -392,7 +422,7 @@ def document_outcomes(spark, sf_dir):
         F.col("stages")["classification"]["status"].alias("class_stage"),
         "total_blocks",
         "page_count",
-        F.col("data.engine_report.logic_applied").alias("logic_applied"),
+        F.variant_get("data.engine_report", "$.logic_applied", "string").alias("logic_applied"),
     )
 
 
@@ -589,6 +619,7 @@ def store_rows(spark, sf_dir):
         F.get_json_object("validation_report", "$.status").alias("report_status"),
         F.get_json_object("extracted_json", "$.status").alias("result_status"),
         F.get_json_object("extracted_json", f"{data}.sender.value").alias("sender"),
+        F.get_json_object("extracted_json", "$.data.engine_report").alias("engine_report"),
         F.contains("extracted_json", F.lit('"evidence_text":null')).alias("keeps_nulls"),
     )
 
@@ -682,6 +713,154 @@ def canonical_outputs(spark, sf_dir):
     return rows.select("doc_id", canonical_json(F.col("stored")).alias("shown"))
 
 
+# -- paths that the tables above do not reach --------------------------------------------------
+
+
+@query
+def two_accounts(spark, sf_dir):
+    """Texts with up to two account numbers, replies with none or one of them."""
+    lines, replies = fx.fx_account_lines(spark, sf_dir), fx.fx_account_replies(spark, sf_dir)
+    rows = process_documents(lines, replies, with_evidence=False, with_metrics=False).results
+    a = F.col("data.document_analysis")
+    names = ("sender_iban", "receiver_iban")
+    return rows.select(
+        "doc_id", *[a[n]["value"].alias(n) for n in names], *[a[n]["source"].alias(f"{n}_source") for n in names]
+    )
+
+
+@query
+def party_checks(spark, sf_dir):
+    """Both parties, a misread amount and fields marked for review."""
+    o = fx.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    party = lambda n: (
+        F.when((k + n) % 3 == 0, F.concat(F.lit("IBAN TR12"), F.lpad(text, 22, "0")))
+        .when((k + n) % 3 == 1, F.concat(F.lit("a very long name, number "), text))
+        .otherwise("short")
+    )
+    mark = lambda n: F.when(k % n == 0, "true").otherwise("false")
+    made = F.concat(
+        F.lit('{"document_analysis":{"sender":{"value":"'), party(0), F.lit('","review_required":'), mark(2),
+        F.lit('},"receiver":{"value":"'), party(1), F.lit('","review_required":'), mark(5),
+        F.lit('}},"financial_hierarchy":{"root_transaction":{"amount":{"value":5,"confidence":'),
+        ((k % 11).cast("double") / 10).cast("string"), F.lit('}},"adjustments_and_fees":[]}}'),
+    )
+    rows = o.select(k.alias("doc_id"), F.from_json(made, EXTRACTION).alias("extraction"))
+    checked = with_validation(rows)
+    checks = F.transform(
+        "validation_report.checks", lambda c: F.concat_ws("/", c["name"], c["status"], c["details"])
+    )
+    return checked.select(
+        "doc_id",
+        F.col("validation_report.status").alias("status"),
+        F.array_join(checks, "; ").alias("checks"),
+        flagged_fields(F.col("extraction")).alias("flagged"),
+    )
+
+
+@query
+def masked_replies(spark, sf_dir):
+    """Three patterns in their order, and a reply that names a masked value."""
+    o = fx.table(spark, sf_dir, "orders")
+    text = F.col("o_orderkey").cast("string")
+    person = F.concat(F.lit("1"), F.lpad(text, 9, "0"), F.lit("2"))
+    account = F.concat(F.lit("TR12 0001 0002 0003 "), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), F.lit(" 0005 06"))
+    made = F.concat(
+        F.lit("x "), person, F.lit(" y "), account, F.lit(" tel 0532 123 45 67, "), person, F.lit(" or 0555 765 43 21.")
+    )
+    reply = '{"document_analysis":{"sender":"[IBAN_0]/[PHONE_1]"},"financial_hierarchy":{},"engine_report":{}}'
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(reply).alias("reply"), mask(made).alias("m"))
+    parsed = parse_replies(rows.select("doc_id", "reply", "m.text", "m.entries"), "reply", "entries")
+    shown = F.transform("entries", lambda e: F.concat_ws("=", e["placeholder"], e["original"]))
+    return parsed.select(
+        "doc_id",
+        "text",
+        F.array_join(shown, ";").alias("entries"),
+        F.expr("variant_get(reply_json, '$.document_analysis.sender', 'string')").alias("sender"),
+    )
+
+
+@query
+def failed_pages(spark, sf_dir):
+    """Metrics of documents of three pages, the last of which nobody could read."""
+    lines = fx.fx_ocr_lines(spark, sf_dir)
+    pages = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("page")
+    )
+    rows = metrics.document_metrics(metrics.page_metrics(lines, pages))
+    return rows.withColumns({c: F.round(c, 6) for c in ("block_variance", "confidence_variance")})
+
+
+@query
+def reference_keywords(spark, sf_dir):
+    """Texts with several keywords; the first of the list that digits follow counts."""
+    o = fx.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    number = F.lpad(k.cast("string"), 8, "0")
+    made = F.concat(
+        F.lit("Sorgulama: 9"), number, F.lit(" fis no 7"), number,
+        F.when(k % 2 == 0, F.concat(F.lit(" DEKONT NO: 5"), number)).otherwise(" DEKONT NO: 123"),
+        F.when(k % 3 == 0, F.concat(F.lit(" ref : 3"), number)).otherwise(" REF yok"),
+    )
+    return o.select(k.alias("doc_id"), reference_number(made).alias("transaction_id"))
+
+
+@query
+def partial_replies(spark, sf_dir):
+    """Every second document has no reply row; none is lost."""
+    replies = fx.fx_replies(spark, sf_dir)
+    rows = _processed(
+        spark, sf_dir, replies.where(F.col("doc_id") % 2 == 0), with_evidence=False, with_metrics=False
+    )
+    return rows.select(
+        "doc_id",
+        "reply_status",
+        F.col("stages")["llm_extraction"]["status"].alias("stage"),
+        F.col("stages")["llm_extraction"]["details"].alias("details"),
+    )
+
+
+@query
+def broken_examples(spark, sf_dir):
+    """A stored output that is no JSON voids the verified examples of its type."""
+    rows = fx.fx_extractions(spark, sf_dir).withColumn(
+        "corrected_json", F.when(F.col("document_type") == "RETAIL", "{bad").otherwise(F.col("corrected_json"))
+    )
+    return example_rows(analytics.verified_examples(rows))
+
+
+@query
+def verified_key(spark, sf_dir):
+    """Ids by key text: two active keys and one that is switched off."""
+    c = fx.table(spark, sf_dir, "customer")
+    keys = c.select(
+        F.col("c_custkey").alias("id"),
+        F.concat(F.lit("sk_"), F.col("c_custkey").cast("string")).alias("key_hash"),
+        (F.col("c_custkey") % 3 != 0).cast("int").alias("is_active"),
+    )
+    found = [analytics.verify_key(keys, f"sk_{n}") for n in (4, 9, 11)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def reply_bodies(spark, sf_dir):
+    """Reply texts inside raw response bodies, some without a candidate."""
+    o = fx.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    body = F.when(k % 5 == 0, F.lit('{"candidates":[]}')).otherwise(
+        F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"a \\"'), k.cast("string"), F.lit('\\"\\nb"},{"text":"c"}]}}]}'))
+    )
+    return o.select(k.alias("doc_id"), reply_text(body).alias("reply"))
+
+
+@query
+def landed_rows(spark, sf_dir):
+    """Store rows of landed documents, some delivered twice or without a task id."""
+    rows = process_landed(fx.fx_landed(spark, sf_dir), with_evidence=False, with_metrics=False)
+    return rows.select("task_id", "filename", "document_type", "status", "api_key_id", _stamp())
+
+
 # -- event streams in batch form -----------------------------------------------------------
 
 

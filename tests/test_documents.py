@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from evraklab.operators.classify import Rule, classify, classify_by_table, rules_table, with_classification
+from evraklab.operators.classify import RULES, Rule, classify, classify_by_table, rules_table, with_classification
+from evraklab.plans import documents
 from evraklab.plans.documents import process_documents
 from evraklab.sinks.export import export_invoices, export_rows, write_csv, write_invoices
+from evraklab.sinks.store import to_store_rows
 from test_fuzzy import lines_df
 
 
@@ -49,6 +51,34 @@ def test_classification(spark):
     assert got[7]["document_type"] == "BANK_RECEIPT" and got[7]["transaction_type"] == "UNKNOWN"
 
 
+def test_plan_takes_a_rule_table_of_any_size(spark, monkeypatch):
+    docs = {1: ["Kira sözleşmesi", "Toplam: 5"], 2: ["dekont havale"], 3: ["nothing"]}
+    own = [*RULES, Rule("LEGAL", "CONTRACT", ("SÖZLEŞME", "KİRA"))]
+    answers = spark.createDataFrame([(1, reply({"sender": "A", "receiver": "B"}, {"root_transaction": {"amount": 5}}))], "doc_id long, reply string")
+    lines = lines_df(spark, docs)
+
+    def run(rules):
+        got = process_documents(lines, answers, rules=rules, with_evidence=False).results
+        return rows(got.select("doc_id", "classification", "status", "reply_status", "page_count"), "doc_id")
+
+    expected = run(own)
+    assert [r[1]["domain"] for r in expected] == ["LEGAL", "BANKING", "UNKNOWN"]
+    assert [r[3] for r in expected] == ["SUCCESS", "ERROR", "ERROR"]  # no reply row: an error, not a lost document
+    table = rules_table(spark, own)
+    assert run(table) == expected
+    monkeypatch.setattr(documents, "small_rules", lambda table: None)  # as for a large table
+    assert run(table) == expected
+
+
+def test_engine_report_keeps_any_key(spark):
+    report = {"trust_score": 0.9, "steps": [{"n": 1}, "x"], "note": None}
+    answers = spark.createDataFrame([(1, reply({"sender": "A"}, {}, report))], "doc_id long, reply string")
+    results = process_documents(lines_df(spark, {1: ["Tutar: 5"]}), answers, with_evidence=False).results
+    row = to_store_rows(results).first()
+    assert json.loads(row["extracted_json"])["data"]["engine_report"] == report
+    assert row["id"] == to_store_rows(results).first()["id"] > 0
+
+
 def test_rules_of_a_table(spark):
     texts = ["DEKONT HAVALE bsmv", "fatura kdv", "nothing", "", None, "eft fatura tax", "İBAN tutar"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string")
@@ -57,6 +87,10 @@ def test_rules_of_a_table(spark):
     many = [Rule(f"D{i}", "F", (f"SIGNAL{i}X",)) for i in range(5000)]
     got = rows(classify_by_table(df.limit(0).union(spark.createDataFrame([(1, "a signal4711x b")], df.schema)), rules_table(spark, many)))
     assert got[0][1] == "D4711"
+    short = [Rule("ONE", "A", ("Q", "ÖZ")), Rule("TWO", "B", ("XYZ", "LONGER THAN FOUR"))]
+    df = spark.createDataFrame(list(enumerate(["q", "söz xyz", "longer than fou", "a longer than four xyz", "w"])), "doc_id long, raw_text string")
+    expected = with_classification(df, rules=short, subtypes=()).select("doc_id", "classification.*")
+    assert rows(classify_by_table(df, rules_table(spark, short), subtypes=()), "doc_id") == rows(expected, "doc_id")
     own = (Rule("LEGAL", "CONTRACT", ("SÖZLEŞME",)),)
     got = classify(lines_df(spark, {1: ["sözleşme"]}), own, ()).first()
     assert got["domain"] == "LEGAL" and got["document_family"] == "CONTRACT"
@@ -132,7 +166,7 @@ def test_extraction_details(results):
 def test_failed_replies_get_the_skeleton(results):
     for i in (7, 8):
         r = results[i]
-        assert r["data"]["engine_report"]["logic_applied"] == "SkeletonFallback"
+        assert r["data"]["engine_report"].toPython()["logic_applied"] == "SkeletonFallback"
         assert r["stages"]["llm_extraction"]["status"] == "FAILED" and r["validation_report"] is None
         assert r["trust_score"] == pytest.approx(0.7)
     assert results[8]["stages"]["llm_extraction"]["details"] == "no reply"
