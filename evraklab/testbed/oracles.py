@@ -564,6 +564,15 @@ f AS (
     CASE WHEN o.us - f.last < 43200000000 AND f.n >= 3 THEN f.last ELSE o.us END
   FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
 SELECT event_id, user_id, denied FROM f""",
+    "throttled_one_key": """
+WITH o AS (SELECT list(event_id ORDER BY ts, event_id) AS ids, list(epoch_us(ts) ORDER BY ts, event_id) AS us FROM events),
+f AS (
+  SELECT ids, list_reduce(us, lambda s, t: {
+      'n': CASE WHEN t - s.last >= 3600000000 THEN 1 WHEN s.n >= 5 THEN s.n ELSE s.n + 1 END,
+      'last': CASE WHEN t - s.last < 3600000000 AND s.n >= 5 THEN s.last ELSE t END,
+      'denied': list_append(s.denied, CASE WHEN t - s.last < 3600000000 AND s.n >= 5 THEN 1 ELSE 0 END)},
+    {'n': 0, 'last': -4000000000000000000::bigint, 'denied': []::integer[]}).denied AS denied FROM o)
+SELECT unnest(ids) AS event_id, unnest(denied) AS denied FROM f""",
     "latest_stages": _with(SQL_STAGE_EVENTS) + """
 SELECT job_id, stage AS current_stage, progress, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at FROM se
 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, progress DESC, event_id DESC) = 1""",

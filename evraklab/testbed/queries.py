@@ -873,6 +873,14 @@ def throttled_events(spark, sf_dir):
     return flagged.select("event_id", "user_id", F.col("denied").cast("int").alias("denied"))
 
 
+@query
+def throttled_one_key(spark, sf_dir):
+    """All events under one key that hardly ever pauses."""
+    e = fx.table(spark, sf_dir, "events").select("event_id", F.lit("all").alias("key"), "ts")
+    flagged = throttle_flags(e, "key", "ts", "event_id", limit=5, expiry_seconds=3600)
+    return flagged.select("event_id", F.col("denied").cast("int").alias("denied"))
+
+
 @query
 def latest_stages(spark, sf_dir):
     rows = latest_stage(fx.fx_stage_events(spark, sf_dir), "event_id")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from evraklab.operators import analytics
+from evraklab.operators import analytics, throttle
 from evraklab.operators.prompts import build_prompts
 from evraklab.operators.throttle import throttle_flags
 from evraklab.schemas import OCR_DOCUMENT
@@ -203,6 +203,19 @@ def throttle_events(n=1500):
     ]
 
 
+@pytest.mark.parametrize(
+    ("n", "span", "limit", "gap"), [(3000, 3000, 4, 10), (3000, 60000, 2, 15), (2000, 400, 3, 5), (800, 100, 1, 7), (500, 5000, 3, 0)]
+)
+def test_throttle_of_busy_keys_over_many_blocks(spark, monkeypatch, n, span, limit, gap):
+    """A key that never pauses is judged block by block, whatever a task looks at together."""
+    monkeypatch.setattr(throttle, "ROWS_TOGETHER", 97)
+    rnd, t0 = random.Random(n), datetime(2024, 1, 1)
+    events = [("hot" if i % 3 else f"k{i % 7}", t0 + timedelta(seconds=rnd.randint(0, span)), i) for i in range(n)]
+    df = spark.createDataFrame(events, "key string, ts timestamp, event_id long")
+    got = throttle_flags(df, "key", "ts", "event_id", limit, gap, 1).collect()
+    assert len(got) == n and {r["event_id"]: r["denied"] for r in got} == fold_by_definition(events, limit, gap)
+
+
 def test_throttle_matches_the_definition(spark):
     events = throttle_events()
     df = spark.createDataFrame(events, "key string, ts timestamp, event_id long")
