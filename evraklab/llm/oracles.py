@@ -45,7 +45,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM norm GROUP BY doc_
 host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
 often AS (
   SELECT source, k, count(DISTINCT text) AS n FROM norm GROUP BY source, k),
-bad AS (SELECT source, k FROM often JOIN host USING (source) WHERE n > 20 AND n > 0.10 * docs),
+bad AS (SELECT source, k FROM often JOIN host USING (source) WHERE n > 20 OR (n >= 3 AND n > 0.5 * docs)),
 gone AS (SELECT doc_id, sum(size) AS n FROM norm JOIN bad USING (source, k) GROUP BY doc_id),
 s AS (
   SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words,

@@ -3,11 +3,14 @@
 Base statistics need the document alone. The cross-document rule hashes normalised
 lines (words joined by one blank, lower-cased), counts for each host in how many
 distinct documents a line stands, takes lines above the limits away as boilerplate,
-and rejects documents of which too little is left. Exact copies of a text count as one
-document there: copying is for the near-duplicate operators to judge.
+and rejects documents of which too little is left; ``without_boilerplate`` returns the
+texts without those lines. Exact copies of a text count as one document there: copying is
+for the near-duplicate operators to judge.
 
 Null texts are empty. A null host is a host of its own. Repeated rows are judged row by
-row; an empty table gives an empty result; other columns are not read.
+row, and rows are told apart by position, so ``docs`` must be a stored table. An empty
+table gives an empty result; other columns are not read. A text is held whole by its task,
+however long; lines that tie at a limit stay.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evraklab.llm.core import map_batches, ragged, staged, utf8
+from evraklab.llm.core import fresh, map_batches, ragged, staged, utf8
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -28,9 +31,12 @@ REPEAT_PERCENT = 30
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 CONTINUATION = bytes(range(0x80, 0xC0))
 
-# A line is boilerplate of a host above both limits.
+# A line is boilerplate where more documents of its host have it than LINE_DOCS, or, on hosts
+# too small for that, LEAST_DOCS or more that are above LINE_SHARE of the host's documents.
 LINE_DOCS = 20
-LINE_SHARE = 0.10
+LEAST_DOCS = 3
+LINE_SHARE = 0.5
+SALTS = 16
 # A document is depleted when fewer words than either bound are left.
 LEFT_WORDS = 20
 LEFT_SHARE = 0.2
@@ -72,25 +78,18 @@ def _stats(text: bytes) -> tuple[tuple[int, ...], list[int], list[int]]:
         if parts:
             duplicates += line in seen
             seen.add(line)
-            hashes.append(xxhash.xxh64_intdigest(b" ".join(parts).lower()))
+            hashes.append(_line_hash(parts))
             sizes.append(len(parts))
     stats = (len(words), chars, len(SYMBOLS.findall(text)), duplicates, _repeat_words(words))
     return stats, hashes, sizes
 
 
-def judge(
-    docs: DataFrame,
-    host_col: str = "source",
-    line_docs: int = LINE_DOCS,
-    line_share: float = LINE_SHARE,
-    left_words: int = LEFT_WORDS,
-    left_share: float = LEFT_SHARE,
-) -> DataFrame:
-    """One row per document: doc_id, base statistics, words in boilerplate, verdicts.
+def _line_hash(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words).lower())
 
-    The text is read once. Only (host, line hash) rows are shuffled, counted map-side
-    first, so a host or line with a third of all rows stays spread.
-    """
+
+def _measured(docs: DataFrame, host_col: str) -> DataFrame:
+    """A staged row per document: its statistics, and hash and words of each of its lines."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         stats, hashes, sizes, counts, digests = [], [], [], [], []
@@ -117,7 +116,7 @@ def judge(
         F.col("text").cast("string").alias("text"),
     )
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    read = staged(
+    return staged(
         map_batches(
             slim,
             run,
@@ -125,18 +124,46 @@ def judge(
         )
     )
 
-    # Distinct documents of each host, and of each of its lines.
+
+def _boilerplate(read: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """(row, line, size) of every line that is boilerplate of its document's host.
+
+    Only (host, line hash) rows are shuffled, counted map-side first, so a host or line with
+    a third of all rows stays spread. Small hosts have at most ``line_docs / line_share``
+    documents; they meet their lines under ``SALTS`` keys, so that the lines of a large host,
+    which match none, are spread there too.
+    """
     texts = read.groupBy("host", "text_hash").agg(F.min("row").alias("row"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
     once = read.join(texts.select("row"), "row", "left_semi")
     lines = once.select("host", F.explode(F.array_distinct("lines")).alias("line"))
-    frequent = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > line_docs)
-    frequent = frequent.join(hosts, "host").filter(F.col("docs") > line_share * F.col("host_docs"))
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min(LEAST_DOCS, line_docs + 1))
+    many = counted.filter(F.col("docs") > line_docs).select("host", "line")
+    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
+    small = hosts.filter(line_share * F.col("host_docs") < line_docs)
+    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    few = counted.filter((F.col("docs") >= LEAST_DOCS) & (F.col("docs") <= line_docs))
+    few = few.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int")).join(small, ["host", "salt"])
+    few = few.filter(F.col("docs") > line_share * F.col("host_docs")).select("host", "line")
 
     pairs = read.select("row", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
     pairs = pairs.select("row", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
-    gone = pairs.join(frequent.select("host", "line"), ["host", "line"])
-    gone = gone.groupBy("row").agg(F.sum("size").alias("gone"))
+    return pairs.join(many.unionByName(few), ["host", "line"]).select("row", "line", "size")
+
+
+def judge(
+    docs: DataFrame,
+    host_col: str = "source",
+    line_docs: int = LINE_DOCS,
+    line_share: float = LINE_SHARE,
+    left_words: int = LEFT_WORDS,
+    left_share: float = LEFT_SHARE,
+) -> DataFrame:
+    """One row per document: doc_id, base statistics, words in boilerplate, verdicts.
+
+    The text is read once.
+    """
+    read = _measured(docs, host_col)
+    gone = _boilerplate(read, line_docs, line_share).groupBy("row").agg(F.sum("size").alias("gone"))
 
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")
@@ -154,3 +181,35 @@ def judge(
             failed.alias("base_failed"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"),
         )
     )
+
+
+def without_boilerplate(
+    docs: DataFrame, host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE
+) -> DataFrame:
+    """``docs`` with the boilerplate lines of each text taken out; all rows and columns stay.
+
+    The lines left are those of the input, unchanged and in order, joined by ``\\n``. A text
+    of which every line goes becomes empty; a null text stays null.
+    """
+    found = _boilerplate(_measured(docs, host_col), line_docs, line_share)
+    row, lines = fresh(docs, "row"), fresh(docs, "lines")
+    gone = found.groupBy("row").agg(F.collect_set("line").alias(lines)).withColumnRenamed("row", row)
+    marked = docs.withColumn(row, F.monotonically_increasing_id()).join(staged(gone), row, "left")
+    marked = marked.select(*(F.col(f"`{c}`") for c in docs.columns), lines)
+    position = docs.columns.index("text")
+
+    def clean(text: str, drop: set[int]) -> str:
+        kept = []
+        for line in text.split("\n"):
+            words = line.encode().split()
+            if not words or np.uint64(_line_hash(words)).astype(np.int64) not in drop:
+                kept.append(line)
+        return "\n".join(kept)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = zip(batch.column(position).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
+        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+        columns[position] = pa.array([clean(t, set(d)) if t and d else t for t, d in pairs], pa.string())
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return map_batches(marked, run, docs.schema)

@@ -170,6 +170,41 @@ def test_quality_line_frequency(stored):
     assert all(got[i]["kept"] for i in [*range(100, 130), 200, *range(300, 340)])
 
 
+def brute_boilerplate(rows):
+    """Texts without the lines that more than 20, or three and half, of a host's distinct texts have."""
+    key = lambda line: " ".join(line.split()).lower()
+    out = []
+    for _, text, _, host, _ in rows:
+        texts = {t or "" for _, t, _, h, _ in rows if h == host}
+        kept = []
+        for line in (text or "").split("\n"):
+            n = sum(any(key(line) == key(x) for x in t.split("\n")) for t in texts)
+            if not key(line) or not (n > 20 or (n >= 3 and n > 0.5 * len(texts))):
+                kept.append(line)
+        out.append(None if text is None else "\n".join(kept))
+    return out
+
+
+def test_quality_without_boilerplate(stored, edges, empty):
+    """Rare shares of a large host are enough; small hosts by share; clashing column names stay."""
+    rows = [(i, f"Site  Notice\nbody {i}\n\nfooter {i // 20}", "", "large", 0) for i in range(21)]
+    rows += [(100 + i, f"own {i}\ncommon {i % 20}", "", "large", 0) for i in range(300)]
+    rows += [(500 + i, f"menu\nentry {i}\nrare {i // 2}", "", "small", 0) for i in range(4)]
+    rows += [(600, "menu\nlone", "", "lone", 0), (601, None, "", None, 0), (602, "site notice", "", "large", 0)]
+    rows += [rows[0], rows[0]]
+    docs = stored(rows)
+    expected = collections.Counter((r[0], t) for r, t in zip(rows, brute_boilerplate(rows)))
+    assert not any(t and "otice" in t for i, t in expected) and (500, "entry 0\nrare 0") in expected
+    named = docs.withColumn("row", F.lit(1)).withColumn("Lines", F.lit("x"))
+    got = quality.without_boilerplate(named)
+    assert got.columns == named.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == expected
+    judged = {r["doc_id"]: r["n_line_words"] for r in quality.judge(docs).collect()}
+    assert judged[5] == 2 and judged[500] == 1 and judged[600] == 0 and judged[602] == 2
+    assert quality.without_boilerplate(edges).count() == len(EDGES)
+    assert quality.without_boilerplate(empty).count() == 0
+
+
 # -- toxicity
 
 
