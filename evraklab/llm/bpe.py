@@ -15,7 +15,7 @@ encoded apart, and they repeat more than texts do.
 A chunk of more than ``LONG`` characters is merged with a heap instead, which takes time
 in proportion to its length; the fold takes its square.
 
-Null and empty texts have no ids. Rows are encoded one by one, so ids may be null or
+Ids must be below 2**24; greater ones are refused. Null and empty texts have no ids. Rows are encoded one by one, so ids may be null or
 repeated; other columns are not read, and an empty table gives an empty result.
 """
 
@@ -45,7 +45,11 @@ HEAD = 3 << 18
 LONG = 256
 FLUSH = 300_000
 SLOTS = 131_071  # buckets of the rank map
-NO_RANK = 1 << 32
+# An entry of the fold packs a rank, a byte of the word and an id, in 25, 14 and 24 bits.
+IDS = NO_RANK = 1 << 24
+PLACES = 1 << 14
+RANK_SHIFT = 38
+GONE = -1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -110,17 +114,19 @@ def _compiled(pattern: str) -> regex.Pattern:
 def _rank_map(ranks: dict[bytes, int]) -> Column:
     """Literal map from a pair of ids to the id of their union, as hash buckets.
 
-    A bucket holds key and id by turns. Keys are above ``NO_RANK``, and no bucket is
-    empty, so the item after a missing key's position (0) is no rank.
+    A bucket begins with ``NO_RANK`` and holds key and id by turns, keys above it and ids
+    below; so the item after a missing key's position (0) is ``NO_RANK``.
     """
+    if max(ranks.values(), default=0) >= NO_RANK:
+        raise ValueError(f"ranks of {NO_RANK} and more are not supported")
     buckets: list[list[int]] = [[] for _ in range(SLOTS)]
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                key = left * 65536 + right + NO_RANK
+                key = left * IDS + right + IDS + 1
                 buckets[key % SLOTS] += [key, rank]
-    text = json.dumps([b or [NO_RANK] for b in buckets], separators=(",", ":"))
+    text = json.dumps([[NO_RANK, *b] for b in buckets], separators=(",", ":"))
     return F.from_json(F.lit(text), "array<array<bigint>>")
 
 
@@ -130,45 +136,58 @@ def _bind(value: Column, body) -> Column:
 
 
 def _fold(word: Column, bytes_: Column, buckets: Column) -> Column:
-    """Token ids of one word: the ranked merges, folded over its bytes."""
+    """Token ids of one word: the ranked merges, folded over its bytes.
+
+    The state is one array with an entry for each part of the word: the rank of the pair that
+    the part forms with the next one, the byte it begins at, and its id, packed in this order.
+    So the least entry is the leftmost pair of least rank, and its rank is the id of the union.
+    """
 
     def rank(left: Column, right: Column) -> Column:
-        key = left * 65536 + right + NO_RANK
+        key = left * IDS + right + IDS + 1
         bucket = buckets[(key % SLOTS).cast("int")]
         return bucket[F.array_position(bucket, key).cast("int")]
 
-    def state(ids: Column, ranks: Column) -> Column:
-        least = F.coalesce(F.array_min(ranks), F.lit(NO_RANK))
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"), least.alias("least"))
+    def id_(entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit(IDS - 1))
 
-    def start(ids: Column) -> Column:
-        n = F.greatest(F.size(ids) - 1, F.lit(0))
-        return _bind(F.zip_with(F.slice(ids, 1, n), F.slice(ids, 2, n), rank), lambda ranks: state(ids, ranks))
+    def at_byte(entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit((PLACES - 1) * IDS))
 
-    none = F.array().cast("array<bigint>")
+    def merge(old: Column, least: Column) -> Column:
+        union = F.shiftright(least, RANK_SHIFT)
 
-    def merge(old: Column) -> Column:
-        ids, ranks, least = old["ids"], old["ranks"], old["least"]
+        def at(p: Column) -> Column:  # of the pair's left part, from 0
+            def entry(x: Column, i: Column) -> Column:
+                after = F.get(old, p + 2)
+                pair = F.when(after.isNull(), F.lit(NO_RANK)).otherwise(rank(union, id_(after)))
+                return (
+                    F.when((i > p + 1) | (i < p - 1), x)
+                    .when(i == p, F.shiftleft(pair, RANK_SHIFT) + at_byte(least) + union)
+                    .when(i > p, F.lit(GONE))
+                    .otherwise(F.shiftleft(rank(id_(x), union), RANK_SHIFT) + at_byte(x) + id_(x))
+                )
 
-        def at(p: Column) -> Column:
-            rest = F.size(ids)
-            left = F.when(p > 1, F.array(rank(ids[p - 2], least))).otherwise(none)
-            right = F.when(p < F.size(ranks), F.array(rank(least, ids[p + 1]))).otherwise(none)
-            before = F.slice(ranks, 1, F.greatest(p - 2, F.lit(0)))
-            after = F.slice(ranks, p + 2, rest)
-            merged = F.concat(F.slice(ids, 1, p - 1), F.array(least), F.slice(ids, p + 2, rest))
-            return _bind(F.concat(before, left, right, after), lambda r: state(merged, r))
+            return F.array_remove(F.transform(old, entry), F.lit(GONE))
 
-        return _bind(F.array_position(ranks, least).cast("int"), at)
+        return _bind((F.array_position(old, least) - 1).cast("int"), at)
 
     def step(old: Column, _: Column) -> Column:
-        return F.when(old["least"] < NO_RANK, merge(old)).otherwise(old)
+        return _bind(F.array_min(old), lambda m: F.when(m < F.lit(NO_RANK << RANK_SHIFT), merge(old, m)).otherwise(old))
+
+    def start(ids: Column) -> Column:
+        def entry(x: Column, i: Column) -> Column:
+            after = F.get(ids, i + 1)
+            pair = F.when(after.isNull(), F.lit(NO_RANK)).otherwise(rank(x, after))
+            return F.shiftleft(pair, RANK_SHIFT) + i.cast("bigint") * F.lit(IDS) + x
+
+        return F.transform(ids, entry)
 
     letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
     ids = F.transform(letters, lambda c: bytes_[F.ascii(c)])
     steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-    folded = _bind(ids, lambda i: F.aggregate(steps, start(i), step, lambda s: s["ids"]))
-    return folded.cast("array<int>")
+    folded = _bind(ids, lambda i: F.aggregate(steps, start(i), step))
+    return F.transform(folded, lambda x: id_(x).cast("int"))
 
 
 class Codec:

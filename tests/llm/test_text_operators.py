@@ -438,6 +438,19 @@ def test_bpe(codec, stored, empty):
     assert codec.encode(empty).count() == 0
 
 
+def test_bpe_of_large_ids(spark, codec, stored):
+    """Ids above 65,535 neither collide nor wrap; those the fold cannot pack are refused."""
+    moved = {token: rank + 9_000_000 for token, rank in codec.ranks.items()}
+    words = ["thanon", " vocabulary", " aaaaaaaa", "\u00e9t\u00e9s", " x1y2%%%", " \U0001f600z"]
+    docs = stored([(i, w, "", "", 0) for i, w in enumerate(words)]).select("doc_id", F.array("text").alias("w"))
+    large = bpe.Codec(spark, moved, public_tokenizers.PATTERN)
+    expected = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    for i, ids in docs.select("doc_id", large.encoded(F.col("w"))[0]).collect():
+        assert [t - 9_000_000 for t in ids] == expected.encode_ordinary(words[i])
+    with pytest.raises(ValueError):
+        bpe.Codec(spark, {b"a": 1 << 24}, public_tokenizers.PATTERN)
+
+
 def test_heap_merge(codec):
     expected = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(1)
