@@ -38,7 +38,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
     Cuts the lineage like ``checkpoint()``, survives lost executors, and as Parquet
@@ -46,7 +46,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

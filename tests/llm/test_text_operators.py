@@ -599,6 +599,36 @@ def test_html_copies(stored):
         assert all(got[10 + i] == prose(70 + i, 50, 5000) for i in range(6))
 
 
+def test_html_shared_lines_stay(stored):
+    """A line that some articles share, or a run inside their paragraphs, is their text."""
+    line = "one line of nine words that some articles share"
+    rows = [(i, f"http://s.example/{i}", f"<article><p>{prose(200 + i, 30, 5000)}</p><p>{line}</p></article>") for i in range(4)]
+    rows += [(i, f"http://s.example/{i}", f"<article><p>w{i} {line} {prose(200 + i, 30, 5000)}</p></article>") for i in range(4, 12)]
+    expected = {i: html_text.blocks(h) for i, _, h in rows}
+    rows += [(50, "http://s.example/big", "<article>" + "".join(f"<p>{prose(900 + k, 60, 5000)}</p>" for k in range(1500)) + "</article>")]
+    rows += [(None, None, "<p>alone"), (None, None, "<p>alone")]
+    pages = stored([(*r, "text", 1) for r in rows], "page_id bigint, url string, html string, text string, content int")
+    got = html_text.extract(pages).collect()
+    found = {r["page_id"]: r["text"] for r in got}
+    assert all(found[i] == "\n".join(t for _, t in expected[i]) for i in range(12))
+    assert found[50] == "\n".join(prose(900 + k, 60, 5000) for k in range(1500))
+    assert [r["text"] for r in got if r["page_id"] is None] == ["alone", "alone"]
+
+
+def test_html_repeated_runs_by_brute_force():
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(0, 3, rng.integers(1, 40)).astype(np.uint64) + np.uint64(1 << 63) for _ in range(40)]
+    held, least = rng.integers(1, 4, 40), rng.integers(2, 7, 40)
+    windows = [[tuple(t[i : i + html_text.RUN]) for i in range(len(t) - html_text.RUN + 1)] for t in streams]
+    times = collections.Counter()
+    for w, n in zip(windows, held):
+        for x in set(w):
+            times[x] += int(n)
+    for t, w, l, runs in zip(streams, windows, least, html_text.repeated_runs(streams, held, least)):
+        covered = {i + k for i, x in enumerate(w) if times[x] >= l for k in range(html_text.RUN)}
+        assert covered == {i for a, b in zip(runs[::2], runs[1::2]) for i in range(a, b)}
+
+
 def test_window_ranks():
     tokens = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 5, 6, 7, 8, 1], np.uint64)
     ranks = html_text.window_ranks(tokens)
