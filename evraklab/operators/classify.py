@@ -70,6 +70,8 @@ def rules_table(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame
 GRAM = 4
 #: Rule tables up to so many signals become literals of the plan; larger ones are joined.
 LITERAL_SIGNALS = 512
+#: Signals with their names up to so many bytes are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
 
 
 def small_rules(table: DataFrame, limit: int = LITERAL_SIGNALS) -> list[Rule] | None:
@@ -94,7 +96,10 @@ def near_signals(texts: DataFrame, table: DataFrame, text: str = "raw_text") ->
         F.substring("signal", 1, GRAM).alias("gram"),
         F.struct("priority", "position", "signal", "domain", "family").alias("rule"),
     )
-    sizes = [r[0] for r in signals.select(F.length("gram").alias("k")).distinct().collect()]  # 1 to GRAM
+    held = F.sum(sum(F.coalesce(F.octet_length(f"rule.{c}"), F.lit(0)) for c in ("signal", "domain", "family")))
+    measured = signals.groupBy(F.length("gram").alias("k")).agg(held.alias("bytes")).collect()  # 1 to GRAM rows
+    sizes = [r["k"] for r in measured]
+    small = sum(r["bytes"] or 0 for r in measured) <= BROADCAST_BYTES
     upper = texts.select("doc_id", F.upper(F.coalesce(text, F.lit(""))).alias("upper"))
 
     def grams(k: int) -> Column:
@@ -103,7 +108,9 @@ def near_signals(texts: DataFrame, table: DataFrame, text: str = "raw_text") ->
         return F.when(F.length("upper") >= k, cut).otherwise(F.array().cast("array<string>"))
 
     every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(k) for k in sizes]))
-    found = upper.select("doc_id", F.explode(every).alias("gram")).join(signals, "gram")
+    # Named, as the planner guesses both sizes: it would send all grams of the texts through the driver.
+    met = F.broadcast(signals) if small else signals.hint("merge")
+    found = upper.select("doc_id", F.explode(every).alias("gram")).join(met, "gram")
     return found.groupBy("doc_id").agg(F.collect_set("rule").alias("near"))
 
 
