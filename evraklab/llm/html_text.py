@@ -23,9 +23,10 @@ Spark counts the contents of the host that hold each. Only the stretches of toke
 windows that are held often enough are brought together, equal ones as one with the number
 of contents that have it; they are what the suffix array sorts, as deep as a window: the
 union of windows that repeat is the union of longer substrings that do. A host with more
-than ``CHUNK_STRETCHES`` distinct stretches is dealt to several tasks by how stretches
-begin. So a host or a group of copies with a third of all pages is spread. Windows are
-compared by 64-bit hashes that hold the host.
+than ``CHUNK_STRETCHES`` distinct stretches is dealt to several tasks by windows: a
+stretch is cut into pieces so that equal windows, wherever they stand, meet in one task. So a
+host or a group of copies with a third of all pages is spread, with the same results.
+Windows are compared by 64-bit hashes that hold the host.
 
 Null html is an empty page, with empty text. A null url is a host of its own. Rows of
 equal ids are distinct pages. A very long page is one row of one task. Other columns are
@@ -278,11 +279,30 @@ def stretches(places: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_runs(streams: list[np.ndarray], held: np.ndarray, least: np.ndarray) -> list[list[int]]:
+def pieces(tokens: np.ndarray, chunks: int) -> list[tuple[int, int, int]]:
+    """A stretch cut for sorting in ``chunks`` parts: (part, start, end) of each piece.
+
+    Equal windows have the same least hash of two neighbouring tokens, which names their part,
+    so every part has all windows that it has to compare, of whatever stretches.
+    """
+    last = len(tokens) - RUN
+    if chunks <= 1 or last < 0:
+        return [(0, 0, len(tokens))]
+    pairs = _window_hash(tokens, np.arange(len(tokens) - 1), 2).view(np.uint64)
+    anchors = np.lib.stride_tricks.sliding_window_view(pairs, RUN - 1).min(axis=1)
+    parts = (splitmix(anchors) % np.uint64(chunks)).astype(np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(parts)) + 1, [last + 1]])
+    return [(int(parts[s]), int(s), int(e) - 1 + RUN) for s, e in zip(edges[:-1], edges[1:])]
+
+
+def repeated_runs(
+    streams: list[np.ndarray], held: np.ndarray, least: np.ndarray, names: np.ndarray | None = None
+) -> list[list[int]]:
     """Runs of each stream, as start, end, start, ..., whose windows enough contents hold.
 
     ``held[i]`` contents have stream i, and its windows repeat if the streams that have them
-    are held ``least[i]`` times together. Each stream ends in a token of its own.
+    are held ``least[i]`` times together. Streams of equal ``names`` are pieces of one, whose
+    windows count once. Each stream ends in a token of its own.
     """
     tokens = np.concatenate([np.append(t, np.uint64(i)) for i, t in enumerate(streams)])
     sizes = np.array([len(t) + 1 for t in streams])
@@ -291,8 +311,9 @@ def repeated_runs(streams: list[np.ndarray], held: np.ndarray, least: np.ndarray
     ranks = window_ranks(tokens)
     starts = np.arange(len(tokens))
     starts = starts[starts - offset[owner] + RUN < sizes[owner]]
-    once = np.unique(np.stack([ranks[starts], owner[starts]], axis=1), axis=0)
-    times = np.bincount(once[:, 0], held[once[:, 1]], minlength=len(tokens))
+    whole = np.arange(len(streams)) if names is None else np.unique(names, return_inverse=True)[1]
+    first = np.unique(np.stack([ranks[starts], whole[owner[starts]]], axis=1), axis=0, return_index=True)[1]
+    times = np.bincount(ranks[starts[first]], held[owner[starts[first]]], minlength=len(tokens))
     starts = starts[times[ranks[starts]] >= least[owner[starts]]]
     edge = np.zeros(len(tokens) + 1, np.int64)
     np.add.at(edge, starts, 1)
@@ -403,13 +424,12 @@ def boilerplate(read: DataFrame, chunk: int = CHUNK_STRETCHES) -> DataFrame:
     chosen = read.select("content", "texts").join(staged(begun), "content").dropDuplicates(["content"])
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in ("content", "site", "group", "least", "at", "key", "first", "tokens")}
+        out: dict[str, list] = {k: [] for k in ("content", "site", "group", "least", "at", "key", "tokens")}
         for row in batch.to_pylist():
             tokens, ends = _stream(row["texts"])
             for start, end in stretches(np.array(row["places"]), ends):
                 run = tokens[start:end].view(np.int64)
                 out["key"].append(xxhash.xxh3_64_intdigest(run.tobytes(), row["least"]) - (1 << 63))
-                out["first"].append(xxhash.xxh3_64_intdigest(run[:RUN].tobytes()) - (1 << 63))
                 out["tokens"].append(run)
                 out["at"].append(start)
                 for k in ("content", "site", "group", "least"):
@@ -419,23 +439,39 @@ def boilerplate(read: DataFrame, chunk: int = CHUNK_STRETCHES) -> DataFrame:
     picked = staged(
         map_batches(
             chosen.select("content", "texts", "site", "group", "least", "places"), pick,
-            "content bigint, site bigint, group bigint, least bigint, at bigint, key bigint, first bigint, tokens array<bigint>",
+            "content bigint, site bigint, group bigint, least bigint, at bigint, key bigint, tokens array<bigint>",
         )
     )
-    each = picked.groupBy("site", "key", "least", "first").agg(
+    each = picked.groupBy("site", "key", "least").agg(
         F.countDistinct("group").alias("held"), F.first("tokens").alias("tokens")
     )
     each = staged(each)
     chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum(F.size("tokens")) / CHUNK_TOKENS)).alias("chunks")
     dealt = each.join(each.groupBy("site").agg(chunks), "site")
-    dealt = dealt.withColumn("part", F.xxhash64("site", F.pmod("first", "chunks")))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {k: [] for k in ("part", "site", "key", "least", "held", "begin", "tokens")}
+        for row in batch.to_pylist():
+            run = np.array(row["tokens"], np.int64)
+            for part, start, end in pieces(run.view(np.uint64), row["chunks"]):
+                out["part"].append(part)
+                out["begin"].append(start)
+                out["tokens"].append(run[start:end])
+                for k in ("site", "key", "least", "held"):
+                    out[k].append(row[k])
+        return pa.RecordBatch.from_pydict(out)
 
     def search(group: pa.Table) -> pa.Table:
         streams = [np.array(t, np.int64).view(np.uint64) for t in group.column("tokens").to_pylist()]
-        runs = repeated_runs(streams, group.column("held").to_numpy(), group.column("least").to_numpy())
-        return pa.table({"site": group.column("site"), "key": group.column("key"), "runs": pa.array(runs, pa.list_(pa.int64()))})
-
-    slim = dealt.select("part", "site", "key", "least", "held", "tokens")
+        of = {k: group.column(k).to_numpy() for k in ("held", "least", "key", "begin")}
+        runs = repeated_runs(streams, of["held"], of["least"], of["key"])
+        moved = [[at + r for r in found] for at, found in zip(of["begin"].tolist(), runs)]
+        return pa.table({"site": group.column("site"), "key": group.column("key"), "runs": pa.array(moved, pa.list_(pa.int64()))})
+
+    slim = map_batches(
+        dealt.select("site", "key", "least", "held", "tokens", "chunks"), cut,
+        "part bigint, site bigint, key bigint, least bigint, held bigint, begin bigint, tokens array<bigint>",
+    ).withColumn("part", F.xxhash64("site", "part"))
     found = slim.groupBy("part").applyInArrow(search, "site bigint, key bigint, runs array<bigint>").filter("size(runs) > 0")
     placed = picked.select("content", "site", "at", "key").join(found, ["site", "key"])
     moved = F.transform("runs", lambda r: r + F.col("at"))
