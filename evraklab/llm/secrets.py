@@ -57,8 +57,7 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = str.maketrans("~!@#$%^&*()_+{}|:\"<>?", "`1234567890-=[]\\;',./")
 LEET = str.maketrans("4301$5@7", "aeoissat")
 MIN_GUESSES = 10.0
-# In values longer than WHOLE, runs are tried up to EDGE characters and at full length only.
-WHOLE, EDGE = 200, 24
+MOST = 12  # spans of a value: log10 of 13! and of 13 words is above MIN_GUESSES
 
 
 def _near() -> dict[str, set[str]]:
@@ -86,8 +85,45 @@ def _runs(same: list[bool]) -> list[int]:
     return out
 
 
+class _Starts:
+    """Starts of a span that grows: the least of ``base + log10(end - start)``, for growing ends.
+
+    An older start that is once as cheap as a newer one stays so, as its logarithm grows less.
+    So the starts that can still win form a stack, each with the end from which the one
+    below is as cheap again.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[int, float, float]] = []
+
+    def add(self, start: int, base: float, end: int) -> None:
+        """A newer start, whose first span is up to ``end``."""
+        if self.least(end) <= base + math.log10(end - start):
+            return
+        stack = self.stack
+        until = math.inf
+        while stack:
+            older, cost, passed = stack[-1]
+            # As cheap again where (end - older) / (end - start) has fallen to 10 ** (base - cost).
+            gain = math.expm1((base - cost) * math.log(10)) if base > cost else 0.0
+            until = start + (start - older) / gain if gain > 0 else math.inf
+            if until < passed or passed == math.inf:
+                break
+            stack.pop()
+        stack.append((start, base, until))
+
+    def least(self, end: int) -> float:
+        stack = self.stack
+        while stack and stack[-1][2] <= end:
+            stack.pop()
+        return stack[-1][1] + math.log10(end - stack[-1][0]) if stack else math.inf
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for ``value``: the cheapest segmentation into known spans."""
+    """log10 of the guesses for ``value``: the cheapest segmentation into known spans.
+
+    Every length of every span is tried, whatever the value's length.
+    """
     n = len(value)
     if not n:
         return 0.0
@@ -96,16 +132,17 @@ def guess_cost(value: str) -> float:
     leet = plain.translate(LEET)
     per_char = math.log10(_alphabet(value))
     spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    repeats = {unit: _runs([value[i] == value[i + unit] for i in range(n - unit)]) + [0] * unit for unit in range(1, 5)}
+    # Runs that spans are cut from: agreeing neighbours from each place, the step and the
+    # least length of a span, and its cost but for log10 of its length.
+    runs = [
+        (_runs([value[i] == value[i + unit] for i in range(n - unit)]), unit, max(3, 2 * unit), unit * per_char - math.log10(unit))
+        for unit in range(1, 5)  # a unit of 1 to 4 characters, repeated
+    ]
     walks = _runs([low[i + 1] in NEAR.get(low[i], ()) for i in range(n - 1)])
     ups = _runs([ord(value[i + 1]) - ord(value[i]) == 1 for i in range(n - 1)])
     downs = _runs([ord(value[i + 1]) - ord(value[i]) == -1 for i in range(n - 1)])
-
-    def tried(longest: int, edge: int, inside: bool) -> list[int]:
-        """Lengths to try of a run; a long value's run also whole, where it begins."""
-        if n <= WHOLE or longest <= edge:
-            return list(range(1, longest + 1))
-        return list(range(1, edge + 1)) + ([] if inside else [longest])
+    runs.append((walks, 1, 3, math.log10(47 * 4)))  # keyboard walks
+    runs += [(ups, 1, 3, math.log10(36 * 2)), (downs, 1, 3, math.log10(36 * 2))]  # runs such as abc or 987
 
     for i in range(n):
         for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
@@ -114,32 +151,34 @@ def guess_cost(value: str) -> float:
                 case = 0.3 * sum(c.isupper() for c in value[i:j])
                 swap = 0.3 * (plain[i:j] != leet[i:j] and plain[i:j] not in RANK)
                 spans[j].append((i, math.log10(rank + 1) + case + swap))
-        for unit in range(1, 5):  # a unit of 1 to 4 characters, repeated
-            times = repeats[unit][i] // unit + 1
-            for k in tried(times, EDGE // unit, i >= unit and repeats[unit][i - unit] >= unit):
-                if k * unit >= 3 and k > 1:
-                    spans[i + k * unit].append((i, unit * per_char + math.log10(k)))
-        for k in tried(walks[i] + 1, EDGE, i > 0 and walks[i - 1] > 0):  # keyboard walks
-            if k >= 3:
-                spans[i + k].append((i, math.log10(47 * 4 * k)))
-        for k in tried(max(ups[i], downs[i]) + 1, EDGE, i > 0 and max(ups[i], downs[i]) < max(ups[i - 1], downs[i - 1])):
-            if k >= 3:  # runs such as abc or 987
-                spans[i + k].append((i, math.log10(36 * 2 * k)))
         for pattern, cost in DATES:
             if m := pattern.match(value, i):
                 spans[m.end()].append((i, cost))
     # Least cost of the first j characters cut into k spans: over all cuts, and over
-    # those whose last span is brute force and can grow by a character.
-    most = 12
-    best = [[0.0] + [math.inf] * most]
-    brute = [math.inf] * (most + 1)
+    # those whose last span is brute force and can grow by a character. Above ``MOST`` spans
+    # the order alone costs more than ``MIN_GUESSES`` leaves.
+    best = [[0.0] + [math.inf] * MOST]
+    brute = [math.inf] * (MOST + 1)
+    # Of the latest run of each kind and place within the step: its end, and its starts by k.
+    latest: list[list[tuple[int, list[_Starts]]]] = [[(-step, [])] * step for _, step, _, _ in runs]
     for j in range(1, n + 1):
         before = best[j - 1]
-        brute = [math.inf] + [min(brute[k], before[k - 1]) + per_char for k in range(1, most + 1)]
+        brute = [math.inf] + [min(brute[k], before[k - 1]) + per_char for k in range(1, MOST + 1)]
         row = list(brute)
         for i, cost in spans[j]:
-            for k in range(most):
+            for k in range(MOST):
                 row[k + 1] = min(row[k + 1], best[i][k] + cost)
+        for (agree, step, least, cost), held in zip(runs, latest):
+            i, at = j - least, j % step
+            if i >= 0 and i < len(agree) and agree[i] and agree[i] + step >= least:
+                if held[at][0] != i + agree[i]:
+                    held[at] = (i + agree[i], [_Starts() for _ in range(MOST)])
+                for k, starts in enumerate(held[at][1]):
+                    if best[i][k] < math.inf:
+                        starts.add(i, best[i][k] + cost, j)
+            if j <= held[at][0] + step:
+                for k, starts in enumerate(held[at][1]):
+                    row[k + 1] = min(row[k + 1], starts.least(j))
         best.append(row)
     return min(c + math.log10(math.factorial(k)) for k, c in enumerate(best[n]) if c < math.inf)
 
