@@ -154,17 +154,19 @@ def blocks_of_json(df: DataFrame, column: str = "payload") -> DataFrame:
 def lines_of_blocks(df: DataFrame) -> DataFrame:
     """Line table from (doc_id, page, method, blocks), one row per page.
 
-    Line numbers run through the document. A page's first number comes from the
-    block counts of the pages before it, so only (doc_id, page, count) rows are
-    windowed per document, never the lines.
+    Line numbers run through the document: a page's first number comes from the block
+    counts of the pages before it. Only whole pages are windowed, never their lines, and
+    blocks are made once. Rows of equal (doc_id, page) each take the places of all of them;
+    rows without one of the two are counted but give no lines.
     """
-    counts = df.select("doc_id", "page", F.size("blocks").alias("n"))
-    before = F.sum("n").over(
-        W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    )
-    offsets = counts.select("doc_id", "page", F.coalesce(before, F.lit(0)).alias("offset"))
+    pages = W.partitionBy("doc_id").orderBy("page")
+    before = F.sum(F.size("blocks")).over(pages.rowsBetween(W.unboundedPreceding, -1))
+    placed = df.withColumn("_before", F.coalesce(before, F.lit(0)))
+    offsets = F.collect_list("_before").over(W.partitionBy("doc_id", "page"))
     return (
-        df.join(offsets, ["doc_id", "page"])
+        placed.withColumn("_offsets", offsets)
+        .where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+        .withColumn("offset", F.explode("_offsets"))
         .select("doc_id", "page", "method", "offset", F.posexplode("blocks").alias("pos", "b"))
         .select(
             "doc_id",
