@@ -96,12 +96,50 @@ def document_states(lines: DataFrame, separator: str = " ") -> DataFrame:
         F.sum("blocks").alias("n_lines"),
         F.sum("conf_n").alias("known"),
     )
+    return _told(merged.withColumn("lines", F.flatten("lines")), separator)
+
+
+def nested_states(documents: DataFrame, separator: str = " ") -> DataFrame:
+    """``document_states`` of documents that carry their ``lines`` in their own row; nothing is moved.
+
+    The other columns stay. Documents without a line are left out. Each line is a run of its
+    own in ``pages``.
+    """
+
+    def line(l: Column) -> Column:
+        text = F.coalesce(l["text"], F.lit(""))
+        return F.struct(l["line_no"].alias("line_no"), text.alias("text"), l["confidence"].alias("confidence"))
+
+    def run(l: Column) -> Column:
+        return F.struct(
+            l["page"].alias("page"),
+            F.lit(1).cast("bigint").alias("blocks"),
+            F.length(l["text"]).cast("bigint").alias("chars"),
+            l["confidence"].alias("conf_sum"),
+            l["confidence"].isNotNull().cast("bigint").alias("conf_n"),
+        )
+
+    some = documents.where(F.size("lines") > 0)
+    merged = some.withColumns(
+        {
+            "lines": F.transform("lines", line),
+            "pages": F.array_sort(F.transform("lines", run)),
+            "n_lines": F.size("lines").cast("bigint"),
+            "known": F.size(F.filter("lines", lambda l: l["confidence"].isNotNull())),
+        }
+    )
+    return _told(merged, separator)
+
+
+def _told(merged: DataFrame, separator: str) -> DataFrame:
+    """Text, mean confidence and ordered lines of documents whose ``lines`` have been gathered."""
     # Runs of two pages can interleave, so order is restored over the whole document. The
     # confidences are summed in it, so that the mean does not depend on the runs.
-    ordered = merged.withColumn("lines", F.array_sort(F.flatten("lines")))
+    ordered = merged.withColumn("lines", F.array_sort("lines"))
     total = F.aggregate("lines", F.lit(0.0), lambda a, l: a + F.coalesce(l["confidence"], F.lit(0.0)))
+    told = ("lines", "pages", "n_lines", "known")
     return ordered.select(
-        "doc_id",
+        *[c for c in merged.columns if c not in told],
         joined(F.col("lines"), "text", separator).alias("raw_text"),
         "n_lines",
         F.when(F.col("known") > 0, total / F.col("n_lines")).alias("mean_confidence"),

@@ -43,6 +43,7 @@ from evraklab.operators.replies import parse_replies
 from evraklab.operators.validate import with_validation
 
 
+MANIFEST = ("task_id", "filename", "key_id", "processing_time")
 METRICS = ("total_blocks", "total_chars", "page_count", "block_variance", "confidence_variance")
 
 
@@ -103,16 +104,48 @@ def process_documents(
     if documents is not None:
         documents = one_of_each(documents)
     reply_columns = ["doc_id", "reply"] + ([entries] if entries else [])
-    # Taking one per document spreads them by document before the parse.
     spread = one_of_each(replies.select(*reply_columns))
-    parsed = parse_replies(spread, "reply", entries)
-    read = with_settled(
-        read_reply_fields(parsed).select(
-            "doc_id", "reply_status", "reply_msg", "reply_confidence", "reply_fields"
-        ),
-        {"reply_fields": F.col("reply_fields")},
+    results = results_of(
+        document_states(lines),
+        spread,
+        documents,
+        entries=entries,
+        rules=rules,
+        subtypes=subtypes,
+        with_evidence=with_evidence,
+        fuzzy_evidence=fuzzy_evidence,
+        with_metrics=with_metrics,
+        auto_approve_min_trust=auto_approve_min_trust,
+        high_value=high_value,
     )
-    states = document_states(lines)
+    if documents is None:
+        rejects = early_rejects(lines.select("doc_id").limit(0), lines)
+    else:
+        rejects = early_rejects(documents, lines)
+    return Outcome(results, rejects)
+
+
+def results_of(
+    states: DataFrame,
+    replies: DataFrame | None = None,
+    documents: DataFrame | None = None,
+    *,
+    entries: str | None = None,
+    rules: Sequence[Rule] | DataFrame = RULES,
+    subtypes: Sequence[Subtype] = SUBTYPES,
+    with_evidence: bool = True,
+    fuzzy_evidence: bool = True,
+    with_metrics: bool = True,
+    auto_approve_min_trust: float = AUTO_APPROVE_MIN_TRUST,
+    high_value: float = HIGH_VALUE,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """The results of ``process_documents`` from ``document_states`` or ``nested_states``.
+
+    ``replies`` and ``documents`` have one row per document. Without ``replies`` the states
+    carry the reply (and its entries), and without ``documents`` the manifest's columns if
+    there are any; nothing is joined then. ``keep`` names more columns of the states to keep.
+    """
     near = None
     if isinstance(rules, DataFrame):
         few = small_rules(rules)
@@ -124,7 +157,12 @@ def process_documents(
     if with_metrics:
         states = states.withColumn("metrics", metrics_of_pages(F.col("pages")))
         metrics = {name: F.col("metrics")[name] for name in METRICS}
-    joined = states.drop("pages").join(read, "doc_id", "left")
+    # Replies meet their lines as short texts, not as the wide rows they are parsed to. A
+    # document without one gets what parsing a null gives.
+    answered = states.drop("pages")
+    if replies is not None:
+        answered = answered.join(replies, "doc_id", "left")
+    joined = _read(answered, entries)
     evidence_map = None
     if with_evidence:
         evidence_map = "evidence"
@@ -135,26 +173,25 @@ def process_documents(
         )
     else:
         joined = joined.drop("lines")
-    answered = joined.withColumns(
-        {
-            "reply_status": F.coalesce("reply_status", F.lit("ERROR")),
-            "reply_msg": F.when(F.col("reply_status").isNull(), "no reply").otherwise(
-                F.col("reply_msg")
-            ),
-        }
-    )
     if near is None:
-        classified = with_classification(answered, "raw_text", rules, subtypes)
+        classified = with_classification(joined, "raw_text", rules, subtypes)
     else:
-        classified = with_classification_of(answered.join(near, "doc_id", "left"), "raw_text", subtypes)
+        classified = with_classification_of(joined.join(near, "doc_id", "left"), "raw_text", subtypes)
     classified = classified.withColumn("category", F.col("classification.domain"))
     extracted = with_extraction(classified, "raw_text", "category", evidence_map)
-    results = _named(_decided(extracted, auto_approve_min_trust, high_value), documents, metrics)
-    if documents is None:
-        rejects = early_rejects(lines.select("doc_id").limit(0), lines)
-    else:
-        rejects = early_rejects(documents, lines)
-    return Outcome(results, rejects)
+    return _named(_decided(extracted, auto_approve_min_trust, high_value), documents, metrics, keep)
+
+
+def _read(df: DataFrame, entries: str | None) -> DataFrame:
+    """Put ``reply_status``, ``reply_msg``, ``reply_confidence`` and ``reply_fields`` in the reply's place."""
+    kept = [c for c in df.columns if c not in ("reply", entries)]
+    parsed = parse_replies(df, "reply", entries)
+    return with_settled(
+        read_reply_fields(parsed).select(
+            *kept, "reply_status", "reply_msg", "reply_confidence", "reply_fields"
+        ),
+        {"reply_fields": F.col("reply_fields")},
+    )
 
 
 def _decided(df: DataFrame, auto_approve_min_trust: float, high_value: float) -> DataFrame:
@@ -193,8 +230,11 @@ def _decided(df: DataFrame, auto_approve_min_trust: float, high_value: float) ->
     )
 
 
-def _named(df: DataFrame, documents: DataFrame | None, metrics: dict[str, Column]) -> DataFrame:
+def _named(
+    df: DataFrame, documents: DataFrame | None, metrics: dict[str, Column], keep: Sequence[str] = ()
+) -> DataFrame:
     """Final columns, with the manifest's names where there is one."""
+    known = [c for c in MANIFEST if c in (df if documents is None else documents).columns]
     manifest = {
         "task_id": F.col("doc_id").cast("string"),
         "filename": F.lit(None).cast("string"),
@@ -202,10 +242,9 @@ def _named(df: DataFrame, documents: DataFrame | None, metrics: dict[str, Column
         "processing_time": F.lit(0.0),
     }
     if documents is not None:
-        known = [c for c in manifest if c in documents.columns]
         df = df.join(documents.select("doc_id", *known), "doc_id", "left")
-        for name in known:
-            manifest[name] = F.coalesce(name, manifest[name]) if name != "filename" else F.col(name)
+    for name in known:
+        manifest[name] = F.coalesce(name, manifest[name]) if name != "filename" else F.col(name)
 
     # Report and decision also travel inside the data record.
     data = F.col("data").withField("validation_report", F.col("validation_report")).withField(
@@ -244,4 +283,5 @@ def _named(df: DataFrame, documents: DataFrame | None, metrics: dict[str, Column
         "reply_status",
         "reply_confidence",
         *metrics,
+        *keep,
     )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evraklab.plans.documents import process_documents
+from evraklab.operators.doc_text import nested_states
+from evraklab.plans.documents import results_of
 from evraklab.schemas import OCR_DOCUMENT
 from evraklab.sinks.store import append_results, to_store_rows
 
@@ -28,17 +29,15 @@ def lines_of(documents: DataFrame) -> DataFrame:
 def process_landed(documents: DataFrame, **options) -> DataFrame:
     """Store rows of a batch of landed documents; blank ones are left out.
 
-    A document delivered twice is taken once, before its lines are spread: the latest
+    A document delivered twice is taken once, the latest
     by ``received_at``. A document without a task id goes by its own id.
     """
     order = F.struct("received_at", F.xxhash64(*documents.columns))
     packed = documents.groupBy("doc_id").agg(F.max_by(F.struct(*documents.columns), order).alias("_d"))
-    once = packed.select("_d.*")
-    replies = once.select("doc_id", "reply")
-    manifest = once.select("doc_id", "task_id", "filename", "key_id")
-    results = process_documents(lines_of(once), replies, manifest, **options).results
-    dated = results.join(once.select("doc_id", "received_at"), "doc_id")
-    return to_store_rows(dated, F.coalesce("received_at", F.current_timestamp()))
+    # Lines, reply and manifest of a document are in its row, so they never part to be joined.
+    once = packed.where(F.col("doc_id").isNotNull()).select("_d.*")
+    results = results_of(nested_states(once), keep=["received_at"], **options)
+    return to_store_rows(results, F.coalesce("received_at", F.current_timestamp()))
 
 
 def ingest(
