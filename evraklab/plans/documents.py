@@ -157,12 +157,18 @@ def results_of(
     if with_metrics:
         states = states.withColumn("metrics", metrics_of_pages(F.col("pages")))
         metrics = {name: F.col("metrics")[name] for name in METRICS}
-    # Replies meet their lines as short texts, not as the wide rows they are parsed to. A
-    # document without one gets what parsing a null gives.
-    answered = states.drop("pages")
-    if replies is not None:
-        answered = answered.join(replies, "doc_id", "left")
-    joined = _read(answered, entries)
+    states = states.drop("pages")
+    if replies is None:
+        joined = _read(states, entries)
+    else:
+        joined = states.join(_read(replies, entries), "doc_id", "left").withColumns(
+            {
+                "reply_status": F.coalesce("reply_status", F.lit("ERROR")),
+                "reply_msg": F.when(F.col("reply_status").isNull(), "no reply").otherwise(
+                    F.col("reply_msg")
+                ),
+            }
+        )
     evidence_map = None
     if with_evidence:
         evidence_map = "evidence"
