@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evraklab.functions.lang import let
+
 # Characters a recogniser confuses with digits. The euro sign is
 # read as a 6; TL, $ and ~ carry no digits and are dropped.
 LOOKALIKES = {
@@ -45,4 +47,4 @@ def parse_clean_amount(clean: Column) -> Column:
 
 def parse_amount(text: Column) -> Column:
     """Amount of a string: a lone comma is decimal, otherwise the right-most mark is."""
-    return parse_clean_amount(clean_amount(text))
+    return let(clean_amount(text), parse_clean_amount)

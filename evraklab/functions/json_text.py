@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from evraklab.functions.amounts import parse_amount
 from evraklab.functions.lang import float_text, strip
 
 FENCED = r"(?s)```json\s*(.*?)\s*```"
+# From the first opening brace to the last closing one; anchored, so the text is read once.
+BRACES = r"(?s)^[^{]*+(\{.*\})?"
 REPLY_PATH = "$.candidates[0].content.parts[0].text"
 
 
@@ -19,14 +23,11 @@ def reply_text(body: Column) -> Column:
 
 def cut_json(text: Column) -> Column:
     """The JSON part of a reply: a fenced block, else first ``{`` to last ``}``, else all."""
-    first = F.instr(text, "{")
-    from_end = F.instr(F.reverse(text), "}")
-    last = F.length(text) - from_end + 1
+    none = ~F.contains(text, F.lit("{")) | ~F.contains(text, F.lit("}"))
     return (
         F.when(F.rlike(text, F.lit(FENCED)), strip(F.regexp_extract(text, FENCED, 1)))
-        .when((first == 0) | (from_end == 0), strip(text))
-        .when(first > last, F.lit(""))
-        .otherwise(F.substring(text, first, last - first + 1))
+        .when(none, strip(text))
+        .otherwise(F.regexp_extract(text, BRACES, 1))
     )
 
 
@@ -37,18 +38,30 @@ FRACTIONS = NUMBERS[1:]
 def kind(value: Column) -> Column:
     """Type word of a VARIANT: STRING, BOOLEAN, BIGINT, DECIMAL, DOUBLE, OBJECT, ARRAY,
     VOID for a JSON null; MISSING for no value at all."""
-    word = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    word = F.substring_index(F.substring_index(F.schema_of_variant(value), "(", 1), "<", 1)
     return F.coalesce(word, F.lit("MISSING"))
 
 
+def is_object(value: Column, path: str = "$") -> Column:
+    """Whether a VARIANT has an object at a path; unlike ``kind`` this does not look into it."""
+    return F.try_variant_get(value, path, "struct<>").isNotNull()
+
+
+def parts_of(value: Column) -> dict[str, Column]:
+    """``kind`` and ``raw``: a VARIANT's type word and its cast to string."""
+    return {"kind": kind(value), "raw": F.try_variant_get(value, "$", "string")}
+
+
 def typed(value: Column) -> Column:
-    """struct(kind, raw): a VARIANT's type word and its cast to string."""
-    return F.struct(
-        kind(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("raw")
-    )
+    """struct(kind, raw) of ``parts_of``."""
+    return F.struct(*[part.alias(name) for name, part in parts_of(value).items()])
 
 
-def text_of(t: Column) -> Column:
+# Below, ``t`` is a ``typed`` value, or a mapping of its two names to columns.
+Typed = Column | Mapping[str, Column]
+
+
+def text_of(t: Typed) -> Column:
     """Text of a ``typed`` value as lines are compared with it: ``250.0``, ``True``."""
     return (
         F.when(t["kind"].isin(*FRACTIONS), float_text(t["raw"].try_cast("double")))
@@ -57,7 +70,7 @@ def text_of(t: Column) -> Column:
     )
 
 
-def is_truthy(t: Column) -> Column:
+def is_truthy(t: Typed) -> Column:
     """False for a missing value, null, '', zero, false and an empty container."""
     k, raw = t["kind"], t["raw"]
     return (
@@ -68,23 +81,17 @@ def is_truthy(t: Column) -> Column:
     )
 
 
-def describe_all(values: Column) -> Column:
-    """array of struct(kind, raw, text, truthy) of an array of VARIANTs.
-
-    One lambda per step serves all values, which keeps the plan small.
-    """
-    return F.transform(
-        F.transform(values, typed),
-        lambda t: F.struct(
-            t["kind"].alias("kind"),
-            t["raw"].alias("raw"),
-            text_of(t).alias("text"),
-            is_truthy(t).alias("truthy"),
-        ),
+def described(t: Typed) -> Column:
+    """struct(kind, raw, text, truthy) of a ``typed`` value."""
+    return F.struct(
+        t["kind"].alias("kind"),
+        t["raw"].alias("raw"),
+        text_of(t).alias("text"),
+        is_truthy(t).alias("truthy"),
     )
 
 
-def amount_of(t: Column) -> Column:
+def amount_of(t: Typed) -> Column:
     """Number of a ``typed`` value: numbers lose their sign, strings are parsed."""
     return (
         F.when(t["kind"].isin("MISSING", "VOID"), F.lit(0.0))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evraklab.functions.lang import null_if_empty
-
 # Patterns and keywords, in order of preference.
 IBAN_LENGTH = 26
 IBAN_SHORT_TAIL = r"(?U)TR\d{2}[\s\d]{22,28}"
@@ -34,18 +32,21 @@ def first_iban(text: Column) -> Column:
     return F.get(_ibans(text, IBAN_SHORT_TAIL), F.lit(0))
 
 
+def _first_match(text: Column, pattern: str, group: int) -> Column:
+    """A group of the first match, null without one."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def first_date(text: Column) -> Column:
     """First DD.MM.YYYY or DD/MM/YYYY as YYYY-MM-DD; the calendar is not checked."""
-    hit = null_if_empty(F.regexp_extract(text, DATE, 0))
-    year, month, day = F.substring(hit, 7, 4), F.substring(hit, 4, 2), F.substring(hit, 1, 2)
-    return F.concat(year, F.lit("-"), month, F.lit("-"), day)
+    return F.regexp_replace(_first_match(text, DATE, 0), r"(?s)^(..).(..).(....)$", "$3-$2-$1")
 
 
 def reference_number(text: Column, keywords: tuple[str, ...] = REFERENCE_KEYWORDS) -> Column:
     """Digits after the first keyword, in keyword order, that is followed by any."""
     return F.coalesce(
         *[
-            null_if_empty(F.regexp_extract(text, rf"(?iU)\Q{word}\E{REFERENCE_TAIL}", 1))
+            _first_match(text, rf"(?iU)\Q{word}\E{REFERENCE_TAIL}", 1)
             for word in keywords
         ]
     )

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evraklab.functions.lang import listed
 from evraklab.operators.doc_text import document_texts
 
 UNKNOWN = "UNKNOWN"
@@ -187,9 +188,7 @@ def with_classification(
         "_found",
         F.struct(
             *[
-                F.array_compact(
-                    F.array(*[F.when(F.contains("_upper", F.lit(s)), F.lit(s)) for s in r.signals])
-                ).alias(f"r{i}")
+                listed("string", *[(F.contains("_upper", F.lit(s)), F.lit(s)) for s in r.signals]).alias(f"r{i}")
                 for i, r in enumerate(rules)
             ]
         ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evraklab.functions.lang import float_text
+from evraklab.functions.lang import float_text, listed
 from evraklab.schemas import ANALYSIS_FIELDS
 
 # Weights and thresholds of the rules.
@@ -24,8 +24,8 @@ def overall_trust(mean_confidence: Column, reply_status: Column) -> Column:
 def flagged_fields(extraction: Column) -> Column:
     """Number of analysis fields marked for review."""
     analysis = extraction["document_analysis"]
-    marks = F.array(*[analysis[n]["review_required"] for n in ANALYSIS_FIELDS])
-    return F.size(F.filter(marks, lambda m: F.coalesce(m, F.lit(False))))
+    marks = [F.coalesce(analysis[n]["review_required"], F.lit(False)) for n in ANALYSIS_FIELDS]
+    return sum((m.cast("int") for m in marks), F.lit(0))
 
 
 def provisional_status(reply_status: Column, report_status: Column, trust: Column) -> Column:
@@ -73,48 +73,46 @@ def with_decision(
     failed = F.coalesce(status == "FAILED", F.lit(False))
     if ocr_status is not None:
         failed = failed | F.coalesce(ocr_status == "FAILED", F.lit(False))
-    escalations = F.array_compact(
-        F.array(
-            F.when(
-                value >= high_value,
-                F.concat(
-                    F.lit("Transaction amount ("),
-                    float_text(value),
-                    F.lit(") exceeds escalation threshold"),
-                ),
-            ),
-            F.when(
-                report_status == "ERROR",
-                F.lit("Severe mathematical or logical mismatch detected in validation"),
+    escalations = listed(
+        "string",
+        (
+            value >= high_value,
+            F.concat(
+                F.lit("Transaction amount ("),
+                float_text(value),
+                F.lit(") exceeds escalation threshold"),
             ),
-            F.when(
-                ~has_sender & ~has_receiver,
-                F.lit("Both sender and receiver are missing from extraction"),
-            ),
-        )
+        ),
+        (
+            report_status == "ERROR",
+            F.lit("Severe mathematical or logical mismatch detected in validation"),
+        ),
+        (
+            ~has_sender & ~has_receiver,
+            F.lit("Both sender and receiver are missing from extraction"),
+        ),
     )
-    doubts = F.array_compact(
-        F.array(
-            F.when(
-                trust < auto_approve_min_trust,
-                F.format_string("Trust score (%.2f) is below auto-approval threshold", trust),
-            ),
-            F.when(
-                ~report_status.eqNullSafe(F.lit("SUCCESS")),
-                F.concat(
-                    F.lit("Validation report status is "),
-                    F.coalesce(report_status, F.lit("None")),
-                ),
+    doubts = listed(
+        "string",
+        (
+            trust < auto_approve_min_trust,
+            F.format_string("Trust score (%.2f) is below auto-approval threshold", trust),
+        ),
+        (
+            ~report_status.eqNullSafe(F.lit("SUCCESS")),
+            F.concat(
+                F.lit("Validation report status is "),
+                F.coalesce(report_status, F.lit("None")),
             ),
-            F.when(
-                flagged > 0,
-                F.concat(
-                    F.lit("Extraction contains "),
-                    flagged.cast("string"),
-                    F.lit(" flagged fields requiring review"),
-                ),
+        ),
+        (
+            flagged > 0,
+            F.concat(
+                F.lit("Extraction contains "),
+                flagged.cast("string"),
+                F.lit(" flagged fields requiring review"),
             ),
-        )
+        ),
     )
 
     def result(action: Column, risk: Column, review: bool, reasons: Column) -> Column:

@@ -1,9 +1,10 @@
 """Document text out of line rows.
 
-Lines are first gathered in runs of ``CHUNK_LINES`` consecutive line numbers.
+``document_texts`` first gathers lines in runs of ``CHUNK_LINES`` consecutive line numbers.
 A document that holds a large share of all lines is thereby spread over many
 tasks; only the joined runs, which together form the one text cell the result
-asks for, meet under the document key.
+asks for, meet under the document key. ``document_states``, whose result holds the
+lines themselves, gathers them by document at once.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def line_chunks(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
         )
         .groupBy("doc_id", "chunk")
         .agg(
-            F.array_sort(F.collect_list("line")).alias("lines"),
+            F.sort_array(F.collect_list("line")).alias("lines"),
             F.count("*").alias("n_lines"),
             F.sum("confidence").alias("conf_sum"),
         )
@@ -50,7 +51,7 @@ def texts_of_chunks(chunks: DataFrame, separator: str = " ") -> DataFrame:
         chunks.select("doc_id", part.alias("part"), "n_lines", "conf_sum")
         .groupBy("doc_id")
         .agg(
-            F.array_sort(F.collect_list("part")).alias("parts"),
+            F.sort_array(F.collect_list("part")).alias("parts"),
             F.sum("n_lines").alias("n_lines"),
             F.sum("conf_sum").alias("conf_sum"),
         )
@@ -68,35 +69,32 @@ def document_states(lines: DataFrame, separator: str = " ") -> DataFrame:
 
     (doc_id, raw_text, n_lines, mean_confidence, lines, pages): ``lines`` is the ordered
     array of struct(line_no, text, confidence), ``pages`` one struct(page, blocks, chars, conf_sum,
-    conf_n) for each run of a page, ordered by page. A run is what one page has of
-    ``CHUNK_LINES`` line numbers; its counts merge with those of the page's other runs.
+    conf_n) for each line, ordered by page; metrics add up those of a page. All lines of a
+    document meet in its row in any case, so they are gathered by the document at once.
     """
-    runs = (
+    text = F.coalesce("text", F.lit(""))
+    merged = (
         lines.select(
             "doc_id",
-            chunk_of(F.col("line_no")).alias("chunk"),
-            "page",
-            F.struct("line_no", F.coalesce("text", F.lit("")).alias("text"), "confidence").alias("line"),
-            F.length("text").alias("chars"),
+            F.struct("line_no", text.alias("text"), "confidence").alias("line"),
+            F.struct(
+                "page",
+                F.lit(1).cast("bigint").alias("blocks"),
+                F.length("text").cast("bigint").alias("chars"),
+                F.col("confidence").alias("conf_sum"),
+                F.col("confidence").isNotNull().cast("bigint").alias("conf_n"),
+            ).alias("run"),
             "confidence",
         )
-        .groupBy("doc_id", "chunk", "page")
+        .groupBy("doc_id")
         .agg(
-            F.array_sort(F.collect_list("line")).alias("lines"),
-            F.count("*").alias("blocks"),
-            F.sum("chars").alias("chars"),
-            F.sum("confidence").alias("conf_sum"),
-            F.count("confidence").alias("conf_n"),
+            F.collect_list("line").alias("lines"),
+            F.sort_array(F.collect_list("run")).alias("pages"),
+            F.count("*").alias("n_lines"),
+            F.count("confidence").alias("known"),
         )
     )
-    counts = F.struct("page", "blocks", "chars", "conf_sum", "conf_n")
-    merged = runs.groupBy("doc_id").agg(
-        F.collect_list("lines").alias("lines"),
-        F.array_sort(F.collect_list(counts)).alias("pages"),
-        F.sum("blocks").alias("n_lines"),
-        F.sum("conf_n").alias("known"),
-    )
-    return _told(merged.withColumn("lines", F.flatten("lines")), separator)
+    return _told(merged, separator)
 
 
 def nested_states(documents: DataFrame, separator: str = " ") -> DataFrame:
@@ -123,7 +121,7 @@ def nested_states(documents: DataFrame, separator: str = " ") -> DataFrame:
     merged = some.withColumns(
         {
             "lines": F.transform("lines", line),
-            "pages": F.array_sort(F.transform("lines", run)),
+            "pages": F.sort_array(F.transform("lines", run)),
             "n_lines": F.size("lines").cast("bigint"),
             "known": F.size(F.filter("lines", lambda l: l["confidence"].isNotNull())),
         }
@@ -133,9 +131,9 @@ def nested_states(documents: DataFrame, separator: str = " ") -> DataFrame:
 
 def _told(merged: DataFrame, separator: str) -> DataFrame:
     """Text, mean confidence and ordered lines of documents whose ``lines`` have been gathered."""
-    # Runs of two pages can interleave, so order is restored over the whole document. The
-    # confidences are summed in it, so that the mean does not depend on the runs.
-    ordered = merged.withColumn("lines", F.array_sort("lines"))
+    # The confidences are summed in the order of the lines, so that the mean does not depend
+    # on the order in which they were gathered.
+    ordered = merged.withColumn("lines", F.sort_array("lines"))
     total = F.aggregate("lines", F.lit(0.0), lambda a, l: a + F.coalesce(l["confidence"], F.lit(0.0)))
     told = ("lines", "pages", "n_lines", "known")
     return ordered.select(

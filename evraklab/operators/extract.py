@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from evraklab.functions.json_text import (
     amount_of,
-    describe_all,
+    described,
+    is_object,
     is_truthy,
-    kind,
+    parts_of,
     text_of,
     typed,
 )
@@ -59,20 +60,27 @@ def _adjustments(values: Column) -> Column:
     def part(x: Column, name: str) -> Column:
         return F.try_variant_get(x, f"$.{name}", "variant")
 
+    def found(x: Column) -> Column:
+        return F.struct(
+            x.alias("item"),
+            part(x, "group_name").alias("group"),
+            part(x, "total_impact").alias("total"),
+            part(x, "breakdown").alias("breakdown"),
+        )
+
     def open_up(x: Column) -> Column:
-        parts = F.try_variant_get(x, "$.breakdown", "map<string,variant>")
+        parts = F.try_variant_get(x["breakdown"], "$", "map<string,variant>")
         return F.struct(
-            kind(x).alias("kind"),
-            typed(part(x, "group_name")).alias("group"),
-            typed(part(x, "total_impact")).alias("total"),
-            kind(part(x, "breakdown")).alias("shape"),
+            (is_object(x["item"]) & (x["breakdown"].isNull() | is_object(x["breakdown"]))).alias("ok"),
+            typed(x["group"]).alias("group"),
+            typed(x["total"]).alias("total"),
             F.transform_values(parts, lambda _, y: typed(y)).alias("parts"),
         )
 
     def read(a: Column) -> Column:
         amounts = F.transform_values(a["parts"], lambda _, t: amount_of(t))
         return F.struct(
-            ((a["kind"] == "OBJECT") & a["shape"].isin("MISSING", "OBJECT")).alias("ok"),
+            a["ok"].alias("ok"),
             F.struct(
                 a["group"]["kind"].alias("kind"), text_of(a["group"]).alias("text")
             ).alias("group"),
@@ -84,7 +92,7 @@ def _adjustments(values: Column) -> Column:
             F.coalesce(amounts, F.create_map().cast("map<string,double>")).alias("breakdown"),
         )
 
-    return F.transform(F.transform(values, open_up), read)
+    return F.transform(F.transform(F.transform(values, found), open_up), read)
 
 
 ROOT = "$.financial_hierarchy.root_transaction"
@@ -105,29 +113,36 @@ def read_reply_fields(df: DataFrame) -> DataFrame:
     transaction, adjustment or breakdown that is not an object.
     """
     v = F.col("reply_json")
-    values = F.array(*[F.variant_get(v, path, "variant") for path in PATHS.values()])
-    opened = df.select(
+    found = df.select(
         "*",
-        describe_all(values).alias("_all"),
-        F.try_variant_get(v, LIST, "array<variant>").alias("_list"),
-        kind(F.variant_get(v, LIST, "variant")).alias("_list_kind"),
-        kind(F.variant_get(v, ROOT, "variant")).alias("_root_kind"),
+        *[F.variant_get(v, path, "variant").alias(f"_at_{n}") for n, path in PATHS.items()],
+        F.variant_get(v, LIST, "variant").alias("_at_list"),
+        F.variant_get(v, ROOT, "variant").isNull().alias("_no_root"),
     )
-    at = {n: F.get("_all", F.lit(i)) for i, n in enumerate(PATHS)}
+    opened = found.select(
+        *df.columns,
+        "_at_list",
+        "_no_root",
+        *[part.alias(f"_{name}_{n}") for n in PATHS for name, part in parts_of(F.col(f"_at_{n}")).items()],
+        F.try_variant_get("_at_list", "$", "array<variant>").alias("_list"),
+    )
+    # Plain columns: the planner copies a struct's parts into every place that reads one of them.
+    at = {n: {name: F.col(f"_{name}_{n}") for name in ("kind", "raw")} for n in PATHS}
     read = opened.withColumn(
         "_adj", F.coalesce(_adjustments(F.col("_list")), F.array().cast(NO_ADJUSTMENTS))
     ).withColumn("_amount", amount_of(at["amount"]))
     # A non-list is only harmless when iterating it yields nothing.
-    harmless = F.col("_list_kind").isin("MISSING", "ARRAY") | (
-        F.col("_list_kind").isin("OBJECT", "STRING")
-        & F.try_variant_get(v, LIST, "string").isin("", "{}")
+    harmless = (
+        F.col("_at_list").isNull()
+        | F.col("_list").isNotNull()
+        | F.coalesce(F.try_variant_get("_at_list", "$", "string").isin("", "{}"), F.lit(False))
     )
     malformed = (
         ~harmless
-        | ~F.col("_root_kind").isin("MISSING", "OBJECT")
+        | ~(F.col("_no_root") | is_object(v, ROOT))
         | F.exists("_adj", lambda a: ~a["ok"])
     )
-    given = [at[n].alias(n) for n in PATHS]
+    given = [described(at[n]).alias(n) for n in PATHS]
     fields = F.struct(
         *given,
         F.col("_amount").alias("root_amount"),
@@ -156,8 +171,8 @@ def evidence_targets(fields: Column) -> Column:
     return F.array_compact(F.concat(F.array(*single), listed))
 
 
-def fallbacks(fields: Column, text: Column, ibans: Column) -> dict[str, tuple[Column, Column]]:
-    """Values of the four fields the text can supply, each with its source.
+def fallbacks(fields: Column, text: Column, ibans: Column) -> dict[str, Column]:
+    """Values of the four fields the text can supply; ``source_of`` tells where each is from.
 
     Only the first account number found is ever used to fill a single missing
     side, and only when it is not the other side's.
@@ -169,10 +184,6 @@ def fallbacks(fields: Column, text: Column, ibans: Column) -> dict[str, tuple[Co
     def own(name: str) -> Column:
         return fields[name]["text"]
 
-    def sourced(name: str, value: Column) -> tuple[Column, Column]:
-        filled = ~given(name) & (F.coalesce(value, F.lit("")) != "")
-        return value, F.when(filled, F.lit(FROM_TEXT)).otherwise(F.lit(FROM_REPLY))
-
     n = F.size(ibans)
     first, second = F.get(ibans, F.lit(0)), F.get(ibans, F.lit(1))
     neither = ~given("sender_iban") & ~given("receiver_iban")
@@ -190,21 +201,23 @@ def fallbacks(fields: Column, text: Column, ibans: Column) -> dict[str, tuple[Co
         .otherwise(own("receiver_iban"))
     )
     return {
-        "transaction_id": sourced(
-            "transaction_id",
-            F.when(given("transaction_id"), own("transaction_id")).otherwise(
-                reference_number(text)
-            ),
+        "transaction_id": F.when(given("transaction_id"), own("transaction_id")).otherwise(
+            reference_number(text)
         ),
-        "transaction_date": sourced(
-            "transaction_date",
-            F.when(given("transaction_date"), own("transaction_date")).otherwise(first_date(text)),
+        "transaction_date": F.when(given("transaction_date"), own("transaction_date")).otherwise(
+            first_date(text)
         ),
-        "sender_iban": sourced("sender_iban", sender),
-        "receiver_iban": sourced("receiver_iban", receiver),
+        "sender_iban": sender,
+        "receiver_iban": receiver,
     }
 
 
+def source_of(field: Column, value: Column) -> Column:
+    """Where the value of a field comes from that the text may have filled."""
+    filled = ~field["truthy"] & (F.coalesce(value, F.lit("")) != "")
+    return F.when(filled, F.lit(FROM_TEXT)).otherwise(F.lit(FROM_REPLY))
+
+
 def _or_default(field: Column, default: Column | str) -> Column:
     """The default stands in for a missing key, not for a JSON null."""
     value = F.lit(default) if isinstance(default, str) else default
@@ -227,21 +240,13 @@ def with_extraction(
     scanned = df.withColumn("_ibans", F.when(usable, all_ibans(F.col(text))))
     filled = fallbacks(fields, F.col(text), F.coalesce("_ibans", F.array().cast("array<string>")))
     found = scanned.withColumn(
-        "_filled",
-        F.when(
-            usable,
-            F.struct(
-                *[
-                    F.struct(value.alias("value"), source.alias("source")).alias(name)
-                    for name, (value, source) in filled.items()
-                ]
-            ),
-        ),
+        "_filled", F.when(usable, F.struct(*[value.alias(name) for name, value in filled.items()]))
     )
 
     def analysis_field(name: str) -> Column:
         if name in filled:
-            return audited(F.col(f"_filled.{name}.value"), F.col(f"_filled.{name}.source"))
+            value = F.col(f"_filled.{name}")
+            return audited(value, source_of(fields[name], value))
         if name == "type":
             return audited(_or_default(fields["type"], F.col(category)))
         if name in ANALYSIS_DEFAULTS:

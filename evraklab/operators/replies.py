@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evraklab.functions.json_text import cut_json, kind
-from evraklab.functions.lang import with_settled
+from evraklab.functions.json_text import cut_json, is_object
+from evraklab.functions.lang import listed
 from evraklab.functions.pii import unmask
 
 # The objects a reply must hold.
@@ -28,12 +28,10 @@ def parse_replies(df: DataFrame, reply: str = "reply", entries: str | None = Non
     paths = {name: f"$.{name}" for name in REQUIRED_OBJECTS}
     kinds = parsed.select(
         "*",
-        *[kind(F.variant_get("_v", path, "variant")).alias(f"_k_{n}") for n, path in paths.items()],
+        *[is_object(F.col("_v"), path).alias(f"_k_{n}") for n, path in paths.items()],
         F.try_variant_get("_v", "$.engine_report.trust_score", "double").alias("_trust"),
     )
-    bad = F.array_compact(
-        F.array(*[F.when(F.col(f"_k_{n}") != "OBJECT", F.lit(n)) for n in REQUIRED_OBJECTS])
-    )
+    bad = listed("string", *[(~F.col(f"_k_{n}"), F.lit(n)) for n in REQUIRED_OBJECTS])
     msg = (
         F.when(F.col(reply).isNull(), "no reply")
         .when(F.col("_v").isNull(), "reply is not valid JSON")
@@ -44,10 +42,8 @@ def parse_replies(df: DataFrame, reply: str = "reply", entries: str | None = Non
     )
     checked = kinds.withColumn("_bad", bad).withColumn("reply_msg", msg)
     ok = F.col("reply_msg").isNull()
-    result = with_settled(
-        checked,
+    result = checked.withColumns(
         {
-            "reply_msg": F.col("reply_msg"),
             "reply_status": F.when(ok, "SUCCESS").otherwise("ERROR"),
             "reply_confidence": F.when(ok, F.coalesce("_trust", F.lit(0.0))),
             "reply_json": F.when(ok, F.col("_v")),

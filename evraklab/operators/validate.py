@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evraklab.functions.lang import float_text, let
+from evraklab.functions.lang import float_text, let, listed
 from evraklab.functions.patterns import is_iban_format
 from evraklab.schemas import VALIDATION_REPORT
 
@@ -13,6 +13,7 @@ from evraklab.schemas import VALIDATION_REPORT
 SUM_TOLERANCE = 0.01
 LONG_NAME = 20
 MIN_AMOUNT_CONFIDENCE = 0.6
+CHECK = "struct<name:string,status:string,details:string>"
 
 
 def _check(name: Column, status: Column, details: Column) -> Column:
@@ -36,18 +37,15 @@ def math_check(group: Column, total: Column, breakdown: Column) -> Column:
     return F.when(F.size(F.map_keys(breakdown)) > 0, let(parts, with_sum))
 
 
-def _party_check(name: str, value: Column) -> Column:
+def _party_check(name: str, value: Column) -> tuple[Column, Column]:
     """Only a party that looks like an account number is checked for its format."""
     text = F.coalesce(value, F.lit("None"))
     ok = is_iban_format(text)
-    return F.when(
-        F.contains(text, F.lit("IBAN")) | (F.length(text) > LONG_NAME),
-        _check(
-            F.lit(f"iban_format_{name}"),
-            F.when(ok, "PASS").otherwise("WARNING"),
-            F.when(ok, f"Valid TR IBAN found for {name}").otherwise(
-                f"Possible IBAN detected for {name} but format is non-standard"
-            ),
+    return F.contains(text, F.lit("IBAN")) | (F.length(text) > LONG_NAME), _check(
+        F.lit(f"iban_format_{name}"),
+        F.when(ok, "PASS").otherwise("WARNING"),
+        F.when(ok, f"Valid TR IBAN found for {name}").otherwise(
+            f"Possible IBAN detected for {name} but format is non-standard"
         ),
     )
 
@@ -70,10 +68,11 @@ def with_validation(df: DataFrame, extraction: str = "extraction") -> DataFrame:
             a["breakdown"],
         ),
     )
-    others = F.array(
+    others = listed(
+        CHECK,
         _party_check("sender", analysis["sender"]["value"]),
         _party_check("receiver", analysis["receiver"]["value"]),
-        F.when(
+        (
             confidence < MIN_AMOUNT_CONFIDENCE,
             _check(
                 F.lit("low_confidence_warning"),
@@ -82,10 +81,11 @@ def with_validation(df: DataFrame, extraction: str = "extraction") -> DataFrame:
             ),
         ),
     )
-    checked = df.withColumn("_checks", F.array_compact(F.concat(sums, others)))
+    checked = df.withColumn("_checks", F.concat(F.array_compact(sums), others))
+    states = F.col("_checks")["status"]
     status = (
-        F.when(F.exists("_checks", lambda c: c["status"] == "FAIL"), "ERROR")
-        .when(F.exists("_checks", lambda c: c["status"] == "WARNING"), "WARNING")
+        F.when(F.array_contains(states, "FAIL"), "ERROR")
+        .when(F.array_contains(states, "WARNING"), "WARNING")
         .otherwise("SUCCESS")
     )
     report = F.struct(status.alias("status"), F.col("_checks").alias("checks"))

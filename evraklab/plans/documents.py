@@ -192,11 +192,8 @@ def _read(df: DataFrame, entries: str | None) -> DataFrame:
     """Put ``reply_status``, ``reply_msg``, ``reply_confidence`` and ``reply_fields`` in the reply's place."""
     kept = [c for c in df.columns if c not in ("reply", entries)]
     parsed = parse_replies(df, "reply", entries)
-    return with_settled(
-        read_reply_fields(parsed).select(
-            *kept, "reply_status", "reply_msg", "reply_confidence", "reply_fields"
-        ),
-        {"reply_fields": F.col("reply_fields")},
+    return read_reply_fields(parsed).select(
+        *kept, "reply_status", "reply_msg", "reply_confidence", "reply_fields"
     )
 
 
