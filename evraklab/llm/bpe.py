@@ -1,19 +1,22 @@
 """Byte-level BPE encoding and decoding.
 
-Merges are folded in the JVM by higher-order functions: a word's bytes become token
-ids, the ranks of adjacent pairs are looked up in a literal rank map, and each step
-merges the leftmost pair of least rank and looks up its two new neighbours. Every
-distinct word is folded once for its count in the corpus, when it is frequent, or once
-a document, when it is rare. The frequent words form a dictionary of bounded size
-(``HEAD``), chosen by counts over all documents; it decides only where a word is folded,
-never what comes out. Decoding concatenates the binary pieces of the ids.
+Merges are made by Arrow tasks, for many words at once: the words stand side by side in one
+table, and each step merges the leftmost pair of least rank in every word and looks up its
+two new neighbours (``Merger``). Every distinct chunk is merged once for its count in the
+corpus, when it is frequent, or once a batch of documents, when it is rare. The frequent
+ones form a dictionary of bounded size (``HEAD``), chosen by counts over all documents; it
+decides only where a chunk is merged, never what comes out. Decoding concatenates the
+binary pieces of the ids.
 
 Texts are first cut into chunks: white-space runs, and runs of other characters with one
 leading blank. A match of the word pattern never crosses a chunk, so chunks can be
 encoded apart, and they repeat more than texts do.
 
-A chunk of more than ``LONG`` characters is merged with a heap instead, which takes time
-in proportion to its length; the fold takes its square.
+A word of more than ``SHORT`` bytes is merged with a heap instead, which takes time in
+proportion to its length; the table takes its square. A word that is a token is not merged.
+
+Letters and numbers are those of the ``regex`` package. It also takes some code points for
+them that Unicode 15.1 does not assign; there the ids can differ from the tiktoken library's.
 
 Ids must be below 2**24; greater ones are refused. Null and empty texts have no ids. Rows are encoded one by one, so ids may be null or
 repeated; other columns are not read, and an empty table gives an empty result.
@@ -25,6 +28,8 @@ import base64
 import heapq
 import json
 import re
+from collections import Counter
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -44,11 +49,11 @@ JOINED_STOP = re.compile(r"[,.](?<![^\W_][,.])")
 HEAD = 3 << 18
 LONG = 256
 FLUSH = 300_000
-SLOTS = 131_071  # buckets of the rank map
-# An entry of the fold packs a rank, a byte of the word and an id, in 25, 14 and 24 bits.
-IDS = NO_RANK = 1 << 24
-PLACES = 1 << 14
-RANK_SHIFT = 38
+SHORT = 64  # bytes of the words that are merged many at once; longer ones go to the heap
+BLOCK = 4096  # words merged at once
+# A pair's key packs two ids; a pair of a word packs its rank and its row.
+ID_BITS, ROW_BITS = 25, 7
+NO_RANK = 1 << 24
 GONE = -1
 
 
@@ -111,83 +116,103 @@ def _compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def _rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal map from a pair of ids to the id of their union, as hash buckets.
-
-    A bucket begins with ``NO_RANK`` and holds key and id by turns, keys above it and ids
-    below; so the item after a missing key's position (0) is ``NO_RANK``.
-    """
+def _pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ids whose union is a token, as sorted keys, and the ids of their unions."""
     if max(ranks.values(), default=0) >= NO_RANK:
         raise ValueError(f"ranks of {NO_RANK} and more are not supported")
-    buckets: list[list[int]] = [[] for _ in range(SLOTS)]
+    union = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                key = left * IDS + right + IDS + 1
-                buckets[key % SLOTS] += [key, rank]
-    text = json.dumps([[NO_RANK, *b] for b in buckets], separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<array<bigint>>")
-
-
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _fold(word: Column, bytes_: Column, buckets: Column) -> Column:
-    """Token ids of one word: the ranked merges, folded over its bytes.
-
-    The state is one array with an entry for each part of the word: the rank of the pair that
-    the part forms with the next one, the byte it begins at, and its id, packed in this order.
-    So the least entry is the leftmost pair of least rank, and its rank is the id of the union.
-    """
-
-    def rank(left: Column, right: Column) -> Column:
-        key = left * IDS + right + IDS + 1
-        bucket = buckets[(key % SLOTS).cast("int")]
-        return bucket[F.array_position(bucket, key).cast("int")]
-
-    def id_(entry: Column) -> Column:
-        return entry.bitwiseAND(F.lit(IDS - 1))
-
-    def at_byte(entry: Column) -> Column:
-        return entry.bitwiseAND(F.lit((PLACES - 1) * IDS))
-
-    def merge(old: Column, least: Column) -> Column:
-        union = F.shiftright(least, RANK_SHIFT)
-
-        def at(p: Column) -> Column:  # of the pair's left part, from 0
-            def entry(x: Column, i: Column) -> Column:
-                after = F.get(old, p + 2)
-                pair = F.when(after.isNull(), F.lit(NO_RANK)).otherwise(rank(union, id_(after)))
-                return (
-                    F.when((i > p + 1) | (i < p - 1), x)
-                    .when(i == p, F.shiftleft(pair, RANK_SHIFT) + at_byte(least) + union)
-                    .when(i > p, F.lit(GONE))
-                    .otherwise(F.shiftleft(rank(id_(x), union), RANK_SHIFT) + at_byte(x) + id_(x))
-                )
-
-            return F.array_remove(F.transform(old, entry), F.lit(GONE))
-
-        return _bind((F.array_position(old, least) - 1).cast("int"), at)
-
-    def step(old: Column, _: Column) -> Column:
-        return _bind(F.array_min(old), lambda m: F.when(m < F.lit(NO_RANK << RANK_SHIFT), merge(old, m)).otherwise(old))
-
-    def start(ids: Column) -> Column:
-        def entry(x: Column, i: Column) -> Column:
-            after = F.get(ids, i + 1)
-            pair = F.when(after.isNull(), F.lit(NO_RANK)).otherwise(rank(x, after))
-            return F.shiftleft(pair, RANK_SHIFT) + i.cast("bigint") * F.lit(IDS) + x
-
-        return F.transform(ids, entry)
-
-    letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-    ids = F.transform(letters, lambda c: bytes_[F.ascii(c)])
-    steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-    folded = _bind(ids, lambda i: F.aggregate(steps, start(i), step))
-    return F.transform(folded, lambda x: id_(x).cast("int"))
+                union[left << ID_BITS | right] = rank
+    keys = np.fromiter(union, np.int64, len(union))
+    order = np.argsort(keys)
+    # One more key, above all others, so that every search ends at a key.
+    keys = np.append(keys[order], np.iinfo(np.int64).max)
+    return keys, np.append(np.fromiter(union.values(), np.int64, len(union))[order], NO_RANK)
+
+
+class Merger:
+    """Merges many words at once: each step joins one pair in every word that has one left."""
+
+    def __init__(self, ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray], pattern: str):
+        self.ranks, (self.keys, self.unions) = ranks, pairs
+        self.pattern = _compiled(pattern)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)])
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of the union of two parts, ``NO_RANK`` where that is no token."""
+        key = left << ID_BITS | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.unions[at], NO_RANK)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words of ``SHORT`` bytes at most, one after another, and how many each has.
+
+        Words are columns, bytes rows, between two rows that pair with nothing. A cell of ``least``
+        packs the rank of the pair that a part forms with the next one and its row, so that
+        the least of a column is the leftmost pair of least rank.
+        """
+        sizes = np.array([len(w) for w in words])
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        rows, n = int(sizes.max()) + 2, len(words)
+        word = np.repeat(np.arange(n), sizes)
+        row = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        ids = np.full((rows, n), NO_RANK, np.int64)
+        ids[row, word] = self.bytes[letters]
+        least = np.full((rows, n), NO_RANK << ROW_BITS, np.int64)
+        least[:-1] = self.rank(ids[:-1], ids[1:]) << ROW_BITS | np.arange(rows - 1)[:, None]
+        after = np.repeat(np.arange(1, rows + 1)[:, None], n, axis=1)
+        before = after - 2
+        gone = np.zeros((rows, n), bool)
+        while True:
+            best = least.min(axis=0)
+            at = np.flatnonzero(best < NO_RANK << ROW_BITS)
+            if not len(at):
+                break
+            union, left = best[at] >> ROW_BITS, best[at] & ((1 << ROW_BITS) - 1)
+            right = after[left, at]
+            end, start = after[right, at], before[left, at]
+            gone[right, at], least[right, at] = True, NO_RANK << ROW_BITS
+            ids[left, at], after[left, at], before[end, at] = union, end, left
+            least[left, at] = self.rank(union, ids[end, at]) << ROW_BITS | left
+            least[start, at] = self.rank(ids[start, at], union) << ROW_BITS | start
+        parts = (ids != NO_RANK) & ~gone
+        return ids.T[parts.T].astype(np.int32), parts.sum(axis=0)
+
+    def encode(self, chunks_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of chunks, one after another, and how many each has."""
+        matches = [self.pattern.findall(c) for c in chunks_]
+        per_chunk = np.array([len(m) for m in matches], np.int64)
+        words = [m.encode() for found in matches for m in found]
+        # A word that is a token is its id; the others follow, those of like length together.
+        known = np.array([self.ranks.get(w, GONE) for w in words], np.int64)
+        flat, filled = [known.astype(np.int32)], len(words)
+        starts, sizes = np.arange(len(words)), np.ones(len(words), np.int64)
+        rest = np.flatnonzero(known == GONE)
+        lengths = np.array([len(words[i]) for i in rest.tolist()], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        rest, short = rest[order], int((lengths <= SHORT).sum())
+        blocks = [rest[i : min(i + BLOCK, short)] for i in range(0, short, BLOCK)]
+        for block in blocks + [rest[i : i + 1] for i in range(short, len(rest))]:
+            found = [words[i] for i in block.tolist()]
+            if len(found[0]) <= SHORT:
+                ids, n = self.merge(found)
+            else:
+                ids = np.array(heap_merge(found[0], self.ranks), np.int32)
+                n = np.array([len(ids)])
+            starts[block], sizes[block] = filled + np.cumsum(n) - n, n
+            flat.append(ids)
+            filled += len(ids)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(per_chunk)])]
+        return _gather(np.concatenate(flat), starts, sizes), np.diff(bounds)
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``starts``, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Codec:
@@ -195,32 +220,34 @@ class Codec:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.spark, self.ranks, self.pattern = spark, ranks, pattern
-        self.buckets = _rank_map(ranks)
-        self.bytes = F.array(*(F.lit(ranks[bytes([b])]) for b in range(256))).cast("array<bigint>")
-        self.java_pattern = re.sub(r"\\s", lambda _: WHITE, pattern.replace("\\s+", "[\\s]+").replace("\\S", "[^\\s]"))
+        self.shared = spark.sparkContext.broadcast((ranks, *_pairs(ranks)))
+
+    def _merger(self) -> Callable[[], Merger]:
+        shared, pattern = self.shared, self.pattern
+        return lambda: Merger(shared.value[0], shared.value[1:], pattern)
 
     def encoded(self, words: Column) -> Column:
         """Token ids of each chunk of an array of chunks."""
+        merger = self._merger()
 
-        def one(chunk: Column, bytes_: Column, buckets: Column) -> Column:
-            matches = F.regexp_extract_all(chunk, F.lit(self.java_pattern), F.lit(0))
-            return F.flatten(F.transform(matches, lambda m: _fold(m, bytes_, buckets)))
+        @F.arrow_udf("array<array<int>>")
+        def ids_of(lists: pa.Array) -> pa.Array:
+            ids, sizes = merger().encode(lists.flatten().to_pylist())
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            return pa.ListArray.from_arrays(offsets, ragged(ids, sizes, pa.int32()), mask=lists.is_null())
 
-        # The literals stand once in the plan and are bound to names.
-        literals = F.array(F.struct(self.bytes.alias("bytes"), self.buckets.alias("buckets")))
-        bound = F.transform(
-            literals, lambda t: F.transform(words, lambda w: one(w, t["bytes"], t["buckets"]))
-        )
-        return bound[0]
+        return ids_of(words)
 
     def head(self, docs: DataFrame, text_col: str, size: int = HEAD) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The most frequent chunks of all texts, ``size`` at most, their flat ids and where each begins.
 
         All chunks are counted, map-side first.
         """
+        merger = self._merger()
 
         def count(batches):
-            seen: dict[str, int] = {}
+            seen: Counter[str] = Counter()
 
             def flush() -> pa.RecordBatch:
                 out = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())]
@@ -229,17 +256,20 @@ class Codec:
 
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    for c in chunks(text or ""):
-                        seen[c] = seen.get(c, 0) + 1
+                    seen.update(chunks(text or ""))
                     if len(seen) > FLUSH:
                         yield flush()
             yield flush()
 
+        def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, sizes = merger().encode(batch.column(0).to_pylist())
+            return pa.RecordBatch.from_arrays([batch.column(0), ragged(ids, sizes, pa.int32())], ["chunk", "ids"])
+
         texts = docs.select(F.col(text_col).cast("string").alias("text"))
         counted = texts.mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
         often = (F.col("n") > 1) & (F.length("chunk") <= LONG)
         counted = staged(counted.filter(often))
-        rows = most_frequent(counted, size).select("chunk", self.encoded(F.array("chunk"))[0].alias("ids"))
+        rows = map_batches(most_frequent(counted, size).select("chunk"), merge, "chunk string, ids array<int>")
         rows = rows.toArrow()
         ids = rows.column("ids").combine_chunks()
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -251,66 +281,33 @@ class Codec:
         words, flat, begin = self.head(docs, text_col, head)
         known = self.spark.sparkContext.broadcast(words)
         table = self.spark.sparkContext.broadcast((flat, begin))
-        ranks, pattern = self.spark.sparkContext.broadcast(self.ranks), self.pattern
+        merger = self._merger()
 
         def look_up(batches):
             codes = Codes((w, i) for i, w in enumerate(known.value.to_pylist()))
-            for batch in batches:
-                numbers, tails, longs = [], [], []
-                for text in batch.column(1).to_pylist():
-                    codes.begin()
-                    numbers.append(np.array([codes[c] for c in chunks(text or "")], np.int32).tobytes())
-                    rare = list(codes.rare)
-                    big = [c for c in rare if len(c) > LONG]
-                    longs.append([
-                        [t for m in _compiled(pattern).findall(c) for t in heap_merge(m.encode(), ranks.value)] for c in big
-                    ])
-                    tails.append(["" if len(c) > LONG else c for c in rare])
-                out = [
-                    batch.column(0), pa.array(numbers, pa.binary()), pa.array(tails, pa.list_(pa.string())),
-                    pa.array(longs, pa.list_(pa.list_(pa.int32()))),
-                ]
-                yield pa.RecordBatch.from_arrays(out, ["id", "codes", "rare", "long"])
-
-        def assemble(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, begin = table.value
-            rare, long_ = batch.column(2), batch.column(3)
-            known_words = len(begin) - 1
-            # One table of ids: the dictionary's, then the batch's rare and long chunks.
-            parts, starts, sizes, positions, counts = [flat], [begin[:-1]], [np.diff(begin)], [], []
-            offset, entries = len(flat), known_words
-            for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column(1)[i].as_py(), np.int32).astype(np.int64)
-                own = rare[i].values
-                lengths = np.diff(own.offsets.to_numpy()) if len(own) else np.zeros(0, np.int64)
-                ids = own.flatten().to_numpy(zero_copy_only=False) if len(own) else np.zeros(0, np.int32)
-                if len(long_[i].values):  # stand where a rare chunk is empty
-                    lists = own.to_pylist()
-                    rest = iter(long_[i].as_py())
-                    lists = [x if x else next(rest) for x in lists]
-                    lengths = np.array([len(x) for x in lists])
-                    ids = np.array([t for x in lists for t in x], np.int32)
-                parts.append(ids)
-                sizes.append(lengths)
-                starts.append(offset + np.cumsum(lengths) - lengths)
-                positions.append(np.where(codes >= 0, codes, entries - 1 - codes))
-                offset += len(ids)
-                entries += len(lengths)
-            flat, starts, sizes = np.concatenate(parts), np.concatenate(starts), np.concatenate(sizes)
-            out = []
-            for p in positions:
-                n = sizes[p]
-                at = np.repeat(starts[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append(flat[at])
-                counts.append(len(at))
-            values = np.concatenate(out) if out else np.zeros(0, np.int32)
-            return pa.RecordBatch.from_arrays([batch.column(0), ragged(values, counts, pa.int32())], ["id", "ids"])
+            rare_ids = merger()
+            for batch in batches:
+                codes.begin()
+                numbers = [
+                    np.array([codes[c] for c in chunks(text or "")], np.int64) for text in batch.column(1).to_pylist()
+                ]
+                # One table of ids: the dictionary's, then the batch's rare chunks.
+                own, lengths = rare_ids.encode(list(codes.rare))
+                ids = np.concatenate([flat, own])
+                starts = np.concatenate([begin[:-1], len(flat) + np.cumsum(lengths) - lengths])
+                sizes = np.concatenate([np.diff(begin), lengths])
+                out, counts = [np.zeros(0, np.int32)], []
+                for n in numbers:
+                    at = np.where(n >= 0, n, len(begin) - 2 - n)
+                    out.append(_gather(ids, starts[at], sizes[at]))
+                    counts.append(len(out[-1]))
+                lists = ragged(np.concatenate(out), counts, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "ids"])
 
         slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         kind = slim.schema["id"].dataType.simpleString()
-        looked = slim.mapInArrow(look_up, f"id {kind}, codes binary, rare array<string>, long array<array<int>>")
-        folded = looked.select("id", "codes", self.encoded(F.col("rare")).alias("rare"), "long")
-        return map_batches(folded, assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+        return slim.mapInArrow(look_up, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids: their pieces, concatenated."""
